@@ -1,15 +1,623 @@
-"""Registry of the core queries and their SQL."""
+"""Registry of the core queries and, where SQL can say the same, their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarryline import config as C
+from quarryline.functions import paths as P
+from quarryline.functions import text as T
+from quarryline.operators import aggregates as A
+from quarryline.operators import chunking, elements, report
+from quarryline.operators import summarize as S
+from quarryline.plans import stages
+from quarryline.sources import scan_directory, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _case(col: str, names: dict, default: str) -> str:
+    return f"case {col} " + " ".join(f"when {_q(k)} then {_q(v) if isinstance(v, str) else v}" for k, v in names.items()) + f" else {default} end"
+
+
+EXT_SQL = r"lower(regexp_extract(relative_path, '[^/.][^/]*?(\.[^/.]+)$', 1))"
+LANG_SQL = _case(EXT_SQL, P.LANGUAGES, "'unknown'")
+TOK_SQL = "cast(coalesce((length(content) + 3) // 4, 0) as bigint)"
+#: one record for each id; the ids of the files table repeat only as whole rows
+FILES_SQL = "(select distinct file_id, codebase, path, relative_path, content from files)"
+
+
+def _files(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Files by id and path, with the language their path stands for."""
+    keep = ["file_id", "relative_path", *[c for c in cols if c not in ("file_id", "relative_path")]]
+    return table(spark, d, "files", *keep).withColumn("language", P.language(F.col("relative_path")))
+
+
+# -- sources, filters, routing
+@query(
+    f"select distinct file_id, {EXT_SQL} as extension, {LANG_SQL} as language, substring(md5(path), 1, 8) as hash, cast(coalesce(octet_length(encode(content)), 0) as bigint) as bytes from files"
+)
+def s01_file_inventory(spark, d):
+    p = F.col("relative_path")
+    return table(spark, d, "files", "file_id", "path", "relative_path", "content").select("file_id", P.extension(p).alias("extension"), P.language(p).alias("language"), P.file_id(F.col("path")).alias("hash"), F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("bytes")).distinct()
+
+
+@query()
+def s02_directory_scan(spark, d):
+    return scan_directory(spark, __file__.rsplit("/", 1)[0], include=("*.py",), exclude=("*/__pycache__/*",)).select("relative_path", "language", "size", "hash")
+
+
+@query(f"select count(*) as files, cast(sum(b) as bigint) as bytes, count(distinct g) as languages from (select distinct file_id, {LANG_SQL} as g, coalesce(octet_length(encode(content)), 0) as b from files)")
+def s03_profile_scan(spark, d):
+    rows = _files(spark, d, "content").select("file_id", "language", F.coalesce(F.octet_length("content"), F.lit(0)).alias("b")).distinct()
+    return rows.agg(F.count("*").alias("files"), F.sum("b").cast("bigint").alias("bytes"), F.count_distinct("language").alias("languages"))
+
+
+@query("select * from (values " + ", ".join(f"({_q(n)}, {_q(v[0])}, {_q(v[1])})" for n, v in C.PROVIDERS.items()) + ") t(name, label, base_url)")
+def s10_provider_registry(spark, d):
+    return spark.createDataFrame([(n, v[0], v[1]) for n, v in C.PROVIDERS.items()], "name string, label string, base_url string")
+
+
+@query(f"select distinct file_id, regexp_matches(relative_path, {_q(P.exclude_regex())}) as excluded from files where relative_path is not null")
+def f01_exclude_globs(spark, d):
+    return table(spark, d, "files", "file_id", "relative_path").where("relative_path is not null").select("file_id", P.excluded(F.col("relative_path")).alias("excluded")).distinct()
+
+
+@query("select distinct file_id from files where " + " or ".join(f"regexp_matches(relative_path, {_q('(?:^|/)' + P.glob_regex(g) + '$')})" for g in P.DEFAULT_INCLUDE))
+def f05_include_globs(spark, d):
+    return table(spark, d, "files", "file_id", "relative_path").where(P.included(F.col("relative_path"))).select("file_id").distinct()
+
+
+@query("select distinct file_id, size from files where size <= 2000")
+def f03_size_filter(spark, d):
+    return table(spark, d, "files", "file_id", "size").where("size <= 2000").distinct()
+
+
+@query(
+    f"select distinct file_id, case when {EXT_SQL} in ({', '.join(map(_q, P.BINARY_SUFFIXES))}) then false when {EXT_SQL} in ({', '.join(map(_q, P.LANGUAGES))}) then true else not contains(substring(coalesce(content, ''), 1, 512), chr(0)) end as is_text from files"
+)
+def f04_text_sniff(spark, d):
+    return table(spark, d, "files", "file_id", "relative_path", "content").select("file_id", P.looks_text(F.col("relative_path"), F.col("content")).alias("is_text")).distinct()
+
+
+@query("select distinct file_id, 'Empty file' as summary, 0 as tokens_used from files where regexp_matches(coalesce(content, ''), '^[ \\t\\r\\n\\f]*$')")
+def f07_blank_files(spark, d):
+    return table(spark, d, "files", "file_id", "content").where(F.coalesce("content", F.lit("")).rlike(r"^[ \t\r\n\f]*\z")).select("file_id", F.lit("Empty file").alias("summary"), F.lit(0).alias("tokens_used")).distinct()
+
+
+@query(f"select distinct file_id, {TOK_SQL} as tokens, case when regexp_matches(coalesce(content, ''), '^[ \\t\\r\\n\\f]*$') then 'empty' when {TOK_SQL} > 400 then 'large' else 'regular' end as route, case when {TOK_SQL} > 100 then 'file' else 'chunk' end as prompt from files")
+def f08_route(spark, d):
+    t = T.count_tokens(F.col("content"))
+    blank = F.coalesce("content", F.lit("")).rlike(r"^[ \t\r\n\f]*\z")
+    return table(spark, d, "files", "file_id", "content").select("file_id", t.alias("tokens"), F.when(blank, "empty").when(t > 4 * 100, "large").otherwise("regular").alias("route"), F.when(t > 100, "file").otherwise("chunk").alias("prompt")).distinct()
+
+
+@query("select distinct response_id from responses where error is null and summary is not null and not starts_with(summary, 'Error:')")
+def f09_valid_summaries(spark, d):
+    return table(spark, d, "responses", "response_id", "summary", "error").where("error is null and summary is not null and not startswith(summary, 'Error:')").select("response_id").distinct()
+
+
+@query("select m.name, w.wanted from models m, (values ('fast'), ('loom-long'), ('nothing')) w(wanted) where m.name = w.wanted or m.model = w.wanted or not exists (select 1 from models x where x.name = w.wanted or x.model = w.wanted)")
+def f11_stage_models(spark, d):
+    # a fixed table of settings, chosen on the driver
+    models = tuple(C.ModelConfig(r["name"], r["provider"], r["model"]) for r in table(spark, d, "models", "name", "provider", "model").collect())
+    return spark.createDataFrame([(m.name, w) for w in ("fast", "loom-long", "nothing") for m in C.select_models(models, w)], "name string, wanted string")
+
+
+@query("select distinct name, case when starts_with(model, 'claude-') then 'anthropic' when starts_with(model, 'sonar-') then 'perplexity' else 'openai' end as provider from models")
+def f12_provider_detection(spark, d):
+    return table(spark, d, "models", "name", "model").select("name", T.provider_of(F.col("model")).alias("provider")).distinct()
+
+
+@query(f"select coalesce({_case(LANG_SQL, elements.BY_LANGUAGE, 'null')}, {_case(EXT_SQL, elements.BY_SUFFIX, 'null')}, 'skipped') as parser, count(distinct file_id) as files from files group by 1")
+def f13_parser_routing(spark, d):
+    return _files(spark, d).select(F.coalesce(elements.parser_key(F.col("language"), F.col("relative_path")), F.lit("skipped")).alias("parser"), "file_id").groupBy("parser").agg(F.count_distinct("file_id").alias("files"))
+
+
+_CASES = [
+    ("empty", {}),
+    ("good", C.template("multi", "/x")),
+    ("size", {**C.template("minimal", "/x"), "chunk_size": 99}),
+    ("workers", {**C.template("minimal", "/x"), "max_workers": 33, "timeout": 4}),
+    ("bool", {**C.template("minimal", "/x"), "retry_attempts": True}),
+    ("provider", {"codebase_path": "/x", "models": [{"name": "a", "provider": "nobody", "model": "m"}]}),
+    ("format", {**C.template("minimal", "/x"), "output_format": "pdf"}),
+]
+
+
+@query(
+    "select * from (values ('empty', 'codebase_path is required'), ('empty', 'models must be a list that is not empty'), ('size', 'chunk_size must lie in 100..50000'), ('size', 'chunk_overlap must lie in 0..chunk_size-1'),"
+    " ('workers', 'max_workers must lie in 1..32'), ('workers', 'timeout must lie in 5..300'), ('bool', 'retry_attempts must be a number'), ('provider', 'models[0].provider is unknown'), ('format', 'output_format is unknown')) t(name, message)"
+)
+def f15_config_violations(spark, d):
+    return spark.createDataFrame([(n, m) for n, c in _CASES for m in C.violations(c)], "name string, message string")
+
+
+# -- scalar functions
+@query(f"select distinct file_id, {TOK_SQL} as tokens from files")
+def x01_token_counts(spark, d):
+    return table(spark, d, "files", "file_id", "content").select("file_id", T.count_tokens(F.col("content")).alias("tokens")).distinct()
+
+
+@query(
+    f"select name, model, {_case('model', T.CONTEXT_LIMITS, '4096')} as context_limit, least({_case('model', T.CONTEXT_LIMITS, '4096')} - 1000, coalesce(max_tokens, 16000)) as budget from (select name, model, max_tokens from models union all values ('a', 'gpt-4o', 16000), ('b', 'claude-2.1', 300000))"
+)
+def x05_content_budget(spark, d):
+    m = table(spark, d, "models", "name", "model", "max_tokens").unionByName(spark.createDataFrame([("a", "gpt-4o", 16000), ("b", "claude-2.1", 300000)], "name string, model string, max_tokens int"))
+    return m.select("name", "model", T.context_limit(F.col("model")).alias("context_limit"), T.content_budget(F.col("model"), F.col("max_tokens")).alias("budget"))
+
+
+@query(f"select distinct file_id, md5(case when {TOK_SQL} <= 120 then content else concat(substring(content, 1, 440), chr(10) || '[cut to fit]') end) as cut_md5, length(case when {TOK_SQL} <= 120 then content else concat(substring(content, 1, 440), chr(10) || '[cut to fit]') end) as n from files where content is not null")
+def x04_truncate(spark, d):
+    cut = T.truncate(F.col("content"), 120)
+    return table(spark, d, "files", "file_id", "content").where("content is not null").select("file_id", F.md5(cut).alias("cut_md5"), F.length(cut).cast("bigint").alias("n")).distinct()
+
+
+@query("select distinct file_id, length(substring(content, 1, 500)) - length(replace(substring(content, 1, 500), chr(10), '')) as line from files where content is not null")
+def x08_line_of_offset(spark, d):
+    return table(spark, d, "files", "file_id", "content").where("content is not null").select("file_id", T.line_index(F.col("content"), F.lit(500)).cast("bigint").alias("line")).distinct()
+
+
+@query(
+    r"""with f as (select distinct file_id, string_split(content, chr(10)) as ls from files where content is not null and ends_with(relative_path, '.go')),
+s as (select file_id, ls, i from f, unnest(range(0, len(ls))) r(i) where regexp_matches(ls[i + 1], '^func ')),
+c as (select file_id, i, len(ls) as n, j, sum(length(ls[j + 1]) - length(replace(ls[j + 1], '{', '')) - (length(ls[j + 1]) - length(replace(ls[j + 1], '}', '')))) over (partition by file_id, i order by j) as depth from s, unnest(range(i, len(ls))) r(j))
+select file_id, i as start_line, coalesce(min(case when j > i and depth <= 0 then j + 1 end), max(n)) as end_line from c group by file_id, i"""
+)
+def x09_brace_blocks(spark, d):
+    rows = table(spark, d, "files", "file_id", "relative_path", "content").where("content is not null and endswith(relative_path, '.go')").select("file_id", "content", F.posexplode(F.split("content", "\n")).alias("i", "line")).where(F.col("line").rlike("^func "))
+    return rows.select("file_id", F.col("i").cast("bigint").alias("start_line"), T.brace_block_end(F.col("content"), F.col("i")).cast("bigint").alias("end_line")).distinct()
+
+
+@query(
+    r"""with f as (select distinct file_id, string_split(content, chr(10)) as ls from files where content is not null and ends_with(relative_path, '.py')),
+s as (select file_id, ls, i from f, unnest(range(0, len(ls))) r(i) where regexp_matches(ls[i + 1], '^[ ]*(?:async )?def ')),
+c as (select file_id, i, len(ls) as n, j, length(ls[j + 1]) - length(ltrim(ls[j + 1])) as d, length(ls[i + 1]) - length(ltrim(ls[i + 1])) as d0, trim(replace(replace(ls[j + 1], chr(9), ''), chr(13), '')) as body from s, unnest(range(i, len(ls))) r(j))
+select file_id, i as start_line, coalesce(min(case when j > i and body <> '' and d <= d0 then j end), max(n)) as end_line from c group by file_id, i"""
+)
+def x10_indent_blocks(spark, d):
+    rows = table(spark, d, "files", "file_id", "relative_path", "content").where("content is not null and endswith(relative_path, '.py')").select("file_id", "content", F.posexplode(F.split("content", "\n")).alias("i", "line")).where(F.col("line").rlike("^[ ]*(?:async )?def "))
+    return rows.select("file_id", F.col("i").cast("bigint").alias("start_line"), T.indent_block_end(F.col("content"), F.col("i")).cast("bigint").alias("end_line")).distinct()
+
+
+@query(
+    "select distinct file_id, len(string_split(coalesce(content, ''), chr(10))) as total_lines, len(list_filter(string_split(coalesce(content, ''), chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\r\\f]', '', 'g')) <> '')) as code_lines, case when len(string_split(coalesce(content, ''), chr(10))) > 50 then 'medium' else 'low' end as complexity from files"
+)
+def x12_line_metrics(spark, d):
+    m = T.line_metrics(F.col("content"))
+    return table(spark, d, "files", "file_id", "content").select("file_id", m["total_lines"].cast("bigint").alias("total_lines"), m["code_lines"].cast("bigint").alias("code_lines"), m["complexity"].alias("complexity")).distinct()
+
+
+@query(
+    r"""with l as (select distinct file_id, trim(unnest(string_split(content, chr(10)))) as line from files where ends_with(relative_path, '.java') or ends_with(relative_path, '.rs'))
+select case when regexp_matches(line, '(^|[^A-Za-z0-9_])pub(lic)?($|[^A-Za-z0-9_])') then 'public' when regexp_matches(line, '(^|[^A-Za-z0-9_])private($|[^A-Za-z0-9_])') then 'private' when regexp_matches(line, '(^|[^A-Za-z0-9_])protected($|[^A-Za-z0-9_])') then 'protected' else 'private' end as visibility, count(*) as lines
+from l where regexp_matches(line, '^(pub|public|private|protected)[ (]') group by 1"""
+)
+def x13_visibility(spark, d):
+    rows = table(spark, d, "files", "file_id", "relative_path", "content").where("endswith(relative_path, '.java') or endswith(relative_path, '.rs')").select("file_id", F.explode(F.split("content", "\n")).alias("x")).select("file_id", F.trim("x").alias("line")).where(F.col("line").rlike("^(pub|public|private|protected)[ (]")).distinct()
+    return rows.groupBy(T.visibility(F.col("line")).alias("visibility")).agg(F.count("*").alias("lines"))
+
+
+@query(f"select distinct file_id, round(least(1.0, 0.7 + (case when {LANG_SQL} <> 'unknown' then 0.1 else 0.0 end) + (case when contains(coalesce(content, ''), '{{') then 0.1 else 0.0 end)), 2)::double as confidence from files")
+def x14_confidence(spark, d):
+    return _files(spark, d, "content").select("file_id", T.confidence(F.lit(0.7), F.col("language") != "unknown", F.contains(F.coalesce("content", F.lit("")), F.lit("{"))).cast("double").alias("confidence")).distinct()
+
+
+@query(
+    r"""with s as (select distinct trim(regexp_extract(unnest(string_split(content, chr(10))), '^([^{}@;/]+)\{', 1)) as selector from files where ends_with(relative_path, '.css'))
+select selector, 100 * len(regexp_extract_all(selector, '#[A-Za-z_-][A-Za-z0-9_-]*')) + 10 * len(regexp_extract_all(selector, '\.[A-Za-z_-][A-Za-z0-9_-]*|\[[^\]]*\]|:[A-Za-z-]+')) + len(regexp_extract_all(regexp_replace(selector, '[#.:][A-Za-z0-9_-]+|\[[^\]]*\]|\([^)]*\)', ' ', 'g'), '[A-Za-z][A-Za-z0-9]*')) as specificity from s where selector <> ''"""
+)
+def x15_css_specificity(spark, d):
+    rows = table(spark, d, "files", "relative_path", "content").where("endswith(relative_path, '.css')").select(F.explode(F.split("content", "\n")).alias("line"))
+    rows = rows.select(F.trim(F.regexp_extract("line", r"^([^{}@;/]+)\{", 1)).alias("selector")).where("selector <> ''").distinct()
+    return rows.select("selector", T.css_specificity(F.col("selector")).alias("specificity"))
+
+
+@query(
+    "select distinct response_id, printf('%.2f seconds', round(cast(processing_time as decimal(18,6)), 2)::double) as elapsed, case when processing_time * 20 < 60 then printf('%.1fs', round(cast(processing_time * 20 as decimal(18,6)), 1)::double) when processing_time * 20 < 3600 then printf('%.1fm', round(cast(processing_time * 20 / 60 as decimal(18,6)), 1)::double) else printf('%.1fh', round(cast(processing_time * 20 / 3600 as decimal(18,6)), 1)::double) end as duration, round(tokens_used * 0.00002::double, 6) as cost from responses where processing_time is not null and tokens_used is not null"
+)
+def x24_durations_and_cost(spark, d):
+    s = F.col("processing_time")
+    return table(spark, d, "responses", "response_id", "processing_time", "tokens_used").where("processing_time is not null and tokens_used is not null").select("response_id", T.elapsed_text(s).alias("elapsed"), T.duration_text(s * 20).alias("duration"), T.cost(F.col("tokens_used")).alias("cost")).distinct()
+
+
+@query(f"select distinct file_id, md5(concat(substring(content, 1, 200), '...')) as preview_md5, upper(substring({LANG_SQL}, 1, 1)) || substring({LANG_SQL}, 2) as title, round(size / 1048576.0::double, 2) as mb from files where content is not null")
+def x28_preview_title_size(spark, d):
+    return _files(spark, d, "content", "size").where("content is not null").select("file_id", F.md5(T.preview(F.col("content"))).alias("preview_md5"), T.title_case(F.col("language")).alias("title"), T.megabytes(F.col("size")).alias("mb")).distinct()
+
+
+@query(f"select distinct file_id, md5('Describe the purpose, structure and dependencies of this ' || {LANG_SQL} || ' file.' || chr(10) || 'Path: ' || relative_path || chr(10) || chr(10) || content) as prompt_md5 from files where content is not null and relative_path is not null")
+def x31_prompts(spark, d):
+    p = T.prompt("file", language=F.col("language"), path=F.col("relative_path"), content=F.col("content"))
+    return _files(spark, d, "content").where("content is not null and relative_path is not null").select("file_id", F.md5(p).alias("prompt_md5")).distinct()
+
+
+@query("select 'a' || 'c' as text")
+def x27_response_text(spark, d):
+    rows = spark.sql("select array(named_struct('type', 'text', 'text', 'a'), named_struct('type', 'tool', 'text', 'b'), named_struct('type', 'text', 'text', 'c')) as blocks")
+    return rows.select(T.join_blocks(F.col("blocks")).alias("text"))
+
+
+@query("select a as attempt, power(2.0, a - 1) as seconds from range(1, 6) t(a)")
+def x32_backoff(spark, d):
+    return spark.range(1, 6).select(F.col("id").alias("attempt"), S.backoff_seconds(F.col("id")).alias("seconds"))
+
+
+# -- table-generating operators
+def _pack_sql(size: int, overlap: int) -> str:
+    return f"""with recursive f as (select distinct file_id, string_split(content, chr(10)) as ls from files where content is not null and content <> ''),
+a as (select file_id, ls, len(ls) as n, list_transform(range(0, len(ls)), lambda i: list_sum(list_transform(ls[1:i + 1], lambda x: (length(x) + 3) // 4))) as cum from f),
+c as (select file_id, ls, n, cum, 0 as chunk_no, 0::bigint as s, coalesce(list_min(list_filter(range(1, n), lambda i: cum[i + 1] > {size})), n)::bigint as e from a
+  union all
+  select file_id, ls, n, cum, chunk_no + 1, e - ((e - s) * {overlap} // {size}),
+    coalesce(list_min(list_filter(range(e + 1, n), lambda i: cum[i + 1] - (case when e - ((e - s) * {overlap} // {size}) = 0 then 0 else cum[e - ((e - s) * {overlap} // {size})] end) > {size})), n)::bigint from c where e < n)
+select file_id, chunk_no::bigint as chunk_no, s as start_line, e as end_line, cast((length(array_to_string(ls[s + 1:e], chr(10))) + 3) // 4 as bigint) as tokens from c"""
+
+
+def _packed(spark, d, size, overlap):
+    rows = chunking.chunks(_files(spark, d, "content"), size=size, overlap=overlap, strategy="generic")
+    return rows.select("file_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "tokens").distinct()
+
+
+@query(_pack_sql(100, 0))
+def g04_chunks(spark, d):
+    return _packed(spark, d, 100, 0)
+
+
+@query(_pack_sql(100, 20))
+def g04_chunks_overlap(spark, d):
+    return _packed(spark, d, 100, 20)
+
+
+@query()
+def g01_chunks_by_language(spark, d):
+    """Syntax-tree chunks for Python, pattern chunks for Rust, Go and scripts, packed lines for the rest, oversize ones re-split."""
+    rows = chunking.chunks(_files(spark, d, "content"), size=200, overlap=40)
+    return rows.select("file_id", "chunk_no", "start_line", "end_line", "chunk_type", "tokens").distinct()
+
+
+@query("with l as (select distinct file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) - 1 as line_no from files where content is not null) select file_id, count(*) as lines, sum(length(line))::bigint as characters, max(line_no)::bigint as last_line from l group by file_id")
+def g08_lines(spark, d):
+    rows = chunking.explode_lines(table(spark, d, "files", "file_id", "content").where("content is not null")).select("file_id", "line_no", "line").distinct()
+    return rows.groupBy("file_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("bigint").alias("characters"), F.max("line_no").cast("bigint").alias("last_line"))
+
+
+def _analysed(spark, d):
+    return elements.analyse(_files(spark, d, "content"))
+
+
+@query()
+def g06_elements(spark, d):
+    return elements.elements(_analysed(spark, d), "file_id").drop("element_no").distinct()
+
+
+@query()
+def g07_dependencies(spark, d):
+    return elements.dependencies(_analysed(spark, d), "file_id").distinct()
+
+
+def _line_sql(suffix: str, rx: str, cols: str) -> str:
+    return f"with l as (select distinct file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) - 1 as n from files where {EXT_SQL} = '{suffix}') select file_id, {cols} from l where regexp_matches(line, {_q(rx)})"
+
+
+_RUST_FN = r"^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?(?:(?:async|unsafe|const)[ \t]+)*fn[ \t]+([A-Za-z0-9_]+)"
+
+
+@query(_line_sql(".rs", _RUST_FN, f"regexp_extract(line, {_q(_RUST_FN)}, 1) as name, n::bigint as start_line, case when regexp_matches(line, '^[ \\t]*pub') then 'public' else 'private' end as visibility"))
+def g06_rust_functions(spark, d):
+    return elements.elements(elements.analyse(_files(spark, d, "content").where("language = 'rust'")), "file_id").where("pattern = 'function'").select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"), "visibility").distinct()
+
+
+_GO_METHOD = r"^func[ \t]*\([^)\n]*\)[ \t]*([A-Za-z0-9_]+)"
+
+
+@query(_line_sql(".go", _GO_METHOD, f"regexp_extract(line, {_q(_GO_METHOD)}, 1) as name, n::bigint as start_line, case when regexp_matches(regexp_extract(line, {_q(_GO_METHOD)}, 1), '^[A-Z]') then 'public' else 'private' end as visibility"))
+def g06_go_methods(spark, d):
+    return elements.elements(elements.analyse(_files(spark, d, "content").where("language = 'golang'")), "file_id").where("pattern = 'method'").select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"), "visibility").distinct()
+
+
+_SQL_TABLE = r"^[ \t]*(?i:create)[ \t]+(?i:table)[ \t]+(?i:if[ \t]+not[ \t]+exists[ \t]+)?([A-Za-z0-9_.]+)"
+
+
+@query(_line_sql(".sql", _SQL_TABLE, f"regexp_extract(line, {_q(_SQL_TABLE)}, 1) as name, n::bigint as start_line"))
+def g06_sql_tables(spark, d):
+    return elements.elements(elements.analyse(_files(spark, d, "content").where("language = 'sql'")), "file_id").where("pattern = 'table'").select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line")).distinct()
+
+
+_JAVA_IMPORT = r"^[ \t]*import[ \t]+([A-Za-z0-9_.*]+)[ \t]*;"
+
+
+@query(_line_sql(".java", _JAVA_IMPORT, f"regexp_extract(line, {_q(_JAVA_IMPORT)}, 1) as source, n::bigint as line_number"))
+def g07_java_imports(spark, d):
+    return elements.dependencies(elements.analyse(_files(spark, d, "content").where("language = 'java'")), "file_id").where("import_type = 'import'").select("file_id", "source", F.col("line_number").cast("bigint").alias("line_number")).distinct()
+
+
+_RUST_USE = r"^[ \t]*use[ \t]+([A-Za-z0-9_:]+)[ \t]*;"
+
+
+@query(_line_sql(".rs", _RUST_USE, f"regexp_extract(line, {_q(_RUST_USE)}, 1) as source, n::bigint as line_number"))
+def g09_rust_uses(spark, d):
+    return elements.dependencies(elements.analyse(_files(spark, d, "content").where("language = 'rust'")), "file_id").where("import_type = 'use'").select("file_id", "source", F.col("line_number").cast("bigint").alias("line_number")).distinct()
+
+
+_SNIPPETS = [
+    ("kotlin", "a.kt", "package a\nimport b.c as d\ndata class A(val x: Int)\nclass B {\n  private fun g(a: Int): Int {\n    return a\n  }\n}\n"),
+    ("c", "a.c", '#include <stdio.h>\n#define LIMIT 3\nstatic int f(int a) {\n  return a;\n}\nstruct S {\n  int a;\n};\n'),
+    ("cpp", "a.cpp", "#include <v>\nusing namespace std;\nclass A : public B {\npublic:\n  virtual int f() const {\n    return 1;\n  }\n};\n"),
+    ("csharp", "a.cs", "using System;\nnamespace N {\n  public class A : B {\n    public int P { get; set; }\n    private static int F(int a) {\n    }\n  }\n}\n"),
+    ("swift", "a.swift", "import UIKit\npublic class A: B {\n  private var x = 1\n  func f(_ a: Int) -> Int {\n  }\n}\n"),
+    ("ruby", "a.rb", "require 'a'\nclass A < B\n  attr_reader :x\n  def f(a)\n    a\n  end\n  private\n  def g\n  end\nend\n"),
+    ("php", "a.php", "<?php\nuse C\\D as E;\nclass A extends B {\n  private $p = 1;\n  public static function f(int $a): int {\n  }\n}\n"),
+    ("dart", "a.dart", "import 'package:flutter/material.dart';\nclass A extends StatelessWidget {\n  Widget build(BuildContext c) {\n    return Text('x');\n  }\n}\n"),
+    ("unknown", "page.tsx", "import { useState } from 'react';\nexport default function HomePage() {\n  const [a, b] = useState(0);\n  return <div/>;\n}\nexport async function GET(req) {\n}\n"),
+    ("html", "a.html", "<!doctype html>\n<html>\n<body>\n<div id=\"m\" class=\"c d\">\n<img src=x.png>\n</div></body></html>\n"),
+    ("css", "a.css", "@import 'b.css';\n:root {\n  --c: #fff;\n}\n#a .b {\n  color: red;\n}\n"),
+    ("bash", "a.sh", "source ./b.sh\nexport X=1\nfoo() {\n  local y=2\n  return 3\n}\n"),
+]
+
+
+@query()
+def g06_elements_other_languages(spark, d):
+    """Languages the tables do not hold, on fixed snippets."""
+    files = spark.createDataFrame(_SNIPPETS, "language string, relative_path string, content string")
+    return elements.elements(elements.analyse(files), "relative_path").drop("element_no")
+
+
+# -- lookups
+@query()
+def j01_hint_join(spark, d):
+    a = _analysed(spark, d)
+    h = A.hints(elements.elements(a, "file_id").select("file_id", "start_line", "pattern", "name").distinct(), elements.dependencies(a, "file_id").distinct(), "file_id")
+    c = chunking.chunks(_files(spark, d, "content"), size=200, overlap=0, strategy="generic").select("file_id", "chunk_no", "tokens").distinct()
+    return c.join(h, "file_id", "left").select("file_id", "chunk_no", "tokens", F.array_join(F.coalesce("top_elements", F.array().cast("array<string>")), ",").alias("top_elements"), F.coalesce("dependency_count", F.lit(0).cast("bigint")).alias("dependency_count"))
+
+
+@query(
+    "with r as (select distinct response_id, request_id, summary from responses), q as (select distinct request_id, file_id from requests), f as (select distinct file_id, relative_path from files) select response_id, file_id, relative_path, coalesce(length(summary), 0) as n from r join q using (request_id) join f using (file_id)"
+)
+def j02_summaries_of_files(spark, d):
+    r = table(spark, d, "responses", "response_id", "request_id", "summary").select("response_id", "request_id", F.coalesce(F.length("summary"), F.lit(0)).cast("bigint").alias("n")).distinct()
+    q = table(spark, d, "requests", "request_id", "file_id").distinct()
+    f = table(spark, d, "files", "file_id", "relative_path").distinct()
+    return r.join(q, "request_id").join(f, "file_id").select("response_id", "file_id", "relative_path", "n")
+
+
+@query("select r.response_id, m.name, m.max_tokens from (select distinct response_id, model_used from responses) r left join models m on m.model = r.model_used")
+def j04_response_models(spark, d):
+    r = table(spark, d, "responses", "response_id", "model_used").distinct()
+    m = table(spark, d, "models", "name", "model", "max_tokens")  # a fixed table; Spark broadcasts it by its size
+    return r.join(m, r.model_used == m.model, "left").select("response_id", "name", "max_tokens")
+
+
+@query()
+def j11_nearest_visibility(spark, d):
+    """Definitions with the visibility word that stands nearest above them, within nine lines."""
+    text = "class A\n  def a\n  end\n  private\n  def b\n  end\n  public\n  def c\n  end\nend"
+    files = spark.createDataFrame([("ruby", "x.rb", text)], "language string, relative_path string, content string")
+    return elements.elements(elements.analyse(files), "relative_path").where("pattern = 'def'").select("name", "visibility")
+
+
+# -- aggregations
+RESP_SQL = "(select distinct response_id, request_id, tokens_used, processing_time, model_used, provider_used, error, fallback_used, received_at from responses)"
+_RESP = ("response_id", "request_id", "tokens_used", "processing_time", "model_used", "provider_used", "error", "fallback_used", "received_at")
+ATT_SQL = "(select distinct * from attempts)"
+
+
+@query(
+    f"select count(*) as responses, count(distinct request_id) as requests, cast(sum(fallback_used::int) as bigint) as fallbacks, cast(coalesce(sum(tokens_used), 0) as bigint) as tokens, count(error) as errors, round(avg(processing_time), 6) as avg_time, round(min(processing_time), 6) as min_time, round(max(processing_time), 6) as max_time from {RESP_SQL}"
+)
+def a01_run_summary(spark, d):
+    return A.run_summary(table(spark, d, "responses", *_RESP).distinct())
+
+
+@query(f"select provider, count(*) as attempts, count(*) filter (where ok) as answers, cast(coalesce(sum(tokens), 0) as bigint) as tokens, count(*) filter (where not ok) as errors, round(cast(coalesce(sum(tokens), 0) as bigint) * 0.00002::double, 6) as cost from {ATT_SQL} group by provider")
+def a04_provider_usage(spark, d):
+    return A.usage_by_provider(table(spark, d, "attempts").distinct())
+
+
+@query(f"select {LANG_SQL} as language, count(*) as files, cast(sum(coalesce(octet_length(encode(content)), 0)) as bigint) as bytes, cast(sum(len(string_split(coalesce(content, ''), chr(10)))) as bigint) as lines, cast(sum({TOK_SQL}) as bigint) as tokens from {FILES_SQL} group by 1")
+def a05_language_profile(spark, d):
+    m = T.line_metrics(F.col("content"))
+    rows = _files(spark, d, "content").select("file_id", "language", F.coalesce(F.octet_length("content"), F.lit(0)).alias("b"), m["total_lines"].alias("l"), T.count_tokens(F.col("content")).alias("t")).distinct()
+    return rows.groupBy("language").agg(F.count("*").alias("files"), F.sum("b").cast("bigint").alias("bytes"), F.sum("l").cast("bigint").alias("lines"), F.sum("t").cast("bigint").alias("tokens"))
+
+
+@query(
+    "with recursive n as (select coalesce(codebase, 'unknown') as codebase, count(distinct file_id) as n from files group by 1), l as (select codebase, 0 as level, n as nodes from n union all select codebase, level + 1, (nodes + 9) // 10 from l where nodes > 1) select codebase, level::bigint as level, nodes::bigint as nodes from l"
+)
+def a06_reduce_levels(spark, d):
+    per = table(spark, d, "files", "codebase", "file_id").groupBy(F.coalesce("codebase", F.lit("unknown")).alias("codebase")).agg(F.count_distinct("file_id").alias("n"))
+    # 10, 100, … cover any count a bigint holds
+    steps = F.filter(F.sequence(F.lit(0), F.lit(18)), lambda k: (k == 0) | (F.ceil(F.col("n") / F.pow(F.lit(10.0), k - 1)) > 1))
+    return per.select("codebase", F.explode(steps).alias("level"), "n").select("codebase", F.col("level").cast("bigint").alias("level"), F.ceil(F.col("n") / F.pow(F.lit(10.0), F.col("level"))).cast("bigint").alias("nodes"))
+
+
+_NOTES_SQL = "(select file_id, coalesce(codebase, 'unknown') as codebase, relative_path || ': ' || coalesce(substring(content, 1, 30), '') as summary, row_number() over (partition by coalesce(codebase, 'unknown') order by relative_path, file_id) - 1 as position from (select distinct file_id, codebase, relative_path, content from files where relative_path is not null))"
+
+
+def _notes(spark, d):
+    rows = table(spark, d, "files", "file_id", "codebase", "relative_path", "content").where("relative_path is not null")
+    rows = rows.select("file_id", F.coalesce("codebase", F.lit("unknown")).alias("codebase"), "relative_path", F.concat("relative_path", F.lit(": "), F.coalesce(F.substring("content", 1, 30), F.lit(""))).alias("summary")).distinct()
+    # ranged parts and a running count: a code base of any size is numbered without one task for it
+    ranged = rows.repartitionByRange(32, "codebase", "relative_path", "file_id").withColumn("p", F.spark_partition_id())
+    local = A.numbered(ranged, ["codebase", "p"], ["relative_path", "file_id"])
+    sizes = local.groupBy("codebase", "p").agg(F.count("*").alias("n")).select("codebase", "p", F.expr("coalesce(sum(n) over (partition by codebase order by p rows between unbounded preceding and 1 preceding), 0)").alias("off"))
+    return local.join(sizes, ["codebase", "p"]).select("codebase", (F.col("position") + F.col("off")).alias("position"), "summary")
+
+
+@query(f"select codebase, position // 10 as position, md5(string_agg(summary, chr(10) || chr(10) order by position)) as summary_md5 from {_NOTES_SQL} group by 1, 2")
+def a06_reduce_groups(spark, d):
+    out = A.reduce_once(_notes(spark, d), ["codebase"], lambda s: s)
+    return out.select("codebase", "position", F.md5("summary").alias("summary_md5"))
+
+
+@query()
+def a06_hierarchical_reduce(spark, d):
+    """One text for each code base, tens joined and cut to a budget on every level."""
+    return A.hierarchical_reduce(_notes(spark, d), ["codebase"], lambda s: T.truncate(s, 120)).select("codebase", F.length("summary").alias("n"))
+
+
+@query(
+    f"""with p as (select coalesce(codebase, 'unknown') as codebase, count(*) as files, cast(sum(coalesce(octet_length(encode(content)), 0)) as bigint) as bytes, count(distinct {LANG_SQL}) as languages, string_agg(distinct {LANG_SQL}, ',' order by {LANG_SQL}) as names from {FILES_SQL} group by 1)
+select codebase, files, bytes, languages, names, round(bytes / 1048576.0::double, 2) as size_mb, case when files > 1000 or bytes > 104857600 then 12 when files < 50 then 4 else 8 end as workers, case when files > 1000 or bytes > 104857600 then 3000 when files < 50 then 1500 else 2000 end as chunk_size, not files < 50 as fallback,
+concat_ws('; ', case when files > 500 then 'narrow the globs' end, case when list_contains(string_split(names, ','), 'python') and list_contains(string_split(names, ','), 'javascript') then 'mixed languages' end, case when bytes > 52428800 then 'raise the chunk size' end) as advice from p"""
+)
+def a09_codebase_profile(spark, d):
+    rows = _files(spark, d, "codebase", "content").select("file_id", F.coalesce("codebase", F.lit("unknown")).alias("codebase"), "language", F.coalesce(F.octet_length("content"), F.lit(0)).alias("bytes")).distinct()
+    return A.profile(rows, "codebase")
+
+
+@query(
+    f"with r as (select coalesce(a.codebase, 'unknown') as codebase, count(distinct a.request_id) as requests, count(distinct case when a.ok then a.request_id end) as answered, count(distinct a.provider) as providers, cast(coalesce(sum(a.tokens), 0) as bigint) as tokens from {ATT_SQL} a group by 1) select *, round(coalesce(answered / nullif(requests, 0), 0), 6) as success_rate from r"
+)
+def a10_batch_stats(spark, d):
+    a = table(spark, d, "attempts").distinct().withColumn("codebase", F.coalesce("codebase", F.lit("unknown")))
+    # by request first: distinct counts then need no second pass over all tries
+    per = a.groupBy("codebase", "request_id").agg(F.bool_or("ok").alias("ok"), F.sum("tokens").alias("t"), F.collect_set("provider").alias("p"))
+    out = per.groupBy("codebase").agg(F.count("*").alias("requests"), F.count_if("ok").alias("answered"), F.size(F.array_distinct(F.flatten(F.collect_set("p")))).cast("bigint").alias("providers"), F.coalesce(F.sum("t"), F.lit(0)).cast("bigint").alias("tokens"))
+    return out.withColumn("success_rate", A.success_rate(F.col("answered"), F.col("requests")))
+
+
+@query("select domain, string_agg(codebase, ', ' order by codebase) as codebases, count(*) as n, round(avg(length(codebase)), 6) as mean_length from codebases group by domain")
+def a11_batch_report(spark, d):
+    return table(spark, d, "codebases").groupBy("domain").agg(F.listagg("codebase", F.lit(", ")).alias("x"), F.array_join(F.array_sort(F.collect_list("codebase")), ", ").alias("codebases"), F.count("*").alias("n"), F.round(F.avg(F.length("codebase")), 6).alias("mean_length")).drop("x")
+
+
+@query()
+def a13_file_analysis(spark, d):
+    a = _analysed(spark, d)
+    e = A.cap_elements(elements.elements(a, "file_id").select("file_id", "start_line", "pattern", "name", "element_type").distinct(), "file_id")
+    per = e.groupBy("file_id").agg(F.count("*").alias("elements"), F.count_if(F.col("element_type") == "method").alias("methods"), F.count_if(F.col("element_type") == "class").alias("classes"))
+    lines = a.select("file_id", "parser", F.size(F.split("content", "\n")).alias("lines"), F.size("analysis.dependencies").alias("dependencies")).distinct()
+    return lines.join(per, "file_id", "left").fillna(0, ["elements", "methods", "classes"])
+
+
+@query()
+def a05_element_histogram(spark, d):
+    return elements.elements(_analysed(spark, d), "file_id").select("file_id", "parser", "element_type", "name", "start_line").distinct().groupBy("parser", "element_type").agg(F.count("*").alias("elements"))
+
+
+@query()
+def a05_dependency_fan_in(spark, d):
+    return elements.dependencies(_analysed(spark, d), "file_id").select("file_id", "parser", "source").distinct().groupBy("parser", "source").agg(F.count("*").alias("files"))
+
+
+# -- windows, sets, control
+@query(f"with f as (select distinct file_id, relative_path, {LANG_SQL} as language, size from files where relative_path is not null), r as (select *, row_number() over (partition by language order by relative_path, file_id) as rank from f) select language, rank::bigint as rank, file_id, relative_path from r where rank <= 10")
+def w02_top_files(spark, d):
+    rows = _files(spark, d).where("relative_path is not null").distinct()
+    return A.top_files(rows).select("language", F.col("rank").cast("bigint").alias("rank"), "file_id", "relative_path")
+
+
+@query(
+    f"""with r as (select response_id, coalesce(model_used, 'none') as model, received_at, coalesce(tokens_used, 0) as t, cast(round(coalesce(processing_time, 0) * 1000000) as bigint) as s from {RESP_SQL}),
+w as (select *, row_number() over o as done, count(*) over (partition by model) as total, sum(t) over o as tk, sum(s) over o as sc from r window o as (partition by model order by received_at nulls last, response_id rows between unbounded preceding and current row))
+select response_id, model, done, (done * 10000 // total) / 100 as percent, tk::bigint as tokens_so_far, (sc // done) / 1000000 as mean_seconds, ((sc // done) * (total - done)) / 1000000 as eta_seconds from w"""
+)
+def w05_token_ledger(spark, d):
+    rows = table(spark, d, "responses", *_RESP).distinct().select("response_id", F.coalesce("model_used", F.lit("none")).alias("model"), "received_at", "tokens_used", "processing_time")
+    out = A.ledger(rows, by="model", time="received_at", order=[F.col("received_at").asc_nulls_last(), F.col("response_id")], tokens="tokens_used", seconds="processing_time")
+    return out.drop("received_at", "tokens_used", "processing_time")
+
+
+@query()
+def u02_dedup_elements(spark, d):
+    e = elements.elements(_analysed(spark, d), "file_id")
+    return A.dedup_elements(e, "file_id").select("file_id", "name", "start_line", "element_type")
+
+
+@query(
+    f"""with a as {ATT_SQL} select request_id, count(*) as tries, count(distinct provider) as providers, bool_or(ok) as answered, cast(coalesce(sum(case when ok then tokens end), 0) as bigint) as tokens,
+arg_min(provider, (attempted_at, attempt, provider)) as first_provider, arg_max(provider, (attempted_at, attempt, provider)) as last_provider, arg_min(provider, (attempted_at, attempt, provider)) <> arg_max(provider, (attempted_at, attempt, provider)) as fallback_used from a group by request_id"""
+)
+def c02_fallback_chains(spark, d):
+    return S.chain_outcomes(table(spark, d, "attempts").distinct())
+
+
+def _flaky(text: str, language: str) -> str:
+    if len(text) % 3 == 0:
+        raise RuntimeError("busy")
+    return S.first_sentence(text)
+
+
+@query()
+def c03_summarize_with_retries(spark, d):
+    """A failing and a sound offline provider over the requests; one row each with provider, fallback and number of tries."""
+    rows = table(spark, d, "requests", "request_id", "content", "language")
+    out = S.summarize(rows, (S.Provider("flaky", "m", _flaky), S.OFFLINE), keys=("request_id",), retries=2, wait=lambda s: None)
+    return out.select("request_id", "provider_used", "fallback_used", "tokens_used", F.size("attempts").alias("tries")).distinct()
+
+
+@query(
+    "with q as (select distinct request_id, file_id, file_path from requests), r as (select distinct response_id, request_id, summary, error from responses), x as (select q.file_id, r.response_id, case when r.error is null then r.summary end as s, r.error from q join r using (request_id)) select file_id, md5(coalesce(nullif(string_agg(s, chr(10) || chr(10) order by response_id), ''), 'No part of this file could be described.')) as summary_md5, count(error) as failed_parts from x group by file_id"
+)
+def c04_combine_parts(spark, d):
+    q = table(spark, d, "requests", "request_id", "file_id", "file_path").distinct()
+    r = table(spark, d, "responses", "response_id", "request_id", "summary", "error").distinct()
+    return S.combine_parts(r.join(q, "request_id"), "file_id", "response_id").select("file_id", F.md5("summary").alias("summary_md5"), "failed_parts")
+
+
+@query()
+def c05_fallback_report(spark, d):
+    files = _files(spark, d, "content").where("relative_path is not null").select("file_id", "relative_path", "language", F.substring("content", 1, 300).alias("summary")).distinct().withColumn("error", F.lit(None).cast("string"))
+    return report.fallback_report(files)
+
+
+_EDGES = {"scan": (), "filter": ("scan",), "parse": ("filter",), "chunk": ("filter",), "enrich": ("chunk", "parse"), "reduce": ("enrich",), "report": ("reduce",)}
+
+
+@query(
+    "with recursive e(s, d) as (values ('filter', 'scan'), ('parse', 'filter'), ('chunk', 'filter'), ('enrich', 'chunk'), ('enrich', 'parse'), ('reduce', 'enrich'), ('report', 'reduce')), l as (select 'scan' as s, 0 as depth union all select e.s, l.depth + 1 from l join e on e.d = l.s), m as (select s, max(depth) as depth from l group by s) select s as stage, (row_number() over (order by depth, s) - 1)::bigint as position from m"
+)
+def c06_stage_order(spark, d):
+    return spark.createDataFrame([(n, i) for i, n in enumerate(stages.topological(_EDGES))], "stage string, position bigint")
+
+
+@query(f"select distinct response_id, error from {RESP_SQL} where error is not null")
+def c07_error_view(spark, d):
+    return stages.error_rows(table(spark, d, "responses", "response_id", "error")).distinct()
+
+
+@query()
+def k02_markdown_report(spark, d):
+    return report.report_lines(a04_provider_usage(spark, d), a01_run_summary(spark, d))
+
+
+@query("select response_id, summary from (select distinct response_id, summary from responses) where summary is not null")
+def k03_json_rows(spark, d):
+    rows = table(spark, d, "responses", "response_id", "summary").where("summary is not null").distinct()
+    packed = rows.select(F.to_json(F.struct("response_id", "summary")).alias("j"))
+    return packed.select(F.from_json("j", "response_id bigint, summary string").alias("r")).select("r.*")
+
+
+@query("select date_trunc('hour', attempted_at) as hour, provider, count(*) as attempts, cast(coalesce(sum(tokens), 0) as bigint) as tokens, count(*) filter (where not ok) as errors from (select distinct * from attempts where attempted_at is not null) group by 1, 2")
+def z01_usage_by_hour(spark, d):
+    a = table(spark, d, "attempts").where("attempted_at is not null").distinct()
+    return a.groupBy(F.date_trunc("hour", "attempted_at").alias("hour"), "provider").agg(F.count("*").alias("attempts"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"), F.count_if(~F.col("ok")).alias("errors"))
