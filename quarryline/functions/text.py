@@ -90,7 +90,7 @@ def duration_text(seconds: Column) -> Column:
 
 
 def elapsed_text(seconds: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f seconds", _rounded(seconds, 2)), F.lit("Unknown"))
+    return F.when(seconds.isNull(), "Unknown").otherwise(F.format_string("%.2f seconds", _rounded(seconds, 2)))
 
 
 def cost(tokens: Column) -> Column:

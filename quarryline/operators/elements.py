@@ -369,15 +369,9 @@ def _html(text: str) -> tuple[list[Element], list[Dependency]]:
     return els, deps
 
 
-def _import_names(kind: str, m: re.Match, text: str) -> list[tuple[str, str, str | None]]:
+def _import_names(kind: str, m: re.Match) -> list[tuple[str, str, str | None]]:
     """(name, source, alias) of one import match."""
     g = m.groupdict()
-    if g.get("block") is not None:
-        out = []
-        for line in g["block"].split("\n"):
-            if x := re.match(r'\s*(?:([\w.]+)\s+)?"([^"]+)"', line):
-                out.append((x[2].rsplit("/", 1)[-1], x[2], x[1]))
-        return out
     if kind == "use" and "names" in g:  # Rust trees
         return [(p.rsplit("::", 1)[-1], p, a) for p, a in _use_tree(re.sub(r"\s+", " ", g["names"]))]
     source, alias = g["source"], (g.get("alias") or "").strip() or None
@@ -459,7 +453,12 @@ def parse(text: str | None, key: str) -> tuple[list[Element], list[Dependency]]:
         for im in lang.imports:
             for m in im.regex.finditer(text):
                 i = text.count("\n", 0, m.start())
-                deps += [(n, im.kind, s, a, i) for n, s, a in _import_names(im.kind, m, text)]
+                if m.groupdict().get("block") is not None:
+                    for k, line in enumerate(m["block"].split("\n")):
+                        if x := re.match(r'\s*(?:([\w.]+)\s+)?"([^"]+)"', line):
+                            deps.append((x[2].rsplit("/", 1)[-1], "import", x[2], x[1], i + k))
+                    continue
+                deps += [(n, im.kind, s, a, i) for n, s, a in _import_names(im.kind, m)]
     els.sort(key=lambda e: (e[2], e[5], e[0]))
     deps = sorted(set(deps), key=lambda d: (d[4], d[2], d[0], d[1], d[3] or ""))
     return els, deps

@@ -17,7 +17,8 @@ def read_table_stream(spark: SparkSession, folder: str, schema, *, files_per_tri
 def usage_windows(attempts: DataFrame, *, late: str = "7 days", width: str = "1 hour") -> DataFrame:
     """Tries, tokens and errors by provider and hour of attempt; rows later than ``late`` are left out, state is bounded by it."""
     return (
-        attempts.withWatermark("attempted_at", late)
+        attempts.withColumn("attempted_at", F.col("attempted_at").cast("timestamp"))
+        .withWatermark("attempted_at", late)
         .groupBy(F.window("attempted_at", width).alias("w"), "provider")
         .agg(F.count("*").alias("attempts"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"), F.count_if(~F.col("ok")).alias("errors"))
         .select(F.col("w.start").alias("hour"), "provider", "attempts", "tokens", "errors")
@@ -26,7 +27,7 @@ def usage_windows(attempts: DataFrame, *, late: str = "7 days", width: str = "1
 
 def dedup_stream(rows: DataFrame, keys: list[str], time: str, late: str = "7 days") -> DataFrame:
     """Repeats of a key dropped, with state kept only for the lateness allowed."""
-    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return rows.where(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def incremental(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
