@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 #: fixed values: words one of which stands on every line that can hold a secret
 KEYWORDS = (
-    "pass pwd passwd secret token key credential bearer auth login connect open( session( dial( bind( --with curl authorization basic _pw pw= \"pw -pw dsn connection identified :// "
+    "pass pw secret token key credential bearer auth login connect open( session( dial( bind( --with curl authorization basic dsn connection identified :// "
     "private akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xox sk- sk_ rk_ aiza eyj npm_ pypi- sg. hf_ dop_v1_ shpat_ -u pin salt"
-).split()
+).split() + ["open as", "session as"]
 #: fixed values: issuer formats
 ISSUERS = (
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
@@ -71,16 +71,20 @@ _ABOUT = frozenset(
 )
 #: fixed values: names whose value may be a user and a password joined by a colon
 _PAIR_NAMES = frozenset("auth connect connection login basic creds account userpass user upstream broker dsn proxy".split())
-_LOGIN = re.compile(r"(?i)\blog-?in(?::| as|) +[\w.@-]+ */ *(\S+)|--with[= ]+(\S+)|\bkey is +[`'\"]?([^\s`'\"]+)|\bpass(?:word)?/user: *\S+ */ *(\S+)")
+_PAIR = re.compile(r"([A-Za-z_][\w.\-]*)[\"'`]?\s*\]?(?:\s*:\s*&?(?:'static\s+)?\w+)?\s*[:=]\s*(?:dict\(value=|\{\s*value:\s*)?[\"'`]?[A-Za-z][\w.-]*:(?!//)([^\s\"'`,;:]{6,})")
+_DB = re.compile(r"(?i)(?:\s-u[ =]?|--user[ =])\S+.*?(?:\s-p ?|--pass(?:word)?[ =])(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"';]+))")
+_LOGIN = re.compile(r"(?i)\b(?:log-?in|open|auth|connect|sign-?in|session|bind)(?::| as|) +[\w.@-]+ */ *(\S+)|--with[= ]+(\S+)|\bkey is +[`'\"]?([^\s`'\"]+)|\bpass(?:word)?/user: *\S+ */ *(\S+)")
+#: what every name of a secret holds
+_NAME_PARTS = ("pass", "pw", "secret", "token", "credential", "bearer", "key", "login", "contrasena")
 _REF = re.compile(
-    r"(?i)^(?:\$.*|%\(?\w+.*|<[^>]*>?|\{\{.*|\{[^}]*\}|\[.*\]|env[:.(].*|vault[:/].*|secret[:/].*|ref[:/].*|arn:.*|file:.*|ssm:.*|aws:.*|gcp:.*|azure:.*|op://.*|keyring:.*|process\.env.*|os\.(?:environ|getenv).*|System\.getenv.*|getenv.*|config\..*|settings\..*|self\..*|this\..*|env::.*|std::env.*)$"
+    r"(?i)^(?:\$.*|%\(\w+\)[sd].*|(?-i:%[A-Z_][A-Z0-9_]*%)|%[sdv]|<[^>]*>?|\{\{.*|\{[^}]*\}|\[.*\]|env[:.(].*|vault[:/].*|secret[:/].*|ref[:/].*|arn:.*|file:.*|ssm:.*|aws:.*|gcp:.*|azure:.*|op://.*|keyring:.*|process\.env.*|os\.(?:environ|getenv).*|System\.getenv.*|getenv.*|config\..*|settings\..*|self\..*|this\..*|env::.*|std::env.*)$"
 )
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:(.)\1{3,}|x{3,}[\w-]*|\*+|\.+|-+|_+|change[-_]?me.*|replace[-_]?(?:me|this)?.*|your[-_ ]?.*|my[-_]?(?:secret|password|token|key)|todo.*|tbd|fixme|none|null|nil|undefined|true|false|yes|no|on|off|empty|dummy|example.*|sample|placeholder.*|redacted.*|hidden|masked|removed|secret|password|token|string|str|insert.*|fill.*|enter.*|put.*|<.*>|not[-_ ]?set|test|none\b.*)$"
 )
 _NOT_VALUE = re.compile(
-    r"(?i:https?://\S*|/\S*|\.{0,2}/\S*|[\w-]+\.(?:py|js|ts|go|rs|java|json|ya?ml|toml|txt|md|pem|key|crt|env|html?|example\S*)|\d+(?:\.\d+)*|v\d+(?:\.\d+)+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(?:sha\d+|md5)[-:].*|ssh-(?:rsa|ed25519|dss).*|data:.*)$"
-    r"|[a-z]+(?:[_-][a-z]+)*$|[A-Z]+(?:_[A-Z]+)*$|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$|[A-Za-z]+\.[A-Za-z_.]+$|(?:[A-Z]?[a-z]+){1,4}$|[a-z]+(?:_[a-z]+)*_\d{1,4}$"
+    r"(?i:https?://\S*|\.{1,2}/\S*|[\w-]+\.(?:py|js|ts|go|rs|java|json|ya?ml|toml|txt|md|pem|key|crt|env|html?|example\S*)|\d+(?:\.\d+)*|v\d+(?:\.\d+)+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(?:sha\d+|md5)[-:].*|ssh-(?:rsa|ed25519|dss).*|data:.*)$"
+    r"|(?:/[a-z0-9_.-]+|/[A-Z]?[a-z_.-]+)+/?$|[a-z]+(?:[_-][a-z]+)*$|[A-Z]+(?:_[A-Z]+)*$|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$|[A-Za-z]+\.[A-Za-z_.]+$|(?:[A-Z]?[a-z]+){1,4}$|[a-z]+(?:_[a-z]+)*_\d{1,2}$"
 )
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -118,7 +122,7 @@ def is_value(v: str, least: int = 6) -> bool:
 def _line_spans(line: str) -> list[tuple[int, int]]:
     """Spans of secret values in one line (key blocks apart)."""
     out = []
-    for m in _URL.finditer(line):
+    for m in _URL.finditer(line) if "://" in line else ():
         v = m[1]
         if not _REF.match(v) and not _PLACEHOLDER.match(v) and len(v) >= 4 and "${" not in v and "{{" not in v and not re.fullmatch(r"(?i)pass|password|pwd|secret|%s|\{.*\}|\.\.\.", v):
             out.append(m.span(1))
@@ -126,18 +130,23 @@ def _line_spans(line: str) -> list[tuple[int, int]]:
         body = re.sub(r"^[A-Za-z]{2,10}[-_.]", "", m[0])
         if _entropy(body) >= 2.5 and not re.search(r"(?i)(.)\1{7,}|example|xxxx", body):
             out.append(m.span())
-    for rx in (_HEADER, _CALL, _FLAG, _LOGIN):
+    low = line.lower()
+    ways = [_HEADER] if "bearer" in low or "basic" in low or "author" in low or "x-" in low else []
+    ways += [_CALL] if "(" in line else []
+    ways += [_FLAG, _DB] if "-" in line or " by " in low or "password " in low else []
+    ways += [_LOGIN] if "/" in line or "key is" in low or "--with" in low else []
+    for rx in ways:
         for m in rx.finditer(line):
             k = next((i for i in range(1, m.re.groups + 1) if m[i] is not None), 0)
             if k and is_value(m[k]):
                 out.append(m.span(k))
-    pos = 0
+    for m in _PAIR.finditer(line) if ":" in line and any(w in low for w in _PAIR_NAMES) else ():
+        if _PAIR_NAMES & set(name_words(m[1])) and is_value(m[2]):
+            out.append(m.span(2))
+    pos = 0 if any(w in low for w in _NAME_PARTS) else len(line)
     while m := _ASSIGN.search(line, pos):
         k = next((i for i in range(2, 6) if m[i] is not None), 0)
         name, pos = m[1], max(m.end(1), m.start() + 1)
-        if k and (pair := re.fullmatch(r"[\w.-]+:(\S{6,})", m[k])) and _PAIR_NAMES & set(name_words(name)) and is_value(pair[1]):
-            out.append((m.start(k) + pair.start(1), m.end(k)))
-            continue
         if not k or not is_secret_name(name):
             continue
         span, v = m.span(k), m[k]
@@ -152,7 +161,7 @@ def _line_spans(line: str) -> list[tuple[int, int]]:
             continue
         if is_value(v) and not ("-----BEGIN" in v):
             out.append(span)
-    for m in _PROSE.finditer(line):
+    for m in _PROSE.finditer(line) if any(w in low for w in _NAME_PARTS) else ():
         v = m[2].rstrip(".,;:!?)") if len(m[2]) > 24 else m[2]
         if is_secret_name(m[1]) and is_value(v, 8) and re.search(r"\d|[^\w.,'-]", v) and not v.endswith("(") and not re.match(r"(?i)[a-z_]+[=:(\[]", v):
             out.append((m.start(2), m.start(2) + len(v)))
