@@ -14,7 +14,7 @@ from quarryline.operators import aggregates as A
 from quarryline.operators import chunking, elements, report
 from quarryline.operators import summarize as S
 from quarryline.plans import stages
-from quarryline.sources import scan_directory, table
+from quarryline.sources import scan_directory, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -282,7 +282,7 @@ select file_id, chunk_no::bigint as chunk_no, s as start_line, e as end_line, ca
 
 
 def _packed(spark, d, size, overlap):
-    rows = chunking.chunks(_files(spark, d, "content"), size=size, overlap=overlap, strategy="generic")
+    rows = chunking.chunks(spread(_files(spark, d, "content")), size=size, overlap=overlap, strategy="generic")
     return rows.select("file_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "tokens").distinct()
 
 
@@ -299,7 +299,7 @@ def g04_chunks_overlap(spark, d):
 @query()
 def g01_chunks_by_language(spark, d):
     """Syntax-tree chunks for Python, pattern chunks for Rust, Go and scripts, packed lines for the rest, oversize ones re-split."""
-    rows = chunking.chunks(_files(spark, d, "content"), size=200, overlap=40)
+    rows = chunking.chunks(spread(_files(spark, d, "content")), size=200, overlap=40)
     return rows.select("file_id", "chunk_no", "start_line", "end_line", "chunk_type", "tokens").distinct()
 
 
@@ -309,8 +309,13 @@ def g08_lines(spark, d):
     return rows.groupBy("file_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("bigint").alias("characters"), F.max("line_no").cast("bigint").alias("last_line"))
 
 
+def _parsed(spark, d, language: str | None = None):
+    rows = _files(spark, d, "content")
+    return elements.analyse(spread(rows.where(F.col("language") == language) if language else rows))
+
+
 def _analysed(spark, d):
-    return elements.analyse(_files(spark, d, "content"))
+    return _parsed(spark, d)
 
 
 @query()
@@ -332,7 +337,7 @@ _RUST_FN = r"^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?(?:(?:async|unsafe|const)[ \t]
 
 @query(_line_sql(".rs", _RUST_FN, f"regexp_extract(line, {_q(_RUST_FN)}, 1) as name, n::bigint as start_line, case when regexp_matches(line, '^[ \\t]*pub') then 'public' else 'private' end as visibility"))
 def g06_rust_functions(spark, d):
-    return elements.elements(elements.analyse(_files(spark, d, "content").where("language = 'rust'")), "file_id").where("pattern = 'function'").select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"), "visibility").distinct()
+    return elements.elements(_parsed(spark, d, "rust"), "file_id").where("pattern = 'function'").select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"), "visibility").distinct()
 
 
 _GO_METHOD = r"^func[ \t]*\([^)\n]*\)[ \t]*([A-Za-z0-9_]+)"
@@ -340,7 +345,7 @@ _GO_METHOD = r"^func[ \t]*\([^)\n]*\)[ \t]*([A-Za-z0-9_]+)"
 
 @query(_line_sql(".go", _GO_METHOD, f"regexp_extract(line, {_q(_GO_METHOD)}, 1) as name, n::bigint as start_line, case when regexp_matches(regexp_extract(line, {_q(_GO_METHOD)}, 1), '^[A-Z]') then 'public' else 'private' end as visibility"))
 def g06_go_methods(spark, d):
-    return elements.elements(elements.analyse(_files(spark, d, "content").where("language = 'golang'")), "file_id").where("pattern = 'method'").select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"), "visibility").distinct()
+    return elements.elements(_parsed(spark, d, "golang"), "file_id").where("pattern = 'method'").select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"), "visibility").distinct()
 
 
 _SQL_TABLE = r"^[ \t]*(?i:create)[ \t]+(?i:table)[ \t]+(?i:if[ \t]+not[ \t]+exists[ \t]+)?([A-Za-z0-9_.]+)"
@@ -348,7 +353,7 @@ _SQL_TABLE = r"^[ \t]*(?i:create)[ \t]+(?i:table)[ \t]+(?i:if[ \t]+not[ \t]+exis
 
 @query(_line_sql(".sql", _SQL_TABLE, f"regexp_extract(line, {_q(_SQL_TABLE)}, 1) as name, n::bigint as start_line"))
 def g06_sql_tables(spark, d):
-    return elements.elements(elements.analyse(_files(spark, d, "content").where("language = 'sql'")), "file_id").where("pattern = 'table'").select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line")).distinct()
+    return elements.elements(_parsed(spark, d, "sql"), "file_id").where("pattern = 'table'").select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line")).distinct()
 
 
 _JAVA_IMPORT = r"^[ \t]*import[ \t]+([A-Za-z0-9_.*]+)[ \t]*;"
@@ -356,7 +361,7 @@ _JAVA_IMPORT = r"^[ \t]*import[ \t]+([A-Za-z0-9_.*]+)[ \t]*;"
 
 @query(_line_sql(".java", _JAVA_IMPORT, f"regexp_extract(line, {_q(_JAVA_IMPORT)}, 1) as source, n::bigint as line_number"))
 def g07_java_imports(spark, d):
-    return elements.dependencies(elements.analyse(_files(spark, d, "content").where("language = 'java'")), "file_id").where("import_type = 'import'").select("file_id", "source", F.col("line_number").cast("bigint").alias("line_number")).distinct()
+    return elements.dependencies(_parsed(spark, d, "java"), "file_id").where("import_type = 'import'").select("file_id", "source", F.col("line_number").cast("bigint").alias("line_number")).distinct()
 
 
 _RUST_USE = r"^[ \t]*use[ \t]+([A-Za-z0-9_:]+)[ \t]*;"
@@ -364,7 +369,7 @@ _RUST_USE = r"^[ \t]*use[ \t]+([A-Za-z0-9_:]+)[ \t]*;"
 
 @query(_line_sql(".rs", _RUST_USE, f"regexp_extract(line, {_q(_RUST_USE)}, 1) as source, n::bigint as line_number"))
 def g09_rust_uses(spark, d):
-    return elements.dependencies(elements.analyse(_files(spark, d, "content").where("language = 'rust'")), "file_id").where("import_type = 'use'").select("file_id", "source", F.col("line_number").cast("bigint").alias("line_number")).distinct()
+    return elements.dependencies(_parsed(spark, d, "rust"), "file_id").where("import_type = 'use'").select("file_id", "source", F.col("line_number").cast("bigint").alias("line_number")).distinct()
 
 
 _SNIPPETS = [
@@ -393,10 +398,9 @@ def g06_elements_other_languages(spark, d):
 # -- lookups
 @query()
 def j01_hint_join(spark, d):
-    a = _analysed(spark, d)
-    h = A.hints(elements.elements(a, "file_id").select("file_id", "start_line", "pattern", "name").distinct(), elements.dependencies(a, "file_id").distinct(), "file_id")
-    c = chunking.chunks(_files(spark, d, "content"), size=200, overlap=0, strategy="generic").select("file_id", "chunk_no", "tokens").distinct()
-    return c.join(h, "file_id", "left").select("file_id", "chunk_no", "tokens", F.array_join(F.coalesce("top_elements", F.array().cast("array<string>")), ",").alias("top_elements"), F.coalesce("dependency_count", F.lit(0).cast("bigint")).alias("dependency_count"))
+    h = A.hints(_analysed(spark, d), "file_id").select("file_id", F.array_join("top_elements", ",").alias("top_elements"), "dependency_count").distinct()
+    c = chunking.chunks(spread(_files(spark, d, "content")), size=200, overlap=0, strategy="generic").select("file_id", "chunk_no", "tokens").distinct()
+    return c.join(h, "file_id", "left").select("file_id", "chunk_no", "tokens", F.coalesce("top_elements", F.lit("")).alias("top_elements"), F.coalesce("dependency_count", F.lit(0).cast("bigint")).alias("dependency_count"))
 
 
 @query(
@@ -512,11 +516,10 @@ def a11_batch_report(spark, d):
 
 @query()
 def a13_file_analysis(spark, d):
-    a = _analysed(spark, d)
-    e = A.cap_elements(elements.elements(a, "file_id").select("file_id", "start_line", "pattern", "name", "element_type").distinct(), "file_id")
-    per = e.groupBy("file_id").agg(F.count("*").alias("elements"), F.count_if(F.col("element_type") == "method").alias("methods"), F.count_if(F.col("element_type") == "class").alias("classes"))
-    lines = a.select("file_id", "parser", F.size(F.split("content", "\n")).alias("lines"), F.size("analysis.dependencies").alias("dependencies")).distinct()
-    return lines.join(per, "file_id", "left").fillna(0, ["elements", "methods", "classes"])
+    """Elements (at most 200), methods, classes, dependencies and lines of each file, from its own row."""
+    capped = F.slice("analysis.elements", 1, A.MOST_ELEMENTS)
+    of = lambda kind: F.size(F.filter(capped, lambda e: e["element_type"] == kind))
+    return _analysed(spark, d).select("file_id", "parser", F.size(F.split("content", "\n")).alias("lines"), F.size("analysis.dependencies").alias("dependencies"), F.size(capped).alias("elements"), of("method").alias("methods"), of("class").alias("classes")).distinct()
 
 
 @query()
@@ -570,7 +573,7 @@ def _flaky(text: str, language: str) -> str:
 @query()
 def c03_summarize_with_retries(spark, d):
     """A failing and a sound offline provider over the requests; one row each with provider, fallback and number of tries."""
-    rows = table(spark, d, "requests", "request_id", "content", "language")
+    rows = spread(table(spark, d, "requests", "request_id", "content", "language"))
     out = S.summarize(rows, (S.Provider("flaky", "m", _flaky), S.OFFLINE), keys=("request_id",), retries=2, wait=lambda s: None)
     return out.select("request_id", "provider_used", "fallback_used", "tokens_used", F.size("attempts").alias("tries")).distinct()
 

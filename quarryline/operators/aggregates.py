@@ -72,11 +72,10 @@ def cap_elements(elements: DataFrame, key: str, n: int = MOST_ELEMENTS) -> DataF
     return elements.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def hints(elements: DataFrame, dependencies: DataFrame, key: str, n: int = TOP_NAMES) -> DataFrame:
-    """Top names and number of dependencies of each file."""
-    e = elements.groupBy(key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "pattern", "name"))), lambda x: x["name"]), 1, n).alias("top_elements"))
-    d = dependencies.groupBy(key).agg(F.count("*").alias("dependency_count"))
-    return e.join(d, key, "full_outer").select(key, F.coalesce("top_elements", F.array().cast("array<string>")).alias("top_elements"), F.coalesce("dependency_count", F.lit(0)).cast("bigint").alias("dependency_count"))
+def hints(analysed: DataFrame, *keep: str, n: int = TOP_NAMES, analysis: str = "analysis") -> DataFrame:
+    """First names in order of lines and number of dependencies of each file, from its own row: nothing is shuffled."""
+    names = F.transform(F.col(f"{analysis}.elements"), lambda e: e["name"])
+    return analysed.select(*keep, F.slice(names, 1, n).alias("top_elements"), F.size(f"{analysis}.dependencies").cast("bigint").alias("dependency_count"))
 
 
 def ledger(rows: DataFrame, *, by: str, time: str, order: list[str], tokens: str, seconds: str, bucket: str = "hour") -> DataFrame:

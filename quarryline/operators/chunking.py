@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 SIZE, OVERLAP = 2000, 400
 LEAST_PATTERN_TOKENS = 50
 OVERSIZE = 1.5
@@ -132,7 +134,7 @@ def chunks(files: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, tokens
     the JVM.  Empty and null contents give no chunk.
     """
 
-    @F.pandas_udf(_SPANS)
+    @arrow_udf(_SPANS)
     def spans(t: pd.Series, g: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(t, g):

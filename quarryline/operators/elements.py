@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
 from quarryline.functions.paths import extension
 from quarryline.operators.languages import BY_LANGUAGE, BY_SUFFIX, LANGUAGES, STOP, Language, Pattern
 
@@ -473,7 +474,7 @@ _OUT = (
 def analyse(files: DataFrame, *, text: str = "content", language: str = "language", path: str = "relative_path", out: str = "analysis") -> DataFrame:
     """The files with a parser and a struct of arrays: elements and dependencies of each."""
 
-    @F.pandas_udf(_OUT)
+    @arrow_udf(_OUT)
     def run(t: pd.Series, k: pd.Series) -> pd.DataFrame:
         e_names = ("name", "element_type", "start_line", "end_line", "visibility", "pattern", "metadata")
         d_names = ("name", "import_type", "source", "alias", "line_number")
