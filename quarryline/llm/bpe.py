@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 #: where the vocabulary files lie; a parameter of every operator here
 VOCABULARIES = os.environ.get("QUARRYLINE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
@@ -195,7 +197,7 @@ def encoder(vocabulary: str = BYTE_BPE_50K, folder: str | None = None) -> Encode
 def token_count(text: Column, vocabulary: str = BYTE_BPE_50K, folder: str | None = None) -> Column:
     """Exact number of tokens of a text column."""
 
-    @F.pandas_udf("long")
+    @arrow_udf("long")
     def count(t: pd.Series) -> pd.Series:
         return t.map(encoder(vocabulary, folder).count, na_action=None).astype("int64")
 

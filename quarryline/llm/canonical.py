@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 SETTINGS = re.compile(r"(?i)(?:\.(?:env|ini|cfg|conf|properties|toml|cnf|editorconfig)|(?:^|/)\.env(?:\.[\w-]+)?|\.env\.[\w-]+)$")
 YAML = re.compile(r"(?i)\.ya?ml$")
 JSON = re.compile(r"(?i)\.(?:json|jsonl|geojson|webmanifest)$")
@@ -93,7 +95,7 @@ def canonical(text: str | None, path: str | None = None, language: str | None =
 def fingerprints(df: DataFrame, *, id: str = "request_id", text: str = "content", path: str = "file_path", language: str = "language") -> DataFrame:
     """(id, h1, h2, n): 128-bit hash, 64-bit hash and length of each canonical form."""
 
-    @F.pandas_udf("struct<h1:string,h2:long,n:long>")
+    @arrow_udf("struct<h1:string,h2:long,n:long>")
     def form(t: pd.Series, p: pd.Series, g: pd.Series) -> pd.DataFrame:
         import xxhash
 

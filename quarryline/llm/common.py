@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from quarryline.sources import spread  # noqa: F401 - used by the queries
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder all executors share.
@@ -21,12 +23,3 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="quarryline-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores when the input has fewer splits than there are cores.
-
-    Only inputs of a few small files are moved; large ones already have splits enough.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 from .common import cut
 
 #: fixed values: directory names that stand for copied or written-by-tool content
@@ -160,13 +162,14 @@ def declared(files: DataFrame) -> DataFrame:
     path alone and meet the rules of their ancestor directories by key.
     """
 
-    @F.pandas_udf("array<struct<line:int,rx:string,marked:boolean>>")
+    @arrow_udf("array<struct<line:int,rx:string,marked:boolean>>")
     def rules(text: pd.Series) -> pd.Series:
         return text.map(parse_attributes)
 
     attr = (
         files.where(F.col("path").rlike(r"(^|/)\.gitattributes$"))
-        .select("repo", F.regexp_replace("path", r"/?\.gitattributes$", "").alias("dir"), F.explode(rules("text")).alias("r"))
+        .select("repo", F.regexp_replace("path", r"/?\.gitattributes$", "").alias("dir"), rules("text").alias("rs"))
+        .select("repo", "dir", F.explode("rs").alias("r"))
         .select("repo", "dir", "r.line", "r.rx", "r.marked")
     )
     parts = F.split("path", "/")
@@ -195,7 +198,7 @@ def classify(files: DataFrame, *, id: str = "file_id", repo: str = "codebase", p
     The content is read once, in place; only ids, paths and verdicts move.
     """
 
-    @F.pandas_udf("string")
+    @arrow_udf("string")
     def evidence(p: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([kind_of_text(a, b) for a, b in zip(p, t)], dtype=object)
 

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 
 
 def _chars(points: str) -> str:
@@ -121,7 +123,7 @@ def skeleton(form: str) -> str:
 def normalize(df: DataFrame, *, text: str = "text", out: str = "form") -> DataFrame:
     """The rows with one more column, the consistent form of the text."""
 
-    @F.pandas_udf("string")
+    @arrow_udf("string")
     def form(t: pd.Series) -> pd.Series:
         return t.map(normal_form)
 
@@ -131,7 +133,7 @@ def normalize(df: DataFrame, *, text: str = "text", out: str = "form") -> DataFr
 def prints(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, form, raw): 128-bit hashes of the skeleton and of the text as it is."""
 
-    @F.pandas_udf("struct<form:string,raw:string>")
+    @arrow_udf("struct<form:string,raw:string>")
     def hashes(t: pd.Series) -> pd.DataFrame:
         import xxhash
 

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 #: fixed values: words that fill a field and say nothing
 FILLER = frozenset(
     "summary résumé resume zusammenfassung resumen riassunto n a na none null nil undefined nan empty no content output text answer response result keine inhalt leer vide vacío sin contenido aucun tbd todo description "
@@ -289,7 +291,7 @@ def defects(requests: DataFrame, responses: DataFrame) -> DataFrame:
     q = requests.select("request_id", "content", "answer_lang").dropDuplicates(["request_id"])
     r = responses.select("response_id", "request_id", "summary").dropDuplicates(["response_id"])
 
-    @F.pandas_udf("string")
+    @arrow_udf("string")
     def judge(c: pd.Series, s: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([defect(x, y, z) for x, y, z in zip(c, s, a)], dtype=object)
 

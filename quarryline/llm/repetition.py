@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 CHUNK = 4096
 #: (length in bytes up to which it holds, ratio at or above which no text is repetitive, ratio over which it is incompressible)
 BANDS = ((64, 2.0, 2.0), (128, 0.9, 1.3), (256, 0.75, 1.1), (512, 0.62, 1.0), (1024, 0.56, 0.95), (4096, 0.5, 0.9), (1 << 62, 0.48, 0.88))
@@ -102,7 +104,7 @@ def measure(text: str | None) -> tuple[float | None, float | None, str, float]:
 def repetition(df: DataFrame, *, text: str = "summary", out: str = "repetition") -> DataFrame:
     """The rows with a struct (ratio, least_chunk_ratio, band, share)."""
 
-    @F.pandas_udf("struct<ratio:double,least_chunk_ratio:double,band:string,share:double>")
+    @arrow_udf("struct<ratio:double,least_chunk_ratio:double,band:string,share:double>")
     def m(t: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(x) for x in t], columns=["ratio", "least_chunk_ratio", "band", "share"])
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 #: fixed values: words one of which stands on every line that can hold a secret
 KEYWORDS = (
     "pass pw secret token key credential bearer auth login connect open( session( dial( bind( --with curl authorization basic dsn connection identified :// "
@@ -247,18 +249,18 @@ def redact_text(text: str | None) -> str | None:
 def secret_lines(df: DataFrame, *, id: str = "request_id", text: str = "content") -> DataFrame:
     """One row (id, line_no) for each line that holds a secret."""
 
-    @F.pandas_udf("array<long>")
+    @arrow_udf("array<long>")
     def lines(t: pd.Series) -> pd.Series:
         return t.map(lambda x: find(x)[0])
 
-    rows = df.select(F.col(id).alias(id), F.explode(lines(F.col(text))).alias("line_no"))
-    return rows.distinct()
+    rows = df.select(F.col(id).alias(id), lines(F.col(text)).alias("__lines"))
+    return rows.select(id, F.explode("__lines").alias("line_no")).distinct()
 
 
 def redact(df: DataFrame, *, text: str = "content", out: str = "redacted") -> DataFrame:
     """The rows with one more column, the text without its secrets."""
 
-    @F.pandas_udf("string")
+    @arrow_udf("string")
     def clean(t: pd.Series) -> pd.Series:
         return t.map(redact_text)
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 from .parsers import LANGUAGE_OF_SUFFIX
 
 _SUFFIX = r"(?i)\.({})$".format("|".join(LANGUAGE_OF_SUFFIX))
@@ -28,7 +30,7 @@ def grammar_language(path: Column) -> Column:
 def first_errors(df: DataFrame, *, path: str = "relative_path", text: str = "content", out: str = "syntax") -> DataFrame:
     """The rows of parseable suffixes with a struct (language, line, token): the first error, null if there is none."""
 
-    @F.pandas_udf("struct<line:long,token:string>")
+    @arrow_udf("struct<line:long,token:string>")
     def check(g: pd.Series, t: pd.Series) -> pd.DataFrame:
         from .parsers import first_error
 
