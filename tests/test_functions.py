@@ -81,9 +81,18 @@ def test_packing_covers_every_line_in_order(lines, size, overlap):
     assert spans[0][0] == 0 and spans[-1][1] == len(lines)
     for (a, b), (c, e) in zip(spans, spans[1:]):
         assert a < b and a < c <= b < e  # advances, no gap
-    for a, b in spans:
-        body = sum(chunking.char_tokens(x) for x in lines[a : b - 1])
-        assert b - a == 1 or body <= size or sum(chunking.char_tokens(x) for x in lines[a:b]) - chunking.char_tokens(lines[b - 1]) <= size + max(map(chunking.char_tokens, lines))
+    # the same by prefix sums: an end is the first line, after the one forced in, at which the size is passed
+    cum = [0]
+    for x in lines:
+        cum.append(cum[-1] + chunking.char_tokens(x))
+    want, s, e = [], 0, next((i for i in range(1, len(lines)) if cum[i + 1] > size), len(lines))
+    while True:
+        want.append((s, e))
+        if e == len(lines):
+            break
+        s = e - min((e - s) * overlap // size, max(e - s - 1, 0))
+        e = next((i for i in range(e + 1, len(lines)) if cum[i + 1] - cum[s] > size), len(lines))
+    assert spans == want
 
 
 def test_packing_examples():
