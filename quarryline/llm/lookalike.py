@@ -67,23 +67,26 @@ def _tables():
     """(class of unstable characters as a pattern, replacement of each)."""
     swap: dict[int, str] = {}
     runs: list[list[int]] = []
-    for n in (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)):
+    for n in (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)):  # all that has a decomposition or is invisible
         c = chr(n)
         p = "" if n >= 0xE0000 else _plain(c)
         if p != c:
             swap[n] = p
         elif not (unicodedata.combining(c) or 0x1161 <= n <= 0x11FF or n in (0x3099, 0x309A) or not unicodedata.is_normalized("NFC", c)):
             continue
+        if n > 0xFFFF:
+            continue  # one range below stands for all planes above the first, which keeps the class a table
         if runs and runs[-1][1] == n - 1:
             runs[-1][1] = n
         else:
             runs.append([n, n])
     body = "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
-    return re.compile(f"[{body}]+"), swap
+    return re.compile(f"(?:[{body}]+|[{chr(0x10000)}-{chr(0x10FFFF)}]+)+"), swap
 
 
 _OTHER = f"{chr(0x370)}-{chr(0x52F)}{chr(0x55B)}-{chr(0x586)}{chr(0x261)}"
 _MIXED = re.compile(f"[^\\W\\d_]*(?:[A-Za-z][{_OTHER}]|[{_OTHER}][A-Za-z])[^\\W\\d_]*")
+_OTHERS = re.compile(f"[{_OTHER}]")
 _FROM_LATIN = {}
 for _k, _v in LOOKALIKE.items():
     if 0x400 <= ord(_k) <= 0x52F:
@@ -110,14 +113,14 @@ def normal_form(text: str | None) -> str | None:
     out = "".join(parts) + text[done:] if parts else text
     if not unicodedata.is_normalized("NFC", out):
         out = unicodedata.normalize("NFC", out)
-    return _MIXED.sub(_one_script, out)
+    return _MIXED.sub(_one_script, out) if _OTHERS.search(out) else out
 
 
 def skeleton(form: str) -> str:
-    """The form with every look-alike letter in Latin, accents apart from their letters."""
-    if form.isascii():
+    """The form with every look-alike letter in Latin, under whatever accents."""
+    if form.isascii() or not _OTHERS.search(form):
         return form
-    return unicodedata.normalize("NFD", form).translate(_TO_LATIN)
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", form).translate(_TO_LATIN))
 
 
 def normalize(df: DataFrame, *, text: str = "text", out: str = "form") -> DataFrame:
