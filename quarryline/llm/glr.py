@@ -285,55 +285,71 @@ def _many(g: Grammar, front: list, t: str):
     """All nodes after shifting ``t``; True when the input is accepted."""
     action, goto = g.action, g.goto
     nodes: dict[int, list] = {}
-    links: dict[int, list] = {}
+    own: set[int] = set()  # states whose node was made here and may be changed
     for x in front:
-        links.setdefault(x[0], [])
-        for p in _parents(x):
-            if not any(q is p for q in links[x[0]]):
-                links[x[0]].append(p)
-        nodes.setdefault(x[0], x)
-    for s, ps in links.items():
-        nodes[s] = [s, ps if len(ps) != 1 else ps[0]] if ps else nodes[s]
-    changed = True
-    while changed:
-        changed = False
-        for s in list(nodes):
-            a = action[s].get(t)
-            if a is None or a[1] is None:
-                continue
-            for lhs, k in (a[1] if a[2] == -1 else (a[1:],)):
-                bases = [nodes[s]]
-                for _ in range(k):
-                    seen, nb = set(), []
-                    for b in bases:
-                        for p in _parents(b):
-                            if id(p) not in seen:
-                                seen.add(id(p))
-                                nb.append(p)
-                    bases = nb
-                for b in bases:
-                    to = goto[b[0]].get(lhs)
-                    if to is None:
-                        continue
-                    have = nodes.get(to)
-                    if have is None:
-                        nodes[to] = [to, b]
-                        changed = True
-                    else:
-                        ps = _parents(have)
-                        if not any(q is b for q in ps):
-                            have[1] = [*ps, b]
-                            changed = True
-    out = []
+        y = nodes.get(x[0])
+        if y is None:
+            nodes[x[0]] = x
+        else:
+            ps = [*_parents(y), *(p for p in _parents(x) if not any(q is p for q in _parents(y)))]
+            nodes[x[0]] = [x[0], ps if len(ps) > 1 else ps[0]]
+            own.add(x[0])
+    todo = list(nodes.values())
+    while todo:
+        x = todo.pop()
+        a = action[x[0]].get(t)
+        if a is None or a[1] is None:
+            continue
+        for lhs, k in a[1] if a[2] == -1 else (a[1:],):
+            y = x
+            for _ in range(k):
+                y = y[1]
+                if y[0].__class__ is list:
+                    bases = _bases(x, k)
+                    break
+            else:
+                bases = (y,)
+            for b in bases:
+                to = goto[b[0]].get(lhs)
+                if to is None:
+                    continue
+                have = nodes.get(to)
+                if have is None:
+                    nodes[to] = have = [to, b]
+                    own.add(to)
+                    todo.append(have)
+                    continue
+                ps = _parents(have)
+                if any(q is b for q in ps):
+                    continue
+                if to not in own:
+                    nodes[to] = have = [to, have[1]]
+                    own.add(to)
+                have[1] = [*ps, b]
+                todo = list(nodes.values())  # a new path may end any reduction
     merged: dict[int, list] = {}
     for s, x in nodes.items():
         a = action[s].get(t)
         if a is None:
             continue
-        if a[0] == -2:
+        to = a[0]
+        if to == -2:
             return True
-        if (a[1] is None or a[2] == -1) and a[0] >= 0:
-            merged.setdefault(a[0], []).append(x)
-    for s, ps in merged.items():
-        out.append([s, ps if len(ps) > 1 else ps[0]])
-    return out
+        if to >= 0 and (a[1] is None or a[2] == -1):
+            merged.setdefault(to, []).append(x)
+    return [[s, ps if len(ps) > 1 else ps[0]] for s, ps in merged.items()]
+
+
+def _bases(x, k: int) -> list:
+    """All nodes ``k`` links below."""
+    bases = [x]
+    for _ in range(k):
+        seen: set[int] = set()
+        below = []
+        for b in bases:
+            for p in _parents(b):
+                if id(p) not in seen:
+                    seen.add(id(p))
+                    below.append(p)
+        bases = below
+    return bases
