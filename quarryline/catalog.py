@@ -469,11 +469,7 @@ _NOTES_SQL = "(select file_id, coalesce(codebase, 'unknown') as codebase, relati
 def _notes(spark, d):
     rows = table(spark, d, "files", "file_id", "codebase", "relative_path", "content").where("relative_path is not null")
     rows = rows.select("file_id", F.coalesce("codebase", F.lit("unknown")).alias("codebase"), "relative_path", F.concat("relative_path", F.lit(": "), F.coalesce(F.substring("content", 1, 30), F.lit(""))).alias("summary")).distinct()
-    # ranged parts and a running count: a code base of any size is numbered without one task for it
-    ranged = rows.repartitionByRange(32, "codebase", "relative_path", "file_id").withColumn("p", F.spark_partition_id())
-    local = A.numbered(ranged, ["codebase", "p"], ["relative_path", "file_id"])
-    sizes = local.groupBy("codebase", "p").agg(F.count("*").alias("n")).select("codebase", "p", F.expr("coalesce(sum(n) over (partition by codebase order by p rows between unbounded preceding and 1 preceding), 0)").alias("off"))
-    return local.join(sizes, ["codebase", "p"]).select("codebase", (F.col("position") + F.col("off")).alias("position"), "summary")
+    return A.positions(rows, ["codebase"], ["relative_path", "file_id"]).select("codebase", "position", "summary")
 
 
 @query(f"select codebase, position // 10 as position, md5(string_agg(summary, chr(10) || chr(10) order by position)) as summary_md5 from {_NOTES_SQL} group by 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
+from quarryline.operators.materialize import cut
 
 FAN_IN = 10
 TOP_FILES, TOP_NAMES, MOST_ELEMENTS = 10, 20, 200
@@ -128,6 +129,21 @@ def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
+def positions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Position of each row in its group, from 0, without one task for a group.
+
+    The rows are cut into ranges of (group, order), numbered within each, and
+    shifted by a running count of the ranges before.  The ranges are written
+    first, because both uses must see the same ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *by, *order).withColumn("__p", F.spark_partition_id()))
+    local = numbered(ranged, [*by, "__p"], order)
+    w = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = local.groupBy(*by, "__p").agg(F.count("*").alias("n")).select(*by, "__p", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__off"))
+    return local.join(before, [*by, "__p"]).withColumn("position", F.col("position") + F.col("__off")).drop("__p", "__off")
+
+
 def reduce_once(rows: DataFrame, by: list[str], combine: Callable[[Column], Column], fan_in: int = FAN_IN) -> DataFrame:
     """One level: consecutive tens of each group joined in order and combined.
 
@@ -139,12 +155,11 @@ def reduce_once(rows: DataFrame, by: list[str], combine: Callable[[Column], Colu
     return joined.select(*by, "position", combine(F.col("summary")).alias("summary"))
 
 
-def hierarchical_reduce(rows: DataFrame, by: list[str], combine: Callable[[Column], Column], *, fan_in: int = FAN_IN, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def hierarchical_reduce(rows: DataFrame, by: list[str], combine: Callable[[Column], Column], *, fan_in: int = FAN_IN) -> DataFrame:
     """Levels until each group holds one row; the depth is the logarithm of the largest group."""
     most = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(len(reduce_levels(most, fan_in)) - 1):
-        rows = reduce_once(rows, by, combine, fan_in)
-        rows = cut(rows) if cut else rows
+        rows = cut(reduce_once(rows, by, combine, fan_in))
     return rows.select(*by, "summary")
 
 

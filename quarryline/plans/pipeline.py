@@ -85,8 +85,7 @@ class Engine:
         total = rows.agg(F.sum(T.count_tokens(F.col("summary")))).first()[0] or 0
         if total <= budget:  # small by the test just made
             return "\n\n".join(r[0] for r in rows.orderBy("relative_path").select("summary").collect())
-        # position over buckets of the path, then within them: no task sees all files
-        placed = _global_positions(rows, "relative_path")
+        placed = A.positions(rows, ["g"], ["relative_path"])
         out = A.hierarchical_reduce(placed.select("g", "position", "summary"), ["g"], lambda s: T.truncate(s, budget // A.FAN_IN))
         return (out.select("summary").first() or [""])[0]
 
@@ -105,17 +104,6 @@ class Engine:
         return {"master": master, "statistics": run.first().asDict()}
 
 
-def _global_positions(rows: DataFrame, by: str, parts: int = 256) -> DataFrame:
-    """Positions 0.. in the order of a column, from ranged parts and a running count of their sizes."""
-    ranged = rows.repartitionByRange(parts, by).withColumn("__p", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(by)) - 1)
-    sizes = local.groupBy("__p").agg(F.count("*").alias("n"))
-    before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    return local.join(before, "__p").withColumn("position", F.col("__r") + F.col("off")).drop("__p", "__r", "off")
-
-
 def analyse_batch(spark: SparkSession, paths: dict[str, str], **settings) -> tuple[dict[str, dict], dict[str, str]]:
     """Runs over several code bases: results and failures by name."""
     done, failed = {}, {}
