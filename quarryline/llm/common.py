@@ -1,25 +1,6 @@
-"""Helpers shared by the operators of this package."""
+"""Helpers the operators of this package share with the core."""
 
-from __future__ import annotations
+from quarryline.operators.materialize import cut
+from quarryline.sources import spread
 
-from pyspark.sql import DataFrame
-
-from quarryline.sources import spread  # noqa: F401 - used by the queries
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder all executors share.
-
-    Cuts lineage and keeps a costly step from running once for each use.  The
-    folder is the one the cluster names in ``spark.checkpoint.dir``; one of our
-    own is set only where none is named, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="quarryline-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+__all__ = ["cut", "spread"]

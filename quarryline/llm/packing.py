@@ -9,8 +9,8 @@ residual is packed best fit decreasing, on counts again.  The plan, container
 numbers for slots of each size, goes back as a table, and each item takes the
 slot of its rank among the items of its size.
 
-The rank is exact and needs no large task: items are ranked within salted parts
-of their size, and the parts are offset by a running count.
+The rank is exact and needs no large task: a size that many items have is ranked
+in salted parts, as many as its count asks for, offset by a running count.
 
 Defined results: an item larger than the capacity fills containers by itself and
 its rest is packed like any item; items of size 0 (null and empty texts) stand
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SALTS = 64
+#: items of one size that one task ranks
+PER_TASK = 200_000
 ROUNDS = 400
 UNKNOWN = "unknown"
 
@@ -152,17 +153,15 @@ def pack(items: DataFrame, limits: DataFrame, *, id: str = "doc_id", group: str
         .withColumn("cap", known[F.col("g")])
         .withColumn("whole", F.expr("case when n > cap then n div cap else 0 end"))
         .withColumn("rest", F.expr("case when n > cap then n % cap else n end"))
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     )
-    # one pass over the items gives the salted counts; the histogram is their sum
     base = cut(base)
-    counts = base.groupBy("g", "rest", "salt").agg(F.count("*").alias("c"), F.sum("whole").alias("w"))
-    counts = cut(counts)
     hists: dict[str, dict[int, int]] = defaultdict(dict)
-    wholes: dict[str, int] = defaultdict(int)
-    for g, s, c, w in counts.groupBy("g", "rest").agg(F.sum("c"), F.sum("w")).collect():  # at most the sum of the capacities
+    bins = base.groupBy("g", "rest").agg(F.count("*").alias("c")).collect()  # at most the sum of the capacities
+    for g, s, c in bins:
         hists[g][int(s)] = int(c)
-        wholes[g] += int(w)
+    salts = spark.createDataFrame([(g, int(s), int(c) // PER_TASK + 1) for g, s, c in bins], "g string, rest long, salts long")
+    base = base.join(salts, ["g", "rest"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
+    counts = cut(base.groupBy("g", "rest", "salt").agg(F.count("*").alias("c"), F.sum("whole").alias("w")))
     slots, first = [], {}
     for g, h in hists.items():
         at = 1

@@ -285,15 +285,15 @@ def defect(prompt: str | None, response: str | None, asked: str | None) -> str |
 def defects(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """One row (response_id, defect) for each response that is no proper answer.
 
-    Both sides are reduced to one row an id before the join; the join key is
-    unique on the request side, so no key can grow.
+    The requests are reduced to one row an id, by the key of the join; repeated
+    responses get the same verdict and are reduced after it, as narrow rows.
     """
     q = requests.select("request_id", "content", "answer_lang").dropDuplicates(["request_id"])
-    r = responses.select("response_id", "request_id", "summary").dropDuplicates(["response_id"])
+    r = responses.select("response_id", "request_id", "summary")
 
     @arrow_udf("string")
     def judge(c: pd.Series, s: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([defect(x, y, z) for x, y, z in zip(c, s, a)], dtype=object)
 
     both = r.join(q, "request_id", "left")
-    return both.select("response_id", judge("content", "summary", "answer_lang").alias("defect")).where("defect is not null")
+    return both.select("response_id", judge("content", "summary", "answer_lang").alias("defect")).where("defect is not null").distinct()
