@@ -11,7 +11,7 @@ from quarryline import config as C
 from quarryline.functions import paths as P
 from quarryline.functions import text as T
 from quarryline.operators import aggregates as A
-from quarryline.operators import chunking, elements, report
+from quarryline.operators import chunking, elements, lookups, report
 from quarryline.operators import summarize as S
 from quarryline.plans import stages
 from quarryline.sources import scan_directory, spread, table
@@ -620,3 +620,70 @@ def k03_json_rows(spark, d):
 def z01_usage_by_hour(spark, d):
     a = table(spark, d, "attempts").where("attempted_at is not null").distinct()
     return a.groupBy(F.date_trunc("hour", "attempted_at").alias("hour"), "provider").agg(F.count("*").alias("attempts"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"), F.count_if(~F.col("ok")).alias("errors"))
+
+
+# -- nearness, balance, frameworks
+_LINES_SQL = "(select file_id, unnest(range(0, len(ls))) as line_no, unnest(ls) as line from (select distinct file_id, string_split(content, chr(10)) as ls from files where content is not null and ends_with(relative_path, '{}')))"
+
+
+def _lines(spark, d, suffix):
+    rows = table(spark, d, "files", "file_id", "relative_path", "content").where(f"content is not null and endswith(relative_path, '{suffix}')")
+    return chunking.explode_lines(rows.select("file_id", "content")).select("file_id", "line_no", "line").distinct()
+
+
+@query(
+    f"with w as (select *, last_value(case when trim(line) <> '' then line end ignore nulls) over (partition by file_id order by line_no rows between unbounded preceding and 1 preceding) as nearest from {_LINES_SQL.format('.rs')}) select file_id, line_no::bigint as line_no, nearest from w where regexp_matches(line, '^pub fn ')"
+)
+def w06_nearest_line_before(spark, d):
+    got = lookups.nearest_before(_lines(spark, d, ".rs"), "file_id", F.col("line").rlike("^pub fn "), F.trim("line") != "")
+    return got.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), "nearest")
+
+
+@query(
+    f"with w as (select file_id, line_no, sum(length(line) - length(replace(line, '{{', '')) - (length(line) - length(replace(line, '}}', '')))) over (partition by file_id order by line_no) as balance from {_LINES_SQL.format('.go')}) select file_id, max(balance)::bigint as deepest, arg_max(balance, line_no)::bigint as last from w group by file_id"
+)
+def w07_brace_balance(spark, d):
+    rows = lookups.brace_balance(_lines(spark, d, ".go"), "file_id")
+    return rows.groupBy("file_id").agg(F.max("balance").cast("bigint").alias("deepest"), F.max_by("balance", "line_no").cast("bigint").alias("last"))
+
+
+@query("select 'a.dart' as relative_path, 'A' as widget, '_AState' as state union all select 'a.dart', 'B', null")
+def j09_widget_states(spark, d):
+    text = "class A extends StatefulWidget {\n}\nclass _AState extends State<A> {\n}\nclass B extends StatelessWidget {\n}\n"
+    files = spark.createDataFrame([("dart", "a.dart", text)], "language string, relative_path string, content string")
+    return lookups.widget_states(elements.elements(elements.analyse(files), "relative_path"), "relative_path")
+
+
+@query(
+    "select distinct file_id, case when contains(content, 'import unittest') or contains(content, 'unittest.TestCase') then 'unittest' when contains(content, 'import pytest') or contains(content, '@pytest.') then 'pytest' when contains(content, 'def test_') then 'plain' end as framework, len(regexp_extract_all(content, '(?m)^[ \\t]*(?:assert[ (]|self\\.assert[A-Za-z]+\\()'))::bigint as assertions from files where content is not null and ends_with(relative_path, '.py')"
+)
+def x19_test_frameworks(spark, d):
+    c = F.col("content")
+    return table(spark, d, "files", "file_id", "relative_path", "content").where("content is not null and endswith(relative_path, '.py')").select("file_id", lookups.test_framework(c).alias("framework"), lookups.assertion_count(c).alias("assertions")).distinct()
+
+
+@query(
+    "select distinct file_id, coalesce(nullif(regexp_extract(content, '^#![^\\n]*\\b(bash|zsh|fish|ksh)\\b', 1), ''), 'sh') as shell, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '\\b(?:exit|return)[ \\t]+([0-9]+)', 1))), ',') as exit_codes from files where content is not null and ends_with(relative_path, '.sh')"
+)
+def x21_shell_figures(spark, d):
+    c = F.col("content")
+    return table(spark, d, "files", "file_id", "relative_path", "content").where("content is not null and endswith(relative_path, '.sh')").select("file_id", lookups.shell_type(c).alias("shell"), lookups.exit_codes(c).alias("exit_codes")).distinct()
+
+
+@query(
+    "select * from (values ('app/(shop)/cart/page.tsx', 'page', 'app', '/cart'), ('pages/api/user.ts', 'api', 'pages', '/api/user'), ('pages/index.jsx', 'page', 'pages', '/'), ('pages/_app.tsx', 'app', 'pages', '/_app'), ('src/app/blog/[slug]/layout.tsx', 'layout', 'app', '/blog/[slug]'), ('middleware.ts', 'middleware', 'none', null), ('lib/x.ts', 'module', 'none', null)) t(path, file_type, router, route)"
+)
+def x23_next_routes(spark, d):
+    paths = ["app/(shop)/cart/page.tsx", "pages/api/user.ts", "pages/index.jsx", "pages/_app.tsx", "src/app/blog/[slug]/layout.tsx", "middleware.ts", "lib/x.ts"]
+    r = lookups.next_route(F.col("path"))
+    return spark.createDataFrame([(p,) for p in paths], "path string").select("path", *[v.alias(k) for k, v in r.items()])
+
+
+_BATCHES = [("good", {"workflow": {"type": "batch", "name": "n"}}), ("empty", {}), ("settings", {"workflow": {"type": "batch"}, "settings": C.template("minimal", ""), "execution": {"max_concurrent": 0}})]
+
+
+@query(
+    "select * from (values ('empty', 'workflow is required'), ('settings', 'workflow.name is required'), ('settings', 'settings: codebase_path is required'), ('settings', 'execution.max_concurrent must be a positive whole number')) t(name, message)"
+)
+def f18_batch_violations(spark, d):
+    return spark.createDataFrame([(n, m) for n, b in _BATCHES for m in C.batch_violations(b)], "name string, message string")

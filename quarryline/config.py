@@ -208,3 +208,27 @@ def masked(cfg: Config) -> dict:
 def save(cfg: Config, path: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(masked(cfg), indent=2))
+
+
+def batch_violations(raw: dict) -> list[str]:
+    """All messages about a batch: a workflow with type and name, valid settings, a positive number of runs at once."""
+    out = []
+    flow = raw.get("workflow")
+    if not isinstance(flow, dict):
+        out.append("workflow is required")
+    else:
+        out += [f"workflow.{k} is required" for k in ("type", "name") if not flow.get(k)]
+    if "settings" in raw:
+        out += [f"settings: {m}" for m in violations(raw["settings"] if isinstance(raw["settings"], dict) else {})]
+    n = raw.get("execution", {}).get("max_concurrent", 1)
+    if isinstance(n, bool) or not isinstance(n, int) or n < 1:
+        out.append("execution.max_concurrent must be a positive whole number")
+    return out
+
+
+def save_batch(raw: dict, path: str) -> None:
+    """Writes a batch configuration that was checked first."""
+    if bad := batch_violations(raw):
+        raise ConfigError("; ".join(bad))
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(raw, indent=2))

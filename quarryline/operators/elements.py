@@ -450,6 +450,9 @@ def parse(text: str | None, key: str) -> tuple[list[Element], list[Dependency]]:
                 if etype == "function" and g.get("lead") and lang.name in ("kotlin", "php", "swift", "dart", "csharp", "rust"):
                     etype = "method"
                 meta = _metadata(lang, p, name, decl, g.get("lead") or "", mods, lines[i:end], g)
+                if key == "cpp" and p.type in ("class", "struct", "function"):
+                    above = next((x.strip() for x in reversed(lines[:i]) if x.strip()), "")
+                    meta["is_template"] = above.startswith("template") or lines[i].lstrip().startswith("template")
                 els.append((name, etype, i, end, _visibility(lang, name, decl, mods, state_at.get(i)), p.kind, json.dumps(meta)))
         for im in lang.imports:
             for m in im.regex.finditer(text):

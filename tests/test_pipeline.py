@@ -143,3 +143,15 @@ def test_workflow(spark, tree):
     out = pipeline.Workflow(spark).add("a", str(tree)).then(lambda o: {**o, "n": len(o["results"])}).run()
     assert out["n"] == 1 and out["success_rate"] == 1.0
     assert pipeline.summarize_file(spark, str(tree / "src/a.py"))["statistics"]["responses"] == 1
+
+
+def test_functional_api(spark, tree, tmp_path):
+    import quarryline
+
+    assert quarryline.init_config("/x", chunk_size=500).chunk_size == 500
+    assert quarryline.validate_setup({}) and quarryline.validate_setup(C.template("minimal", "/x")) == []
+    out = quarryline.quick_start(spark, str(tree), output_dest=str(tmp_path / "r.md"))
+    assert out["statistics"]["responses"] >= 3 and (tmp_path / "r.md").read_text().startswith("# Code base report")
+    with pytest.raises(C.ConfigError):
+        C.save_batch({}, str(tmp_path / "b.json"))
+    C.save_batch({"workflow": {"type": "batch", "name": "n"}}, str(tmp_path / "b.json"))
