@@ -47,9 +47,10 @@ ISSUERS = (
     r"(?<![A-Za-z0-9])hf_[A-Za-z0-9]{30,}",
 )
 _ISSUER = re.compile("|".join(ISSUERS))
+# values are matched up to 256 characters where nothing else ends the search, so no line costs more than its length
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_URL = re.compile(r"\b[a-z][a-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s@\"'`]+?)@(?=[\w\[$<{.-])")
+_URL = re.compile(r"\b[a-z][a-z0-9+.-]{0,30}://[^\s:/@\"'`<>]{0,256}:([^\s@\"'`]{1,256}?)@(?=[\w\[$<{.-])")
 _HEADER = re.compile(r"(?i)\b(?:authorization|proxy-authorization)\s*[\"']?\s*[:=,]\s*[\"']?(?:bearer|basic|token|apikey)\s+([^\s\"'`,;)]+)|\bx-[a-z-]*(?:key|token|secret|auth)\s*[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;)]+)|\b(?:bearer|basic)\s+([A-Za-z0-9+/=._~-]{16,})")
 _CALL = re.compile(r"(?i)\b(?:auth|login|log_in|sign_?in|authenticate|connect|basic_?auth|open|dial|bind|session|set_?credentials|credentials|set_?password|with_?password)\s*\(\s*(?:(?:\"[^\"]*\"|'[^']*'|`[^`]*`|[\w.]+)\s*,\s*)*?(?:\"([^\"\s]+)\"|'([^'\s]+)'|`([^`\s]+)`)(?:\.to_string\(\)|\.into\(\))?\s*\)")
 _FLAG = re.compile(r"(?i)(?:--?(?:password|passwd|pass|token|secret|api-?key)[= ]|\bsshpass -p ?|\s-u ?[\w.-]+:|\bidentified by |\bpassword (?=['\"]))(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"';]+))")
@@ -57,7 +58,7 @@ _FLAG = re.compile(r"(?i)(?:--?(?:password|passwd|pass|token|secret|api-?key)[=
 _ASSIGN = re.compile(
     r"([A-Za-z_$][\w$.\-]*(?: (?:key|token|secret|password|passphrase))?)[\"'`]?\s*\]?\s*\)?(?:\s*:\s*(?:&?(?:'static\s+)?[A-Za-z_][\w.<>\[\]| ]*?))?\s*(?:=>|:=|\?\?=|\|\|=|==?|:|,)\s*"
     r"(?:(?:concat!|dict|dictionary|Some|String::from|SecretStr|new\s+\w+|str|bytes|b|r|f|u)?\s*[\(\{\[]\s*)*(?:[\"'`]?(?:value|default|secret|val|password|token)[\"'`]?\s*[:=]\s*)?(?:[bru]{1,2}(?=[\"'`]))?"
-    r"(?:\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`([^`]*)`|([^\s\"'`,;(){}\[\]<>$][^\s\"'`,;()<>{}]*))"
+    r"(?:\"((?:[^\"\\]|\\.){0,2048})\"|'((?:[^'\\]|\\.){0,2048})'|`([^`]{0,2048})`|([^\s\"'`,;(){}\[\]<>$][^\s\"'`,;()<>{}]{0,512}))"
 )
 _MORE = re.compile(r"\s*[+,.]?\s*(?:\"([^\"]*)\"|'([^']*)')")
 _PROSE = re.compile(
@@ -74,7 +75,7 @@ _ABOUT = frozenset(
 #: fixed values: names whose value may be a user and a password joined by a colon
 _PAIR_NAMES = frozenset("auth connect connection login basic creds account userpass user upstream broker dsn proxy".split())
 _PAIR = re.compile(r"([A-Za-z_][\w.\-]*)[\"'`]?\s*\]?(?:\s*:\s*&?(?:'static\s+)?\w+)?\s*[:=]\s*(?:dict\(value=|\{\s*value:\s*)?[\"'`]?[A-Za-z][\w.-]*:(?!//)([^\s\"'`,;:]{6,})")
-_DB = re.compile(r"(?i)(?:\s-u[ =]?|--user[ =])\S+.*?(?:\s-p ?|--pass(?:word)?[ =])(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"';]+))")
+_DB = re.compile(r"(?i)(?:\s-u[ =]?|--user[ =])\S{1,200}.{0,200}?(?:\s-p ?|--pass(?:word)?[ =])(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"';]+))")
 _LOGIN = re.compile(r"(?i)\b(?:log-?in|open|auth|connect|sign-?in|session|bind)(?::| as|) +[\w.@-]+ */ *(\S+)|--with[= ]+(\S+)|\bkey is +[`'\"]?([^\s`'\"]+)|\bpass(?:word)?/user: *\S+ */ *(\S+)")
 #: what every name of a secret holds
 _NAME_PARTS = ("pass", "pw", "secret", "token", "credential", "bearer", "key", "login", "contrasena")
