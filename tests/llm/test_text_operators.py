@@ -249,3 +249,12 @@ def test_lookalike_pairs_are_brute_force(spark):
     want = sorted((a, b) for a, x, _ in rows for b, y, _ in rows if a < b and key[a] and key[a] == key[b] and x != y)
     assert got == want and difflib is not None
     assert lookalike.normalize(df).where("form is null").count() == 3
+
+
+@pytest.mark.parametrize("unit", ["http://a:b", "key=key=", 'key="', "auth:a:", "-u x -p ", 'open("a",', "password: '"])
+def test_long_lines_cost_no_more_than_their_length(unit):
+    import time
+
+    began = time.process_time()
+    secrets.find(unit * (60_000 // len(unit)))
+    assert time.process_time() - began < 20
