@@ -23,10 +23,9 @@ def report_lines(providers: DataFrame, run: DataFrame) -> DataFrame:
             )
         ).alias("n", "line")
     ).select(F.col("n").cast("bigint").alias("line_no"), "line")
-    several = providers.agg((F.count("*") > 1).alias("several"))
-    body = providers.select("provider", F.format_string("- %s: %d attempts, %d tokens, %d errors", "provider", "attempts", "tokens", "errors").alias("line"))
-    w = "row_number() over (order by provider)"  # as many rows as there are providers
-    body = body.join(several, F.col("several")).select((F.expr(w) + 6).cast("bigint").alias("line_no"), "line")
+    # windows over as many rows as there are providers
+    body = providers.select("provider", F.format_string("- %s: %d attempts, %d tokens, %d errors", "provider", "attempts", "tokens", "errors").alias("line"), F.expr("row_number() over (order by provider)").alias("k"), F.expr("count(*) over ()").alias("n"))
+    body = body.where("n > 1").select((F.col("k") + 5).cast("bigint").alias("line_no"), "line")
     return stats.unionByName(body)
 
 
