@@ -229,14 +229,16 @@ def language_of(text: str) -> dict[str, float]:
     won: dict[str, float] = {}
     for part in re.split(r"(?<=[.!?。])\s+|\n+", body):
         words = re.findall(r"[^\W\d_]+", part.lower())
-        if len(words) < 3:
+        if len(words) < 3 and len(_OWN_SCRIPT.findall(part)) < OWN_LEAST:
             continue
         votes: dict[str, float] = {}
         for w in words:
             for lang, v in _VOTES.get(w, {}).items():
                 votes[lang] = votes.get(lang, 0.0) + v
+        kana = _KANA.search(part)
         for rx, lang in _SCRIPTS:
             if k := len(rx.findall(part)):
+                lang = "ja" if lang == "zh" and kana else lang
                 votes[lang] = votes.get(lang, 0.0) + 0.4 * k
         if votes:
             best = max(votes, key=lambda x: (votes[x], x))
@@ -254,6 +256,10 @@ _SCRIPTS = (
     (re.compile(r"[Ͱ-Ͽ]"), "el"),
     (re.compile(r"[一-鿿]"), "zh"),
 )
+#: fixed values: letters that tell the language without any word, and how many of them make a sentence that votes; some of these languages write no spaces
+_OWN_SCRIPT = re.compile(r"[Ѐ-ӿ぀-ヿͰ-Ͽ一-鿿]")
+OWN_LEAST = 4
+_KANA = re.compile(r"[぀-ヿ]")
 _LANG = {"english": "en", "german": "de", "deutsch": "de", "french": "fr", "français": "fr", "spanish": "es", "español": "es", "italian": "it", "dutch": "nl", "portuguese": "pt"}
 
 

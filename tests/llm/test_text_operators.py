@@ -73,6 +73,16 @@ def test_defects():
     assert d(None, "The file holds the settings of the server.", None) is None
 
 
+def test_sentences_without_spaces_vote():
+    ja = "このファイルは設定を読み込みます。 入力値を検証して結果を返します。\n文字列を解析します。"
+    zh = "该文件读取配置并返回结果。\n它检查每个输入值。"
+    assert pairs.wrong_language(ja, "en") and pairs.wrong_language(zh, "en") and pairs.wrong_language("Читает настройки.", "de")
+    assert not pairs.wrong_language(ja, "ja") and not pairs.wrong_language(zh, "zh")
+    assert not pairs.wrong_language("設定値検証結果一覧を返す。", "ja")
+    assert not pairs.wrong_language("It reads the settings of the server and returns a list.\n設定値。", "en")
+    assert pairs.defect("fn main() {}", ja, None) == "language"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abc", max_size=80), st.text(alphabet="abc", max_size=60), st.integers(2, 8))
 def test_automaton_cover_is_brute_force(prompt, response, run):
