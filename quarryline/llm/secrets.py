@@ -47,19 +47,26 @@ ISSUERS = (
     r"(?<![A-Za-z0-9])hf_[A-Za-z0-9]{30,}",
 )
 _ISSUER = re.compile("|".join(ISSUERS))
-# values are matched up to 256 characters where nothing else ends the search, so no line costs more than its length
+# values have no greatest length; where one may run to the end of the line, its end is looked up once for all that share it; only values nested in one another are read again
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_URL = re.compile(r"\b[a-z][a-z0-9+.-]{0,30}://[^\s:/@\"'`<>]{0,256}:([^\s@\"'`]{1,256}?)@(?=[\w\[$<{.-])")
+_SCHEME = re.compile(r"\b[a-z]")
+_SCHEME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_USER_END = re.compile(r"[\s:/@\"'`<>]")
+_PASS_END = re.compile(r"[\s@\"'`]")
+_HOST = re.compile(r"[\w\[$<{.-]")
 _HEADER = re.compile(r"(?i)\b(?:authorization|proxy-authorization)\s*[\"']?\s*[:=,]\s*[\"']?(?:bearer|basic|token|apikey)\s+([^\s\"'`,;)]+)|\bx-[a-z-]*(?:key|token|secret|auth)\s*[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;)]+)|\b(?:bearer|basic)\s+([A-Za-z0-9+/=._~-]{16,})")
 _CALL = re.compile(r"(?i)\b(?:auth|login|log_in|sign_?in|authenticate|connect|basic_?auth|open|dial|bind|session|set_?credentials|credentials|set_?password|with_?password)\s*\(\s*(?:(?:\"[^\"]*\"|'[^']*'|`[^`]*`|[\w.]+)\s*,\s*)*?(?:\"([^\"\s]+)\"|'([^'\s]+)'|`([^`\s]+)`)(?:\.to_string\(\)|\.into\(\))?\s*\)")
 _FLAG = re.compile(r"(?i)(?:--?(?:password|passwd|pass|token|secret|api-?key)[= ]|\bsshpass -p ?|\s-u ?[\w.-]+:|\bidentified by |\bpassword (?=['\"]))(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"';]+))")
 # name, optional type, separator, optional wrapper, value
 _ASSIGN = re.compile(
-    r"([A-Za-z_$][\w$.\-]*(?: (?:key|token|secret|password|passphrase))?)[\"'`]?\s*\]?\s*\)?(?:\s*:\s*(?:&?(?:'static\s+)?[A-Za-z_][\w.<>\[\]| ]*?))?\s*(?:=>|:=|\?\?=|\|\|=|==?|:|,)\s*"
+    r"(?<![\w$.\-])(?:(?![A-Za-z_$])[\w$.\-])*+([A-Za-z_$][\w$.\-]*(?: (?:key|token|secret|password|passphrase))?)[\"'`]?\s*\]?\s*\)?(?:\s*:\s*(?:&?(?:'static\s+)?[A-Za-z_][\w.<>\[\]| ]*?))?\s*(?:=>|:=|\?\?=|\|\|=|==?|:|,)\s*"
     r"(?:(?:concat!|dict|dictionary|Some|String::from|SecretStr|new\s+\w+|str|bytes|b|r|f|u)?\s*[\(\{\[]\s*)*(?:[\"'`]?(?:value|default|secret|val|password|token)[\"'`]?\s*[:=]\s*)?(?:[bru]{1,2}(?=[\"'`]))?"
-    r"(?:\"((?:[^\"\\]|\\.){0,2048})\"|'((?:[^'\\]|\\.){0,2048})'|`([^`]{0,2048})`|([^\s\"'`,;(){}\[\]<>$][^\s\"'`,;()<>{}]{0,512}))"
+    r"(?:\"([^\"\\]*+(?:\\.[^\"\\]*+)*+)\"|'([^'\\]*+(?:\\.[^'\\]*+)*+)'|`([^`]*+)`|([^\s\"'`,;(){}\[\]<>$]))"
 )
+# of a value without quotes the first character is matched, the rest goes up to one of these
+_BARE_END = re.compile(r"[\s\"'`,;()<>{}]")
+_CALLED = re.compile(r"\s*\(")
 _MORE = re.compile(r"\s*[+,.]?\s*(?:\"([^\"]*)\"|'([^']*)')")
 _PROSE = re.compile(
     r"(?i)\b((?:[a-z-]+ )?(?:password|passphrase|passwd|pass|pwd|pw|secret|token|(?:api|access|private|signing|deploy) key|credentials?|bearer|login)(?: (?:label|hint|field|kind|help|name|id|url|policy|type))?)"
@@ -75,7 +82,9 @@ _ABOUT = frozenset(
 #: fixed values: names whose value may be a user and a password joined by a colon
 _PAIR_NAMES = frozenset("auth connect connection login basic creds account userpass user upstream broker dsn proxy".split())
 _PAIR = re.compile(r"([A-Za-z_][\w.\-]*)[\"'`]?\s*\]?(?:\s*:\s*&?(?:'static\s+)?\w+)?\s*[:=]\s*(?:dict\(value=|\{\s*value:\s*)?[\"'`]?[A-Za-z][\w.-]*:(?!//)([^\s\"'`,;:]{6,})")
-_DB = re.compile(r"(?i)(?:\s-u[ =]?|--user[ =])\S{1,200}.{0,200}?(?:\s-p ?|--pass(?:word)?[ =])(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"';]+))")
+_DB_USER = re.compile(r"(?i)(?:\s-u[ =]?|--user[ =])(?=\S)")
+_BLANK = re.compile(r"\s|\Z")
+_DB_PASS = re.compile(r"(?i)(?:\s-p ?|--pass(?:word)?[ =])(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"';]+))")
 _LOGIN = re.compile(r"(?i)\b(?:log-?in|open|auth|connect|sign-?in|session|bind)(?::| as|) +[\w.@-]+ */ *(\S+)|--with[= ]+(\S+)|\bkey is +[`'\"]?([^\s`'\"]+)|\bpass(?:word)?/user: *\S+ */ *(\S+)")
 #: what every name of a secret holds
 _NAME_PARTS = ("pass", "pw", "secret", "token", "credential", "bearer", "key", "login", "contrasena")
@@ -106,29 +115,86 @@ def is_secret_name(name: str) -> bool:
     return any(a in _KEY_OF and b in ("key", "keys") for a, b in zip(ws, ws[1:]))
 
 
-def _entropy(v: str) -> float:
+def _entropy(v: str, counts: Counter | None = None) -> float:
     n = len(v)
-    return -sum(k / n * math.log2(k / n) for k in Counter(v).values())
+    return -sum(k / n * math.log2(k / n) for k in (counts or Counter(v)).values())
 
 
-def is_value(v: str, least: int = 6) -> bool:
-    """Whether a literal can be a secret: no placeholder, reference, path or plain word."""
+def is_value(v: str, least: int = 6, counts: Counter | None = None) -> bool:
+    """Whether a literal can be a secret: no placeholder, reference, path or plain word.
+
+    ``counts`` holds the characters of ``v`` where the caller has them already.
+    """
     v = v.strip()
     if len(v) < least or " " in v or _REF.match(v) or _PLACEHOLDER.match(v) or _NOT_VALUE.match(v):
         return False
     if "${" in v or "{{" in v or v.endswith("("):
         return False
-    classes = bool(re.search(r"[a-z]", v)) + bool(re.search(r"[A-Z]", v)) + bool(re.search(r"\d", v)) + bool(re.search(r"[^\w]|_", v))
-    return classes >= 2 and _entropy(v) >= 2.0
+    chars = "".join(counts or set(v))
+    classes = bool(re.search(r"[a-z]", chars)) + bool(re.search(r"[A-Z]", chars)) + bool(re.search(r"\d", chars)) + bool(re.search(r"[^\w]|_", chars))
+    return classes >= 2 and _entropy(v, counts) >= 2.0
+
+
+class _Ends:
+    """Where a pattern of one character comes next in a line; asked in rising order, each character is read once."""
+
+    def __init__(self, rx: re.Pattern, line: str):
+        self.rx, self.line, self.asked, self.end = rx, line, 0, -1
+
+    def after(self, i: int) -> int:
+        if not self.asked <= i <= self.end:
+            m = self.rx.search(self.line, i)
+            self.asked, self.end = i, m.start() if m else len(self.line)
+        return self.end
+
+
+def _url_passwords(line: str):
+    """Spans between a user and ``@`` of scheme://user:password@host."""
+    stop, done, i = _Ends(_PASS_END, line), 0, line.find("://")
+    while i >= 0:
+        u, a = _USER_END.search(line, i + 3), i
+        while a > done and line[a - 1] in _SCHEME_CHARS:
+            a -= 1
+        if u and u[0] == ":" and _SCHEME.search(line, a, i):
+            e = stop.after(u.end())
+            if e > u.end() and line.startswith("@", e) and _HOST.match(line, e + 1):
+                yield u.end(), e
+                done = i = e + 1
+                i = line.find("://", i)
+                continue
+        done, i = i + 3, line.find("://", i + 3)
+
+
+def _db_passwords(line: str):
+    """Spans of the password after a user, both as flags: the first behind the word of the user, else the last glued to it."""
+    pos = 0
+    while (u := _DB_USER.search(line, pos)) and (m := _DB_PASS.search(line, u.end() + 1)):
+        word = _BLANK.search(line, u.end()).start()
+        if m.start() < word:
+            m = _DB_PASS.search(line, word) or next(x for i in range(word - 1, u.end(), -1) if (x := _DB_PASS.match(line, i)))
+        yield m.span(next(i for i in (1, 2, 3) if m[i] is not None))
+        pos = m.end()
+
+
+def _bare_spans(line: str, starts: list[int], end: int) -> list[tuple[int, int]]:
+    """Of values without quotes that end at one place those that can be secrets; each character is counted once."""
+    out, counts, right = [], Counter(), end
+    begin, called = line.rfind("-----BEGIN", min(starts), end), _CALLED.match(line, end)
+    for a in sorted(set(starts), reverse=True) if not called else ():
+        counts.update(line[a:right])
+        right, v = a, line[a:end]
+        if begin < a and not re.search(r"(?i)^[a-z_]\w*(?:\.\w+)+$", v) and is_value(v, counts=counts):
+            out.append((a, end))
+    return out
 
 
 def _line_spans(line: str) -> list[tuple[int, int]]:
     """Spans of secret values in one line (key blocks apart)."""
     out = []
-    for m in _URL.finditer(line) if "://" in line else ():
-        v = m[1]
+    for a, b in _url_passwords(line) if "://" in line else ():
+        v = line[a:b]
         if not _REF.match(v) and not _PLACEHOLDER.match(v) and len(v) >= 4 and "${" not in v and "{{" not in v and not re.fullmatch(r"(?i)pass|password|pwd|secret|%s|\{.*\}|\.\.\.", v):
-            out.append(m.span(1))
+            out.append((a, b))
     for m in _ISSUER.finditer(line):
         body = re.sub(r"^[A-Za-z]{2,10}[-_.]", "", m[0])
         if _entropy(body) >= 2.5 and not re.search(r"(?i)(.)\1{7,}|example|xxxx", body):
@@ -136,34 +202,38 @@ def _line_spans(line: str) -> list[tuple[int, int]]:
     low = line.lower()
     ways = [_HEADER] if "bearer" in low or "basic" in low or "author" in low or "x-" in low else []
     ways += [_CALL] if "(" in line else []
-    ways += [_FLAG, _DB] if "-" in line or " by " in low or "password " in low else []
+    ways += [_FLAG] if "-" in line or " by " in low or "password " in low else []
     ways += [_LOGIN] if "/" in line or "key is" in low or "--with" in low else []
     for rx in ways:
         for m in rx.finditer(line):
             k = next((i for i in range(1, m.re.groups + 1) if m[i] is not None), 0)
             if k and is_value(m[k]):
                 out.append(m.span(k))
+    out += [(a, b) for a, b in _db_passwords(line) if is_value(line[a:b])] if "-" in line else []
     for m in _PAIR.finditer(line) if ":" in line and any(w in low for w in _PAIR_NAMES) else ():
         if _PAIR_NAMES & set(name_words(m[1])) and is_value(m[2]):
             out.append(m.span(2))
     pos = 0 if any(w in low for w in _NAME_PARTS) else len(line)
+    ends, bare = _Ends(_BARE_END, line), {}
     while m := _ASSIGN.search(line, pos):
         k = next((i for i in range(2, 6) if m[i] is not None), 0)
         name, pos = m[1], max(m.end(1), m.start() + 1)
         if not k or not is_secret_name(name):
             continue
-        span, v = m.span(k), m[k]
-        if k == 5 and "," in line[m.end(1) : m.start(5)]:
+        if k == 5:
+            if "," not in line[m.end(1) : m.start(5)]:
+                bare.setdefault(ends.after(m.start(5) + 1), []).append(m.start(5))
             continue
-        if k < 5 and (more := _MORE.match(line, m.end())) and ("+" in line[m.end() : more.start(1 if more[1] is not None else 2)] or "concat!(" in line[m.start() : m.end()]):
+        span, v = m.span(k), m[k]
+        if (more := _MORE.match(line, m.end())) and ("+" in line[m.end() : more.start(1 if more[1] is not None else 2)] or "concat!(" in line[m.start() : m.end()]):
             j = 1 if more[1] is not None else 2
             if is_value(v + more[j]):
                 out += [span, more.span(j)]
                 continue
-        if k == 5 and (re.match(r"\s*\(", line[m.end() :]) or re.search(r"(?i)^[a-z_]\w*(?:\.\w+)+$", v)):
-            continue
         if is_value(v) and not ("-----BEGIN" in v):
             out.append(span)
+    for end, starts in bare.items():
+        out += _bare_spans(line, starts, end)
     for m in _PROSE.finditer(line) if any(w in low for w in _NAME_PARTS) else ():
         v = m[2].rstrip(".,;:!?)") if len(m[2]) > 24 else m[2]
         if is_secret_name(m[1]) and is_value(v, 8) and re.search(r"\d|[^\w.,'-]", v) and not v.endswith("(") and not re.match(r"(?i)[a-z_]+[=:(\[]", v):
@@ -240,10 +310,12 @@ def redact_text(text: str | None) -> str | None:
     if not spans:
         return text
     out = list(text)
-    for a, b in spans:
-        for i in range(a, b):
+    done = 0
+    for a, b in sorted(spans):
+        for i in range(max(a, done), b):
             if not (out[i] == "n" and i and out[i - 1] == "\\"):
                 out[i] = _MASK.get(out[i], out[i])
+        done = max(done, b)
     return "".join(out)
 
 

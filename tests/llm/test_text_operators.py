@@ -227,6 +227,25 @@ def test_redaction_keeps_shape():
     assert secrets.find("password " * 100_000)[0] == []
 
 
+@pytest.mark.parametrize("n", [100, 300, 600, 2049, 50_000])
+@pytest.mark.parametrize("line", ['SERVICE_TOKEN="{}"', "SERVICE_TOKEN='{}'", "SERVICE_TOKEN=`{}`", "private_key: {}", "url = redis://svc:{}@host.example:1/x", "mysql -u root -h {} -p Zq8!venMiru", 'SERVICE_TOKEN="\\"{}"'])
+def test_long_values_are_found_and_masked_whole(line, n):
+    value = ("aB3/dE5+" * n)[: n - 1] + "9"
+    text = "x = 1\n" + line.format(value) + "\ny = 2"
+    secret = "Zq8!venMiru" if "mysql" in line else value
+    assert secrets.find(text)[0] == [2] and secrets.redact_text(text) == text.replace(secret, "".join(secrets._MASK.get(c, c) for c in secret))
+
+
+@pytest.mark.parametrize("unit", ["pw=", "token=secret:", "token=aB3", "a.", 'token="a\\"', "http://a:b@", "a.b://c:", " -u x --user y"])
+def test_long_values_cost_no_more_than_their_length(unit):
+    import time
+
+    for last in ("", '"', "@h", " x://a:b9Cd@h token=1"):
+        began = time.process_time()
+        secrets.redact_text("token: " + unit * (60_000 // len(unit)) + last)
+        assert time.process_time() - began < 5
+
+
 def test_secret_relation(spark):
     df = spark.createDataFrame([(1, f"a\nkey_token = '{TOKEN}' # '{TOKEN}'", "r"), (1, f"a\nkey_token = '{TOKEN}' # '{TOKEN}'", "r"), (2, None, None), (3, "", "")], "request_id long, content string, redacted string")
     assert [tuple(r) for r in secrets.secret_lines(df).collect()] == [(1, 2)]
