@@ -466,22 +466,23 @@ def a06_reduce_levels(spark, d):
 _NOTES_SQL = "(select file_id, coalesce(codebase, 'unknown') as codebase, relative_path || ': ' || coalesce(substring(content, 1, 30), '') as summary, row_number() over (partition by coalesce(codebase, 'unknown') order by relative_path, file_id) - 1 as position from (select distinct file_id, codebase, relative_path, content from files where relative_path is not null))"
 
 
-def _notes(spark, d):
+def _notes(spark, d, most=None):
+    text = F.substring("content", 1, most) if most else F.col("content")
     rows = table(spark, d, "files", "file_id", "codebase", "relative_path", "content").where("relative_path is not null")
-    rows = rows.select("file_id", F.coalesce("codebase", F.lit("unknown")).alias("codebase"), "relative_path", F.concat("relative_path", F.lit(": "), F.coalesce(F.substring("content", 1, 30), F.lit(""))).alias("summary")).distinct()
+    rows = rows.select("file_id", F.coalesce("codebase", F.lit("unknown")).alias("codebase"), "relative_path", F.concat("relative_path", F.lit(": "), F.coalesce(text, F.lit(""))).alias("summary")).distinct()
     return A.positions(rows, ["codebase"], ["relative_path", "file_id"]).select("codebase", "position", "summary")
 
 
 @query(f"select codebase, position // 10 as position, md5(string_agg(summary, chr(10) || chr(10) order by position)) as summary_md5 from {_NOTES_SQL} group by 1, 2")
 def a06_reduce_groups(spark, d):
-    out = A.reduce_once(_notes(spark, d), ["codebase"], lambda s: s)
+    out = A.reduce_once(_notes(spark, d, 30), ["codebase"], lambda s: s)
     return out.select("codebase", "position", F.md5("summary").alias("summary_md5"))
 
 
 @query()
 def a06_hierarchical_reduce(spark, d):
-    """One text for each code base, tens joined and cut to a budget on every level."""
-    return A.hierarchical_reduce(_notes(spark, d), ["codebase"], lambda s: T.truncate(s, 120)).select("codebase", F.length("summary").alias("n"))
+    """One text for each code base, the whole contents of its files joined by tens on every level."""
+    return A.hierarchical_reduce(_notes(spark, d), ["codebase"], lambda s: s).select("codebase", F.length("summary").alias("n"))
 
 
 @query(

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline import cli
+from quarryline import catalog, cli
 from quarryline import config as C
 from quarryline.operators import aggregates as A
 from quarryline.operators import summarize as S
@@ -90,6 +90,15 @@ def test_reduce(spark):
     assert A.hierarchical_reduce(empty, ["g"], lambda s: s).count() == 0
 
 
+def test_reduce_takes_whole_contents(spark, tmp_path):
+    files = [(i, "a" if i % 3 else None, f"p{i:02}", None if i == 4 else f"{i} " * (50 * i)) for i in range(40)]
+    df = spark.createDataFrame([*files, files[7], (99, "a", None, "no path")], "file_id long, codebase string, relative_path string, content string")
+    df.write.parquet(str(tmp_path / "files.parquet"))
+    got = {r.codebase: r.n for r in catalog.queries()["a06_hierarchical_reduce"](spark, str(tmp_path)).collect()}
+    texts = {g: "\n\n".join(f"{p}: {c or ''}" for _, x, p, c in files if (x or "unknown") == g) for g in ("a", "unknown")}
+    assert got == {g: len(t) for g, t in texts.items()}
+
+
 def test_ledger(spark):
     df = spark.sql("select * from values ('m', timestamp_ntz'2025-01-01 00:30:00', 1, 10, 1.0D), ('m', timestamp_ntz'2025-01-01 05:00:00', 2, null, 2.0D), ('m', null, 3, 5, null) t(by, at, id, tokens, secs)")
     rows = A.ledger(df, by="by", time="at", order=["at", "id"], tokens="tokens", seconds="secs").orderBy("done").collect()
