@@ -165,15 +165,22 @@ def _refusals():
 
 
 def is_refusal(text: str) -> bool:
-    """A phrase of refusal in the first two sentences, outside quotes and code, and little besides."""
+    """A phrase of refusal outside quotes and code, by its place and by what else is said.
+
+    In a short answer it counts anywhere; in a long one at the very beginning,
+    or where it begins one of the last two sentences.
+    """
     low = _QUOTED.sub(" ", _FENCE.sub(" ", text)).lower().replace("’", "'")
-    opening = low[:400]
-    sentences = re.split(r"(?<=[.!?])\s+", opening.strip())
-    head = " ".join(sentences[:3])
-    for _, w in _refusals().iter(head):
-        if w in _NEEDS_NOT and not _NEGATED.search(head):
-            continue
-        return len(low) < 900 or head.find(w) < 120
+    sentences = re.split(r"(?<=[.!?。])\s+", low.strip())
+    before = 0
+    for k, sentence in enumerate(sentences):
+        for end, w in _refusals().iter(sentence):
+            if w in _NEEDS_NOT and not _NEGATED.search(sentence):
+                continue
+            at = end + 1 - len(w)
+            if len(low) < 900 or before + at < 120 or (k >= len(sentences) - 2 and at < 40):
+                return True
+        before += len(sentence) + 1
     return False
 
 

@@ -73,6 +73,15 @@ def test_defects():
     assert d(None, "The file holds the settings of the server.", None) is None
 
 
+def test_refusal_is_seen_anywhere():
+    preamble = "Thank you for the file, which was read with care. It is a module of some length. It was sent in one piece. "
+    proper = "The module reads the settings and writes the report. " * 30
+    assert pairs.is_refusal(preamble * 5 + "I cannot summarize it.") and pairs.is_refusal(preamble * 20 + "Sorry, but I must decline.")
+    assert pairs.is_refusal("Vielen Dank für die Datei. Sie ist lang. Sie hat viele Teile. Leider kann ich diese Datei nicht zusammenfassen.")
+    assert not pairs.is_refusal(proper + "Users see that I am unable to in the log. " + proper) and not pairs.is_refusal(preamble + 'It prints "I cannot help" and ends.')
+    assert not pairs.is_refusal("Gern kann ich diese Datei erklären. Sie liest Werte. Sie gibt nicht auf.")
+
+
 def test_sentences_without_spaces_vote():
     ja = "このファイルは設定を読み込みます。 入力値を検証して結果を返します。\n文字列を解析します。"
     zh = "该文件读取配置并返回结果。\n它检查每个输入值。"
