@@ -65,6 +65,7 @@ for _v in _VOTES.values():
 
 _FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~)[^\n]*\n.*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)")
 _QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|«[^»\n]{0,300}»|`[^`\n]*`")
+_FACE = re.compile(r"[:;]-?[(\[{](?=\s|$)|'[(\[{)\]}]+'|(?m:^\s*(?:\d{1,3}|[A-Za-z])[)\]](?=\s))")
 _LAST_OK = re.compile(r"[.!?…。！？:;)\]}\"”»'’`|*_>~✅✔☑👍🎉-]$|[\U0001F300-\U0001FAFF☀-➿️]$")
 #: fixed values: words no sentence and no list item ends with
 DANGLING = frozenset(
@@ -194,28 +195,38 @@ def is_empty(text: str | None, blank_prompt: bool) -> bool:
     return all(w in FILLER for w in words) or text.strip().lower().rstrip(".") == "empty file"
 
 
+def is_open(prose: str) -> bool:
+    """A bracket is never closed; faces, brackets in quotes or inline code and closing marks of lists are none."""
+    depth = 0
+    for c in _FACE.sub(" ", _QUOTED.sub(" ", prose)):
+        if c in "([{":
+            depth += 1
+        elif c in ")]}" and depth:
+            depth -= 1
+    return depth > 0
+
+
 def is_truncated(text: str) -> bool:
     """Delimiters left open, or a last sentence that breaks off."""
     t = text.rstrip()
     if not t:
         return False
-    fences = len(re.findall(r"(?m)^[ \t]*```", t))
-    if fences % 2:
+    fence, prose = "", []
+    for line in t.split("\n"):
+        mark = line.lstrip(" \t")[:3]
+        if mark in ("```", "~~~") and fence in ("", mark):
+            fence = "" if fence else mark
+        elif not fence:
+            prose.append(line)
+    if fence:
         return True
-    lines = t.split("\n")
-    last = lines[-1].strip()
-    if last.startswith("```"):
-        return False
-    stack: list[str] = []
+    last = t.split("\n")[-1].strip()
+    if last.startswith(("```", "~~~")):
+        return is_open("\n".join(prose))
     if last.count("`") % 2:
         return True
     bare = re.sub(r"`[^`]*`", "", last)
-    for c in bare:
-        if c in "([{":
-            stack.append(c)
-        elif c in ")]}" and stack:
-            stack.pop()
-    if stack and not re.search(r"[:;]-?[(\[{]$", bare):
+    if is_open("\n".join(prose)):
         return True
     if bare.count('"') % 2:
         return True

@@ -82,6 +82,13 @@ def test_refusal_is_seen_anywhere():
     assert not pairs.is_refusal("Gern kann ich diese Datei erklären. Sie liest Werte. Sie gibt nicht auf.")
 
 
+def test_delimiters_opened_above_the_last_line():
+    t = pairs.is_truncated
+    assert t("It reads (among others:\n- the first file\n- the second one") and t("It keeps [a, b\nand then goes on.") and t("It runs:\n\n~~~\nrun(client)\nIt ends.")
+    assert t("It runs (see below\n\n```\nrun(\n```")
+    assert not t("It reads (among\nothers) two files:\n1) one\n2) two.") and not t("It is sad :(\nIt prints '(' and \"[\" and `{`.\nThe end.") and not t("~~~\nrun(\n```\n~~~\nIt ends.")
+
+
 def test_sentences_without_spaces_vote():
     ja = "このファイルは設定を読み込みます。 入力値を検証して結果を返します。\n文字列を解析します。"
     zh = "该文件读取配置并返回结果。\n它检查每个输入值。"
