@@ -303,3 +303,31 @@ def test_long_lines_cost_no_more_than_their_length(unit):
     began = time.process_time()
     secrets.find(unit * (60_000 // len(unit)))
     assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("text", ["key a", "key = aB1", "password=/a/", "x-", "password a-", "password=", "secret:", "token ", "-----BEGIN PRIVATE KEY-----\n", "pass/user:", "authorization ", "ab", "auth(a,"])
+def test_unbroken_runs_cost_no_more_than_their_length(text):
+    import time
+
+    unit, tail = (text.split()[-1], text) if " " in text.strip() and "BEGIN" not in text else (text, "")
+    unit = " " if text.endswith(" ") else unit
+    began = time.process_time()
+    secrets.find(tail + unit * (400_000 // len(unit)) + "!x")
+    assert time.process_time() - began < 5
+
+
+def test_issued_tokens():
+    import base64
+    import zlib
+
+    body, digits, n = "aaaaaaaaaaaaaaaaaaaaaaaaaaaaab", "", zlib.crc32(b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaab")
+    while n:
+        n, k = divmod(n, 62)
+        digits = secrets._DIGITS62[k] + digits
+    good = f"ghp_{body}{digits.rjust(6, '0')}"
+    assert secrets.has_checksum(good) and not secrets.has_checksum(good[:-1] + ("a" if good[-1] != "a" else "b")) and not secrets.has_checksum("x")
+    assert secrets.find(f"x {good} y")[0] == [1]  # the checksum speaks for a body that does not look random
+    assert secrets.find("x ghp_" + "a" * 36)[0] == []
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    assert secrets.is_issued(head + ".eyJaaaaaaaaaa.aaaaaaaaaaaa")
+    assert secrets.find("dop_v1_" + "0123456789abcdef" * 4)[0] == [1] and secrets.find("a: shpat_" + "0123456789abcdef" * 2)[0] == [1]
