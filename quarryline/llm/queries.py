@@ -58,13 +58,13 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = repetition.repetition(_table(spark, d, "responses", "response_id", "summary"))
-    return rows.where("repetition.share > 0.5").select("response_id").distinct()
+    rows = repetition.repetition(_table(spark, d, "responses", "response_id", "summary"), shares=False)
+    return rows.where("repetition.repetitive").select("response_id").distinct()
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     rows = repetition.repetition(_table(spark, d, "responses", "response_id", "summary"))
-    return rows.select("response_id", F.round("repetition.ratio", 4).alias("ratio"), F.col("repetition.band").alias("band"), F.round("repetition.share", 4).alias("share")).dropDuplicates(["response_id"])
+    return rows.select("response_id", F.round("repetition.ratio", 4).alias("ratio"), F.col("repetition.band").alias("band"), F.round("repetition.share", 4).alias("share"), "repetition.repetitive").dropDuplicates(["response_id"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

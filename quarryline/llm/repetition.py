@@ -1,14 +1,18 @@
 """Repeated content inside one document (problem 5).
 
-Compression bands come first: the whole text and its fixed chunks are
-compressed with zstandard, case and list marks removed, and the ratio is held against a limit for texts of
-that length.  A text whose ratio lies above the band of repetitive text cannot
-repeat more than half of itself and is done; a ratio over the upper limit marks
-incompressible content.  Texts inside the band are measured exactly: the share
-of word characters that lie in a run of words already seen earlier in the text,
-first occurrences not counted, case and list marks ignored.
-
-Defined results: null, empty and blank texts have share 0.0 and no ratio.
+Compression bands decide: the whole text and its fixed chunks are compressed
+with zstandard, case and list marks removed, and the ratios are held against
+limits for texts of that length.  Under the lowest limit a text is repetitive,
+over the highest it is incompressible, and between the middle one and the
+highest it is plain; all three are settled by the band.  What lies between the
+lowest and the middle limit is checked exactly: it is repetitive if more than
+half of its word characters lie in a run of words already seen earlier in the
+text, first occurrences not counted, case and list marks ignored.
+
+The same exact share is the measure given for each document, whatever its band.
+
+Defined results: null, empty and blank texts have share 0.0, no ratio and the
+band ``empty``; a text without words has share 0.0.
 """
 
 from __future__ import annotations
@@ -22,32 +26,43 @@ from pyspark.sql import functions as F
 from quarryline.functions.arrow import arrow_udf
 
 CHUNK = 4096
-#: (length in bytes up to which it holds, ratio at or above which no text is repetitive, ratio over which it is incompressible)
-BANDS = ((64, 2.0, 2.0), (128, 0.9, 1.3), (256, 0.75, 1.1), (512, 0.62, 1.0), (1024, 0.56, 0.95), (4096, 0.5, 0.9), (1 << 62, 0.48, 0.88))
+#: (length in bytes up to which it holds, ratio under which a text is repetitive, from which none is, over which it is incompressible)
+BANDS = (
+    (64, 0.30, 2.0, 2.0),
+    (128, 0.30, 0.9, 1.3),
+    (256, 0.30, 0.75, 1.1),
+    (512, 0.28, 0.62, 1.0),
+    (1024, 0.22, 0.56, 0.95),
+    (4096, 0.16, 0.5, 0.9),
+    (1 << 62, 0.12, 0.48, 0.88),
+)
 #: shortest run of words that counts as a repetition
 RUN = 4
 _MARK = re.compile(r"(?m)^[ \t]*(?:[-*+•–]|\d+[.)]|[a-zA-Z][.)]|#+|>+)[ \t]+")
 _WORD = re.compile(r"\w+", re.U)
 
 
-def ratios(text: str) -> tuple[float, float]:
-    """zstandard ratio of the whole text and the least ratio of its fixed chunks."""
+def ratios(text: str) -> tuple[float, float, int]:
+    """zstandard ratio of the whole text, the least ratio of its fixed chunks, and the length in bytes; the last chunk ends with the text."""
     import zstandard
 
     raw = _MARK.sub("", text.casefold()).encode("utf-8", "surrogatepass") or b" "
+    n = len(raw)
     z = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
-    whole = len(z.compress(raw)) / len(raw)
-    if len(raw) <= CHUNK:
-        return whole, whole
-    return whole, min(len(z.compress(raw[i : i + CHUNK])) / len(raw[i : i + CHUNK]) for i in range(0, len(raw), CHUNK) if len(raw) - i >= CHUNK // 2)
+    whole = len(z.compress(raw)) / n
+    if n <= CHUNK:
+        return whole, whole, n
+    return whole, min(len(z.compress(raw[i : i + CHUNK])) / CHUNK for i in (*range(0, n - CHUNK, CHUNK), n - CHUNK)), n
 
 
-def band(text: str, size: int, whole: float, least: float) -> str:
-    """'plain', 'dense' (incompressible) or 'check'."""
-    lo, hi = next((a, b) for n, a, b in BANDS if size <= n)
-    if whole > hi:
-        return "dense"
-    return "check" if min(whole, least) < lo else "plain"
+def band(size: int, whole: float, least: float) -> str:
+    """'repetitive', 'check', 'plain' or 'incompressible'."""
+    sure, none, dense = next(x[1:] for x in BANDS if size <= x[0])
+    if whole > dense:
+        return "incompressible"
+    if whole < sure:
+        return "repetitive"
+    return "check" if min(whole, least) < none else "plain"
 
 
 def repeated_share(text: str | None) -> float:
@@ -93,19 +108,24 @@ def repeated_share(text: str | None) -> float:
     return sum(len(x) for x, c in zip(words, covered) if c) / total
 
 
-def measure(text: str | None) -> tuple[float | None, float | None, str, float]:
+def measure(text: str | None, shares: bool = True) -> tuple[float | None, float | None, str, float | None, bool]:
+    """(ratio, least ratio of a chunk, band, share, repetitive); the share is left out where neither the band nor ``shares`` asks for it."""
     if text is None or not text.strip():
-        return None, None, "empty", 0.0
-    whole, least = ratios(text)
-    b = band(text, len(text.encode("utf-8", "surrogatepass")), whole, least)
-    return whole, least, b, repeated_share(text) if b == "check" else 0.0
+        return None, None, "empty", 0.0, False
+    whole, least, size = ratios(text)
+    b = band(size, whole, least)
+    share = repeated_share(text) if shares or b == "check" else None
+    return whole, least, b, share, b == "repetitive" or (b == "check" and share > 0.5)
 
 
-def repetition(df: DataFrame, *, text: str = "summary", out: str = "repetition") -> DataFrame:
-    """The rows with a struct (ratio, least_chunk_ratio, band, share)."""
+def repetition(df: DataFrame, *, text: str = "summary", out: str = "repetition", shares: bool = True) -> DataFrame:
+    """The rows with a struct (ratio, least_chunk_ratio, band, share, repetitive).
 
-    @arrow_udf("struct<ratio:double,least_chunk_ratio:double,band:string,share:double>")
+    Without ``shares`` the exact share is measured only where the band leaves the verdict open.
+    """
+
+    @arrow_udf("struct<ratio:double,least_chunk_ratio:double,band:string,share:double,repetitive:boolean>")
     def m(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(x) for x in t], columns=["ratio", "least_chunk_ratio", "band", "share"])
+        return pd.DataFrame([measure(x, shares) for x in t], columns=["ratio", "least_chunk_ratio", "band", "share", "repetitive"])
 
     return df.withColumn(out, m(F.col(text)))

@@ -186,13 +186,30 @@ def test_band_never_hides_a_repetitive_text():
                     text += fresh[i : i + random.randint(4, 12)]
                 text = " ".join(text)
                 if repetition.repeated_share(text) > 0.5:
-                    assert repetition.measure(text)[3] > 0.5, (n, share)
+                    assert repetition.measure(text, False)[4], (n, share)
+                fresh = " ".join(random.choice(vocab) for _ in range(n))
+                assert not repetition.measure(fresh)[4]
 
 
 def test_repetition_relation(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "again and again it says so. " * 5, 1)], "id long, summary string, ratio int")
     got = {r.id: r.repetition for r in repetition.repetition(df).collect()}
-    assert got[1].share == got[2].share == 0.0 and got[3].share > 0.5 and got[1].band == "empty"
+    assert got[1].share == got[2].share == 0.0 and got[3].share > 0.5 and got[1].band == "empty" and got[3].repetitive and not got[1].repetitive
+
+
+def test_shares_are_exact_in_every_band():
+    random.seed(9)
+    texts = ["", "a b", "x " * 9000, "The module reads one file. " + "It writes two reports. " * 2, "".join(chr(random.randrange(33, 0x2FFF)) for _ in range(3000))]
+    texts += [" ".join(random.choice("alpha beta gamma delta".split()) for _ in range(n)) for n in (3, 30, 300, 3000)]
+    for t in texts:
+        assert repetition.measure(t)[3] == repetition.repeated_share(t)
+    assert {repetition.measure(t)[2] for t in texts} >= {"repetitive", "incompressible", "empty"}
+
+
+def test_the_end_of_a_long_text_is_a_chunk():
+    random.seed(2)
+    plain = "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(4096 * 3))
+    assert repetition.ratios(plain + "it says so again. " * 100)[1] < 0.4 < repetition.ratios(plain)[1]
 
 
 # -- 6
