@@ -1,10 +1,18 @@
 """Duplicates hidden by formatting differences (problem 4).
 
-Each content is brought to a canonical form: case folded, white space and
-punctuation removed, fields put in one order (the keys of JSON objects at any
-depth, the lines of settings files, the top-level entries of YAML).  The form is
-hashed to 128 bits; groups are formed on the hash alone, so what is shuffled is
-bounded by the number of records, and counts are combined before the shuffle.
+Each content is brought to a canonical form: characters composed and brought to
+their plain width, case folded, white space and punctuation removed (marks that
+belong to a letter stay), fields put in one order (the keys of JSON objects at
+any depth, the lines of settings files, the top-level entries of YAML).  The
+form is hashed to 128 bits; groups are formed on hashes alone, so what is
+shuffled is bounded by the number of records, and counts are combined before
+the shuffle.
+
+Whether fields are put in order depends on the kind of file, so one content may
+stand under two forms.  Each record therefore carries a second hash, of its
+text as it stands but for white space and case; forms that share a text are one
+group.  Only such forms are linked, as hashes, and their links are followed until
+nothing changes.
 
 A collision of the 128 bits is looked for on two further, independent figures of
 the form (its length and a second 64-bit hash): a group that holds more than one
@@ -21,21 +29,29 @@ import json
 import re
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.arrow import arrow_udf
 
+from .common import cut
+from .lookalike import composed
+
 SETTINGS = re.compile(r"(?i)(?:\.(?:env|ini|cfg|conf|properties|toml|cnf|editorconfig)|(?:^|/)\.env(?:\.[\w-]+)?|\.env\.[\w-]+)$")
 YAML = re.compile(r"(?i)\.ya?ml$")
 JSON = re.compile(r"(?i)\.(?:json|jsonl|geojson|webmanifest)$")
 _SLICE = re.compile(r":\d+-\d+$")
 _DROP = re.compile(r"[\W_]+")
+# other alphabets: marks, which stand for vowels in some of them, belong to their letter
+_DROP_WIDE = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
 def squeeze(text: str) -> str:
-    """Case folded, letters and digits (and marks) only."""
-    return _DROP.sub("", text.casefold())
+    """Characters composed and of plain width, case folded, letters with their marks and digits only."""
+    if text.isascii():
+        return _DROP.sub("", text.lower())
+    return _DROP_WIDE.sub("", composed(composed(text).casefold()))
 
 
 def _json_form(v) -> str:
@@ -93,9 +109,9 @@ def canonical(text: str | None, path: str | None = None, language: str | None =
 
 
 def fingerprints(df: DataFrame, *, id: str = "request_id", text: str = "content", path: str = "file_path", language: str = "language") -> DataFrame:
-    """(id, h1, h2, n): 128-bit hash, 64-bit hash and length of each canonical form."""
+    """(id, h1, h2, n, plain): 128-bit hash, 64-bit hash and length of each canonical form, 128-bit hash of the text but for white space and case."""
 
-    @arrow_udf("struct<h1:string,h2:long,n:long>")
+    @arrow_udf("struct<h1:string,h2:long,n:long,plain:string>")
     def form(t: pd.Series, p: pd.Series, g: pd.Series) -> pd.DataFrame:
         import xxhash
 
@@ -103,19 +119,57 @@ def fingerprints(df: DataFrame, *, id: str = "request_id", text: str = "content"
         for a, b, c in zip(t, p, g):
             f = canonical(a, b, c)
             if f is None:
-                out.append((None, None, None))
+                out.append((None, None, None, None))
             else:
                 raw = f.encode("utf-8", "surrogatepass")
-                out.append((xxhash.xxh3_128_hexdigest(raw), xxhash.xxh64_intdigest(raw, 7) - (1 << 63), len(raw)))
-        return pd.DataFrame(out, columns=["h1", "h2", "n"])
+                same = "".join(a.split()).casefold().encode("utf-8", "surrogatepass")
+                out.append((xxhash.xxh3_128_hexdigest(raw), xxhash.xxh64_intdigest(raw, 7) - (1 << 63), len(raw), xxhash.xxh3_128_hexdigest(same)))
+        return pd.DataFrame(out, columns=["h1", "h2", "n", "plain"])
+
+    return df.select(F.col(id).alias("id"), form(F.col(text), F.col(path), F.col(language)).alias("f")).where("f.h1 is not null").select("id", "f.h1", "f.h2", "f.n", "f.plain")
+
+
+_FORM = ["h1", "h2", "n"]
+
+
+def _linked(prints: DataFrame) -> DataFrame | None:
+    """(h1, h2, n, root) of the forms that share a text with another form, None if there is none.
+
+    A text stands under at most four forms, one a kind of file.  Labels sink
+    along the links until none changes; a chain needs two texts of different
+    kinds a step, so there are few.
+    """
+    form = F.struct(*_FORM)
+    several = prints.groupBy("plain").agg(F.collect_set(form).alias("forms")).where("size(forms) > 1")
+    edges = cut(several.select(F.array_min("forms").alias("a"), F.explode("forms").alias("b")).where("a <> b").distinct())
+    if edges.isEmpty():
+        return None
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    while True:
+        lower = both.join(labels.select(F.col("a").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
+        following = cut(labels.join(lower, "a").select("a", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")))
+        if not following.where("moved").limit(1).count():
+            return labels.select("a.*", F.struct("root.*").alias("root"))
+        labels = following.select("a", "root")
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    """(id, h1, h2, n), one row an id, linked forms under one of them."""
+    ids = prints.select("id", *_FORM).distinct()
+    links = _linked(prints) if "plain" in prints.columns else None
+    if links is None:
+        return ids
+    return ids.join(links, _FORM, "left").select("id", F.coalesce("root", F.struct(*_FORM)).alias("f")).select("id", "f.*")
+
 
-    return df.select(F.col(id).alias("id"), form(F.col(text), F.col(path), F.col(language)).alias("f")).where("f.h1 is not null").select("id", "f.h1", "f.h2", "f.n")
+def _counts(ids: DataFrame) -> DataFrame:
+    return ids.groupBy(*_FORM).agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies"))
 
 
 def copies(prints: DataFrame) -> DataFrame:
     """One row (keep_id, n_copies, h1) for each content; counts are combined before the shuffle."""
-    ids = prints.select("id", "h1", "h2", "n").distinct()
-    return ids.groupBy("h1", "h2", "n").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies"))
+    return _counts(_grouped(prints))
 
 
 def duplicate_pairs(prints: DataFrame) -> DataFrame:
@@ -125,6 +179,6 @@ def duplicate_pairs(prints: DataFrame) -> DataFrame:
     joined back on the hash, so a content that a third of all rows carry is
     split by the join instead of being sorted in one task.
     """
-    kept = copies(prints).where("n_copies > 1").select("h1", "h2", "n", "keep_id")
-    rows = prints.select("id", "h1", "h2", "n").distinct()
-    return rows.join(kept, ["h1", "h2", "n"]).where("id > keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    ids = _grouped(prints)
+    kept = _counts(ids).where("n_copies > 1").select(*_FORM, "keep_id")
+    return ids.join(kept, _FORM).where("id > keep_id").select("keep_id", F.col("id").alias("copy_id"))

@@ -57,8 +57,8 @@ def _plain(c: str) -> str:
     if c in _PLAIN:
         return _PLAIN[c]
     d = unicodedata.decomposition(c)
-    if d.startswith(_TAGS) or (d.startswith("<compat>") and unicodedata.category(c)[0] == "L"):
-        return unicodedata.normalize("NFKC", c)
+    if d.startswith(_TAGS) or (d.startswith("<compat>") and (unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nl")):
+        return "".join(_PLAIN.get(x, x) for x in unicodedata.normalize("NFKC", c))
     return c
 
 
@@ -100,9 +100,9 @@ def _one_script(m: re.Match) -> str:
     return "".join(_FROM_LATIN.get(c, c) for c in w) if cyr > lat else w.translate(_TO_LATIN)
 
 
-def normal_form(text: str | None) -> str | None:
-    """The one consistent form of a text."""
-    if text is None or text.isascii():
+def composed(text: str) -> str:
+    """The text with plain and composed characters, each letter left in its script."""
+    if text.isascii():
         return text
     rx, swap = _tables()
     parts, done = [], 0
@@ -111,8 +111,14 @@ def normal_form(text: str | None) -> str | None:
         parts += (text[done:a], unicodedata.normalize("NFC", text[a : m.end()].translate(swap)))
         done = m.end()
     out = "".join(parts) + text[done:] if parts else text
-    if not unicodedata.is_normalized("NFC", out):
-        out = unicodedata.normalize("NFC", out)
+    return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
+
+
+def normal_form(text: str | None) -> str | None:
+    """The one consistent form of a text."""
+    if text is None or text.isascii():
+        return text
+    out = composed(text)
     return _MIXED.sub(_one_script, out) if _OTHERS.search(out) else out
 
 

@@ -139,6 +139,8 @@ def test_canonical_forms():
     assert c(None) is None and c(" \n") is None and c("--- !!") is None
     assert c("[" * 3000 + "]" * 3000, "a.json") is None
     assert c('{"a": 1, "a": 2}', "a.json") != c('{"a": 2}', "a.json")
+    assert c("cafe\u0301", "a.md") == c("café", "a.md") != c("cafe", "a.md") and c("कि") != c("कु") and c("Ａbc") == c("abc") and c("x²") != c("x2")
+    assert c("Straße") == c("STRASSE") and c("ß") == c("ẞ")
 
 
 def test_duplicate_pairs_are_brute_force(spark):
@@ -158,6 +160,15 @@ def test_duplicate_pairs_are_brute_force(spark):
     assert counts == {min(v): len(v) for v in groups.values()}
 
 
+def test_equal_contents_of_several_kinds_are_one_group(spark):
+    rows = [(1, '{"a": 1, "b": 2}', "x.json"), (2, '{"b": 2, "a": 1}', "y.json"), (3, '{"b":2,"a":1}', "y.txt"), (4, "C=1\nD=2", ".env"), (5, "D=2\nC=1", "c.ini"), (6, "d=2\nc=1", "c.yml")]
+    rows += [(7, "D=2\n C=1", "c.yml"), (8, "other", "c.yml"), (9, '{"a": [1, 2]}', "z.json"), (10, '{"a": 12}', "z.txt"), (3, '{"b":2,"a":1}', "y.txt")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "request_id long, content string, file_path string, language string")
+    got = sorted(tuple(r) for r in canonical.duplicate_pairs(canonical.fingerprints(df)).collect())
+    assert got == [(1, 2), (1, 3), (4, 5), (4, 6)]
+    assert sorted((r.keep_id, r.n_copies) for r in canonical.copies(canonical.fingerprints(df)).collect()) == [(1, 3), (4, 3), (7, 1), (8, 1), (9, 1), (10, 1)]
+
+
 def test_collision_is_split(spark):
     p = spark.createDataFrame([(1, "h", 5, 3), (2, "h", 5, 3), (3, "h", 6, 3), (4, "h", 5, 4)], "id long, h1 string, h2 long, n long")
     assert [tuple(r) for r in canonical.duplicate_pairs(p).collect()] == [(1, 2)]
