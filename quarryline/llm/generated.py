@@ -2,21 +2,28 @@
 
 Repositories may declare such paths in attribute files (``.gitattributes`` with
 ``linguist-generated`` / ``linguist-vendored``).  Those rules are parsed and
-resolved as git does: the file of the deepest directory wins over its parents,
-within a file the last matching line wins, and an explicit unset keeps a file.
-Repositories without a declaration get equivalent patterns: a fixed list of
-paths that stand for such content, directories mined from the corpus itself,
-and evidence in the text (a header comment of a tool or a third party, the
-shape of minified code, literals that make up nearly the whole file).
+resolved as git does, each of the two attributes by itself: the file of the
+deepest directory wins over its parents, within a file the last matching line
+wins, an explicit unset keeps a file whatever speaks for that attribute, and an
+unspecified one (``!``) says nothing.
+
+Repositories without a declaration get equivalent patterns, in the same syntax
+and through the same resolution: known ones, and ones mined from the corpus.
+Mined are directory names and compound suffixes of files that are declared, or
+whose header says who wrote them; each repository has one vote, so no large one
+decides for the others, and a repository whose own files speak against a
+pattern is left out.  Files that no path speaks for are decided by their text: a
+header of a tool or a third party, the shape of minified code, literals that
+make up nearly the whole file.
 
 Defined results: null or empty paths and contents give no evidence, so such a
-file is kept; repeated rows give one result per id.
+file is kept; files without a repository are one repository; repeated rows give
+one result per id.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,19 +33,24 @@ from quarryline.functions.arrow import arrow_udf
 
 from .common import cut
 
-#: fixed values: directory names that stand for copied or written-by-tool content
-VENDOR_DIRS = (
-    "node_modules bower_components jspm_packages site-packages dist-packages vendor vendored third_party third-party thirdparty "
-    "3rdparty 3rd-party external extern externals Pods Carthage deps upstream _vendor Godeps elm-stuff".split()
+#: fixed values: known patterns of undeclared repositories
+DIRECTORY_PATTERNS = "\n".join(
+    f"**/{x}/** linguist-{kind}"
+    for kind, names in {
+        "vendored": "node_modules bower_components jspm_packages site-packages dist-packages vendor vendored third_party third-party thirdparty 3rdparty 3rd-party external extern externals Pods Carthage deps upstream _vendor Godeps elm-stuff",
+        "generated": "gen generated generated-sources generated-src __generated__ _generated autogen pb",
+    }.items()
+    for x in names.split()
+)
+#: fixed values: dependency lock files, names that tools give, names of files compressed for delivery; letter case does not matter
+NAME_PATTERNS = "\n".join(
+    f"{x} linguist-generated"
+    for x in (
+        "package-lock.json npm-shrinkwrap.json pnpm-lock.yaml packages.lock.json *.lock.json *.lock bun.lock go.sum pubspec.lock "
+        "*.generated.* *.gen.* *.pb.* *.g.* *.designer.* *.pb.gw.* *_pb2.* *_pb2_grpc.* *_pb.* *_gen.* *_generated.* *_stub.* *_stubs.* "
+        "*[.-]min.js *[.-]min.mjs *[.-]min.cjs *[.-]min.css *.bundle.js *.bundle.css *.js.map *.css.map"
+    ).split()
 )
-GENERATED_DIRS = "gen generated generated-sources generated-src __generated__ _generated autogen pb".split()
-#: fixed values: file names of dependency lock files
-LOCK_FILES = (
-    "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml deps.lock.json composer.lock Cargo.lock Gemfile.lock "
-    "poetry.lock Pipfile.lock uv.lock pdm.lock go.sum mix.lock pubspec.lock Podfile.lock flake.lock bun.lock packages.lock.json"
-).split()
-_GEN_NAME = r"(?i)(?:\.(?:generated|gen|pb|g|designer|pb\.gw)\.[a-z]+|_(?:pb2|pb2_grpc|pb|gen|generated|stub|stubs)\.[a-z]+|\.lock\.json|\.lock)$"
-_MIN_NAME = r"(?i)(?:[.-]min\.(?:js|mjs|cjs|css)|\.bundle\.(?:js|css)|\.(?:js|css)\.map)$"
 
 #: fixed values: a tool says that it wrote the file
 _TOOL = (
@@ -53,35 +65,55 @@ _THIRD = (
     r"\bvendored from\b|\bcopied (?:verbatim |unchanged |as is )?from\b.{0,60}(?:\d|http|tag|commit|version)|\bimported (?:snapshot|copy) of\b|\bupstream\s*:\s*\S+|\(c\) (?:\d{4},? )?the [\w.-]+ (?:contributors|authors|project|developers)\b"
     r"|\bthis (?:file|copy) (?:is|was) (?:taken|copied|imported) from\b|\bdo not patch here\b|\bsync(?:ed)? with scripts/\S+"
 )
-#: fixed values: phrases by which the authors say the opposite
-_OURS = r"\b(?:unlike|once|formerly|previously|no longer|originally|replaces|used to be|instead of)\b|\bmaintained by hand\b|\bhand-?(?:written|maintained|edited)\b|\bour own\b|\bis ours\b|\bedit freely\b|\bnot generated\b"
+#: fixed values: phrases by which the authors say the opposite, and words that do so before the statement
+_OURS = r"\bno longer\b|\bmaintained by hand\b|\bhand-?(?:written|maintained|edited)\b|\bour own\b|\bis ours\b|\bedit freely\b|\bnot generated\b|\breplaces\b|\bused to be\b"
+_BEFORE = r"\b(?:unlike|once|formerly|previously|originally|instead of)\b"
 
-_TOOL_RX, _THIRD_RX, _OURS_RX = (re.compile(x, re.I) for x in (_TOOL, _THIRD, _OURS))
+_TOOL_RX, _THIRD_RX, _OURS_RX, _BEFORE_RX = (re.compile(x, re.I) for x in (_TOOL, _THIRD, _OURS, _BEFORE))
 _COMMENT = re.compile(r"^\s*(?:#(?![!\[])|//[/!]?|/\*+!?|\*+|--|<!--|;+|%|\"\"\"|''')\s?(.*)$")
 _LITERAL = re.compile(r"\"[A-Za-z0-9+/=\\_-]{200,}\"|'[A-Za-z0-9+/=\\_-]{200,}'|`[A-Za-z0-9+/=\s_-]{200,}`|(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[fFuUlL]?\s*,\s*){24,}[-+]?[\w.]*")
 HEAD_LINES, TAIL_LINES = 12, 4
 #: shape of minified code: characters per line and the share of white space
 MIN_LINE, MIN_BLANK = 180, 0.09
 BLOB_SHARE = 0.75
-#: a directory is mined when so many of its files, and so large a share, carry a header
-MINE_FILES, MINE_SHARE = 8, 0.4
+#: a pattern is mined when, by the lower bound of its confidence interval, so large a share of its files is marked
+MINE_SHARE, MINE_Z = 0.4, 1.96
+#: parts over which the files of one directory are spread when they meet its rules
+SALTS = 16
+_OPEN, _CLOSE = re.compile(r"^\s*(?:/\*|<!--)"), re.compile(r"\*/|-->")
+
+
+def _block(lines) -> list[str]:
+    """What the comments say that stand before the first line of another kind."""
+    said, inside = [], False
+    for line in lines:
+        m = _COMMENT.match(line)
+        if inside or m:
+            said.append(m[1] if m else line)
+        elif line.strip() and not line.startswith(("#!", "<?")):
+            break
+        inside = (inside or bool(_OPEN.match(line))) and not _CLOSE.search(line)
+    return said
 
 
 def header_kind(text: str) -> str | None:
-    """'generated' or 'vendored' if a comment near either end of the file says so."""
+    """'generated' or 'vendored' if a comment at either end of the file says so: the whole first and last block, and single lines near them."""
     lines = text.split("\n")
     near = lines if len(lines) <= HEAD_LINES + TAIL_LINES + 1 else lines[:HEAD_LINES] + lines[-TAIL_LINES - 1 :]
-    for line in near:
-        m = _COMMENT.match(line[:2000])
-        if m is None:
-            continue
-        said = m[1].strip(" */->\r")
-        if _OURS_RX.search(said):
+    said = [m[1] for x in near if (m := _COMMENT.match(x))] + _block(lines)
+    for line in reversed(lines):
+        m = _COMMENT.match(line)
+        if m:
+            said.append(m[1])
+        elif line.strip():
+            break
+    for x in said:
+        x = x.strip(" */->\r")
+        if _OURS_RX.search(x):
             continue
-        if _TOOL_RX.search(said):
-            return "generated"
-        if _THIRD_RX.search(said):
-            return "vendored"
+        for rx, kind in ((_TOOL_RX, "generated"), (_THIRD_RX, "vendored")):
+            if (m := rx.search(x)) and not _BEFORE_RX.search(x, 0, m.start()):
+                return kind
     return None
 
 
@@ -105,12 +137,18 @@ def is_blob(text: str) -> bool:
 
 
 def kind_of_text(path: str | None, text: str | None) -> str | None:
-    """Evidence in the content: generated, vendored, minified, blob or None."""
+    """Evidence in the content: generated, vendored, minified, blob or None.
+
+    Prose and data files are no code, so figures in them are no blob and lines
+    that begin like a comment are none; of these a markup comment at the top counts.
+    """
     if not text or not text.strip():
         return None
     path = path or ""
-    if re.search(r"(?i)\.(?:md|txt|rst|json|ya?ml|html?)$", path) and not re.search(r"(?i)lock", path):
-        return header_kind(text) if re.search(r"(?i)\.(?:ya?ml|html?)$", path) else None
+    if re.search(r"(?i)\.(?:md|txt|rst|json)$", path) and not re.search(r"(?i)lock", path):
+        return header_kind(text[: text.find("-->") + 3]) if text.lstrip().startswith("<!--") else None
+    if re.search(r"(?i)\.(?:ya?ml|html?)$", path):
+        return header_kind(text)
     return header_kind(text) or ("minified" if is_minified(path, text) else None) or ("blob" if is_blob(text) else None)
 
 
@@ -140,8 +178,8 @@ def glob_regex(pattern: str) -> str | None:
     return f"^{'' if anchored else '(?:.*/)?'}{out}$"
 
 
-def parse_attributes(text: str | None) -> list[tuple[int, str, bool]]:
-    """(line, regex, marked) for each generated / vendored statement, in file order."""
+def parse_attributes(text: str | None) -> list[tuple[int, str, str, bool | None]]:
+    """(line, regex, attribute, marked) for each generated / vendored statement, in file order; an unspecified one has no mark."""
     out = []
     for n, line in enumerate((text or "").split("\n")):
         m = re.match(r'\s*(?:"((?:[^"\\]|\\.)*)"|(\S+))\s+(.*)$', line)
@@ -151,18 +189,37 @@ def parse_attributes(text: str | None) -> list[tuple[int, str, bool]]:
         for a in m[3].split():
             k = re.fullmatch(r"([-!])?(?:linguist-)?(generated|vendored)(?:=(\w+))?", a)
             if k and rx:
-                out.append((n, rx, not k[1] and (k[3] or "true").lower() not in ("false", "0", "no", "unset")))
+                out.append((n, rx, k[2], None if k[1] == "!" else not k[1] and (k[3] or "true").lower() not in ("false", "0", "no", "unset")))
+    return out
+
+
+ATTRIBUTES = ("generated", "vendored")
+
+
+def rules_say(path: Column, attribute: str, text: str, flags: str = "") -> Column:
+    """What the rules of an attribute file at the root say of a path, null for nothing; the last matching line wins."""
+    groups: list[tuple[bool | None, list[str]]] = []
+    for _, rx, a, marked in parse_attributes(text):
+        if a == attribute:
+            if not groups or groups[-1][0] != marked:
+                groups.append((marked, []))
+            groups[-1][1].append(rx)
+    out = F.lit(None).cast("boolean")
+    for marked, rxs in groups:
+        out = F.when(path.rlike(f"(?s{flags})" + "|".join(rxs)), F.lit(marked).cast("boolean")).otherwise(out)
     return out
 
 
 def declared(files: DataFrame) -> DataFrame:
-    """(id, marked) of the files that attribute files of their repository speak of.
+    """(id, generated, vendored) of the files that attribute files of their repository speak of, null where they say nothing.
 
-    Only attribute files are exploded into rules; the other files bring id and
-    path alone and meet the rules of their ancestor directories by key.
+    ``files`` has id, repo (not null), path and text.  Only attribute files are
+    exploded into rules; files of repositories that have one bring id and path
+    and meet the rules of their ancestor directories by key, in salted parts, as
+    the root of a large repository is one directory.
     """
 
-    @arrow_udf("array<struct<line:int,rx:string,marked:boolean>>")
+    @arrow_udf("array<struct<line:int,rx:string,attribute:string,marked:boolean>>")
     def rules(text: pd.Series) -> pd.Series:
         return text.map(parse_attributes)
 
@@ -170,56 +227,81 @@ def declared(files: DataFrame) -> DataFrame:
         files.where(F.col("path").rlike(r"(^|/)\.gitattributes$"))
         .select("repo", F.regexp_replace("path", r"/?\.gitattributes$", "").alias("dir"), rules("text").alias("rs"))
         .select("repo", "dir", F.explode("rs").alias("r"))
-        .select("repo", "dir", "r.line", "r.rx", "r.marked")
+        .select("repo", "dir", "r.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     parts = F.split("path", "/")
     dirs = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    at = files.where("path is not null").select("id", "repo", "path", F.explode(dirs).alias("dir"))
-    hit = at.join(attr, ["repo", "dir"]).where(F.expr("(case when dir = '' then path else substring(path, length(dir) + 2) end) rlike rx"))
-    return hit.groupBy("id").agg(F.max_by("marked", F.struct(F.length("dir"), "line")).alias("marked"))
-
-
-def _path_says(path: Column) -> Column:
-    segments = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.coalesce(
-        F.arrays_overlap(segments, F.array(*map(F.lit, [*VENDOR_DIRS, *GENERATED_DIRS])))
-        | name.isin(*LOCK_FILES)
-        | name.rlike(_GEN_NAME)
-        | name.rlike(_MIN_NAME),
-        F.lit(False),
-    )
+    at = files.where("path is not null").select("id", "repo", "path").join(attr.select("repo").distinct(), "repo", "left_semi")
+    at = at.select("id", "repo", "path", F.explode(dirs).alias("dir"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"))
+    hit = at.join(attr, ["repo", "dir", "salt"]).where(F.expr("(case when dir = '' then path else substring(path, length(dir) + 2) end) rlike rx"))
+    last = hit.groupBy("id", "attribute").agg(F.max_by("marked", F.struct(F.length("dir"), "line")).alias("marked"))
+    return last.groupBy("id").agg(*[F.max(F.when(F.col("attribute") == a, F.col("marked"))).alias(a) for a in ATTRIBUTES])
+
+
+def _bound(n: Column, of: Column, side: int) -> Column:
+    """Lower (-1) or upper (1) bound of the share n / of, after Wilson."""
+    z, p = MINE_Z, n / of
+    return (p + z * z / (2 * of) + side * z * F.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+
+
+def mine(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns that hold over the repositories, (candidate, attribute), and where they do not, (repo, candidate, attribute).
+
+    ``seen`` has repo, candidates (array) and one boolean for each attribute.
+    The vote of a repository is the share of its files that are marked; the
+    bound is taken over votes, so it does not depend on how many files there are.
+    """
+    marks = [F.count_if(F.coalesce(a, F.lit(False))).alias(a) for a in ATTRIBUTES]
+    local = seen.select("repo", F.explode("candidates").alias("candidate"), *ATTRIBUTES).groupBy("repo", "candidate").agg(F.count("*").alias("of"), *marks)
+    votes = cut(local.select("repo", "candidate", "of", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("n")) for a in ATTRIBUTES])).alias("v")).select("repo", "candidate", "of", "v.*"))
+    holds = votes.groupBy("candidate", "attribute").agg(F.sum(F.col("n") / F.col("of")).alias("yes"), F.count("*").alias("repos"))
+    holds = holds.where(_bound(F.col("yes"), F.col("repos"), -1) >= MINE_SHARE).select("candidate", "attribute")
+    against = votes.where(_bound(F.col("n").cast("double"), F.col("of"), 1) < MINE_SHARE).select("repo", "candidate", "attribute")
+    return holds, against.join(holds, ["candidate", "attribute"], "left_semi")
 
 
 def classify(files: DataFrame, *, id: str = "file_id", repo: str = "codebase", path: str = "relative_path", text: str = "content") -> DataFrame:
     """One row (id, kind) for each file nobody of the repository wrote by hand.
 
-    ``kind`` is declared, path, mined, generated, vendored, minified or blob.
-    The content is read once, in place; only ids, paths and verdicts move.
+    ``kind`` is declared or pattern, else what the text says (generated,
+    vendored, minified, blob), else mined.  The content is read once, in place; only ids, paths
+    and verdicts move.
     """
 
     @arrow_udf("string")
     def evidence(p: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([kind_of_text(a, b) for a, b in zip(p, t)], dtype=object)
 
-    cols = files.select(F.col(id).alias("id"), F.col(repo).alias("repo"), F.col(path).alias("path"), F.col(text).alias("text"))
-    seen = cut(cols.select("id", "path", _path_says(F.col("path")).alias("by_path"), evidence("path", "text").alias("kind")))
-    # directories whose files mostly carry a header: the equivalent of a declared pattern
+    # a name for the files without repository that no repository has
+    key = F.coalesce(F.concat(F.lit("="), F.col(repo).cast("string")), F.lit(""))
+    cols = files.select(F.col(id).alias("id"), key.alias("repo"), F.col(path).alias("path"), F.col(text).alias("text"))
+    p = F.col("path")
+    known = [F.coalesce(rules_say(p, a, NAME_PATTERNS, "i"), rules_say(p, a, DIRECTORY_PATTERNS), F.lit(False)).alias(f"known_{a}") for a in ATTRIBUTES]
+    seen = cut(cols.select("id", "repo", "path", *known, evidence("path", "text").alias("kind")))
+    said = cut(declared(cols))
+    declares = cut(cols.where(p.rlike(r"(^|/)\.gitattributes$")).select("repo").distinct())
+
+    rows = seen.join(said, "id", "left")
+    by = {a: F.coalesce(F.col(a), F.col("kind") == a) for a in ATTRIBUTES}
     parts = F.split("path", "/")
-    segments = F.array_distinct(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
-    marked = F.col("kind").isin("generated", "vendored")
-    mined = (
-        seen.where("path is not null")
-        .select(F.explode(segments).alias("segment"), marked.alias("m"))
-        .groupBy("segment")
-        .agg(F.count_if(F.coalesce("m", F.lit(False))).alias("n"), F.count("*").alias("all"))
-        .where((F.col("n") >= MINE_FILES) & (F.col("n") >= MINE_SHARE * F.col("all")))
-        .select("segment")
+    name = F.element_at(parts, -1)
+    suffix = F.regexp_extract(name, r"([._-][A-Za-z0-9]+\.[A-Za-z0-9]+)$", 1)
+    candidates = F.array_distinct(
+        F.concat(
+            F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.concat(F.lit("**/"), x, F.lit("/**"))),
+            F.when(suffix != "", F.array(F.concat(F.lit("*"), suffix))).otherwise(F.array().cast("array<string>")),
+        )
     )
-    plain = seen.where(~F.col("by_path") & F.col("kind").isNull())
-    by_mined = plain.where("path is not null").select("id", F.explode(segments).alias("segment")).join(mined, "segment", "left_semi").select("id", F.lit("mined").alias("kind"))
-    said = declared(cols)
-    found = seen.where(F.col("by_path") | F.col("kind").isNotNull()).select("id", F.coalesce("kind", F.lit("path")).alias("kind"))
-    found = reduce(DataFrame.unionByName, [found, by_mined]).groupBy("id").agg(F.min("kind").alias("kind"))
-    found = found.join(said, "id", "full_outer").where(F.coalesce("marked", F.col("kind").isNotNull()))
-    return found.select(F.col("id").alias(id), F.when(F.col("marked"), F.lit("declared")).otherwise(F.col("kind")).alias("kind"))
+    holds, against = mine(rows.where("path is not null").select("repo", candidates.alias("candidates"), *[by[a].alias(a) for a in ATTRIBUTES]))
+    plain = seen.where("path is not null and kind is null and not known_generated and not known_vendored").join(declares, "repo", "left_anti")
+    mined = plain.select("id", "repo", F.explode(candidates).alias("candidate")).join(holds, "candidate").join(against, ["repo", "candidate", "attribute"], "left_anti").select("id", F.lit("mined").alias("kind"))
+
+    # each attribute by itself: an explicit unset keeps what speaks for it from counting
+    way = {
+        "vendored": F.when(F.col("known_vendored"), F.lit("pattern")).when(F.col("kind") == "vendored", F.col("kind")),
+        "generated": F.when(F.col("known_generated"), F.lit("pattern")).when(F.col("kind") != "vendored", F.col("kind")),
+    }
+    ways = [F.when(F.coalesce(F.col(a), F.lit(True)), way[a]) for a in ATTRIBUTES]
+    kind = F.when(F.coalesce(F.col("generated"), F.lit(False)) | F.coalesce(F.col("vendored"), F.lit(False)), F.lit("declared")).otherwise(F.coalesce(F.when(ways[0] == "pattern", ways[0]), F.when(ways[1] == "pattern", ways[1]), *ways))
+    found = rows.select("id", kind.alias("kind")).where("kind is not null").unionByName(mined)
+    return found.groupBy("id").agg(F.min("kind").alias("kind")).select(F.col("id").alias(id), "kind")

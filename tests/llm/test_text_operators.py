@@ -17,7 +17,7 @@ def test_attribute_patterns():
     import re
 
     def hit(p):
-        return [m for _, rx, m in rules if re.search(rx, p)]
+        return [m for _, rx, _, m in rules if re.search(rx, p)]
 
     assert hit("a/b.min.js") == [True] and hit("gen/x/y.py") == [True] and hit("gen/keep.py") == [True, False] and hit("d/a b.py") == [True] and hit("x.py") == []
     assert generated.parse_attributes(None) == [] == generated.parse_attributes("")
@@ -37,10 +37,44 @@ def test_precedence(spark):
     ]
     df = spark.createDataFrame(rows, "file_id long, codebase string, relative_path string, content string")
     got = {r.file_id: r.kind for r in generated.classify(df).collect()}
-    assert got == {3: "declared", 5: "declared", 8: "path"}
+    assert got == {3: "declared", 5: "declared", 8: "pattern"}
     assert generated.classify(df.where("false")).count() == 0
 
 
+def test_attributes_are_resolved_one_by_one(spark):
+    head = "// Code generated by t. DO NOT EDIT.\n"
+    rows = [
+        (1, "r", ".gitattributes", "*.js linguist-vendored\n*.js -linguist-generated\n*.go -linguist-generated\n*.rs -linguist-vendored\n*.c linguist-generated\n*.c !linguist-generated\n*.h linguist-vendored=false\n"),
+        (2, "r", "a.js", "x = 1"),
+        (3, "r", "b.go", head),
+        (4, "r", "c.rs", head),
+        (5, "r", "d.c", head),
+        (6, "r", "vendor/e.h", "int x;"),
+        (7, None, ".gitattributes", "*.kt linguist-generated\n"),
+        (8, None, "a.kt", "val x = 1"),
+        (9, "", "a.kt", "val x = 1"),
+        (10, "r", "node_modules/x.go", "package x"),
+    ]
+    df = spark.createDataFrame(rows, "file_id long, codebase string, relative_path string, content string")
+    got = {r.file_id: r.kind for r in generated.classify(df).collect()}
+    assert got == {2: "declared", 4: "generated", 5: "generated", 8: "declared", 10: "pattern"}
+
+
+def test_patterns_are_mined_by_repository(spark):
+    head = "# Code generated by t. DO NOT EDIT.\n"
+    rows = []
+    for r in range(30):  # a name that stands for generated files in many repositories, and one that does in a single large one
+        rows += [(f"r{r}", f"m/outcome/a{i}.py", head if i else "x = 1") for i in range(4)]
+        rows += [(f"r{r}", f"m/service/a{i}.py", "x = 1") for i in range(2)]
+    rows += [("hot", f"service/b{i}.py", head) for i in range(300)]
+    rows += [("other", "outcome/plain.py", "x = 1"), ("contrary", "outcome/x.py", "x = 1")] + [("contrary", f"outcome/c{i}.py", "x = 1") for i in range(20)]
+    rows += [("declares", ".gitattributes", "*.zig linguist-generated"), ("declares", "outcome/y.py", "x = 1")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "file_id long, codebase string, relative_path string, content string")
+    got = {r.file_id: r.kind for r in generated.classify(df).collect()}
+    want = {i: "generated" if c == head else "mined" for i, (r, p, c) in enumerate(rows) if c == head or (p.startswith("m/outcome") or r == "other")}
+    assert got == want
+
+
 def test_evidence():
     k = generated.kind_of_text
     assert k("a.go", "// Code generated by x. DO NOT EDIT.\npackage a\n") == "generated"
@@ -52,6 +86,12 @@ def test_evidence():
     assert k("a.js", 'const q = "' + "word " * 100 + '";\nlet b = 2;\nlet c = 3;\n') is None
     assert k("t.py", "T = [\n" + "    0x01, 0x02, 0x03,\n" * 40 + "]\n") == "blob"
     assert k(None, None) is None and k("a.py", "") is None
+    assert k("a.md", "<!-- Generated by x. -->\n# T\n") == "generated" and k("a.md", "# Generated by x\n") is None and k("t.json", "[" + "1, 2, 3,\n" * 300 + "4]") is None
+    licence = "".join(f"// line {i} of the licence\n" for i in range(60))
+    assert k("a.go", licence + "// Code generated by x. DO NOT EDIT.\npackage a\n") == "generated" and k("a.go", "package a\n" * 40 + licence + "// Code generated by x. DO NOT EDIT.\n") == "generated"
+    assert k("a.c", "/*\n" + "text\n" * 30 + "Code generated by x. DO NOT EDIT.\n*/\nint a;\n") == "generated"
+    assert k("a.py", "# " + "x" * 5000 + " Code generated by x. DO NOT EDIT.\n") == "generated"
+    assert k("a.go", "// Code generated by x (unlike its tests). DO NOT EDIT.\n") == "generated" and k("a.go", "// Unlike code generated by x, this is short.\n") is None
     assert k("a.py", "x = 1\n" * 200_000) is None
 
 
@@ -165,8 +205,8 @@ def test_equal_contents_of_several_kinds_are_one_group(spark):
     rows += [(7, "D=2\n C=1", "c.yml"), (8, "other", "c.yml"), (9, '{"a": [1, 2]}', "z.json"), (10, '{"a": 12}', "z.txt"), (3, '{"b":2,"a":1}', "y.txt")]
     df = spark.createDataFrame([(*r, None) for r in rows], "request_id long, content string, file_path string, language string")
     got = sorted(tuple(r) for r in canonical.duplicate_pairs(canonical.fingerprints(df)).collect())
-    assert got == [(1, 2), (1, 3), (4, 5), (4, 6)]
-    assert sorted((r.keep_id, r.n_copies) for r in canonical.copies(canonical.fingerprints(df)).collect()) == [(1, 3), (4, 3), (7, 1), (8, 1), (9, 1), (10, 1)]
+    assert got == [(1, 2), (1, 3), (4, 5), (4, 6), (4, 7)]
+    assert sorted((r.keep_id, r.n_copies) for r in canonical.copies(canonical.fingerprints(df)).collect()) == [(1, 3), (4, 4), (8, 1), (9, 1), (10, 1)]
 
 
 def test_collision_is_split(spark):
