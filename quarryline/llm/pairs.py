@@ -64,7 +64,7 @@ for _v in _VOTES.values():
         _v[_l] = 1.0 / len(_v)
 
 _FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~)[^\n]*\n.*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)")
-_QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|«[^»\n]{0,300}»|`[^`\n]*`")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|`[^`\n]*`")
 _FACE = re.compile(r"[:;]-?[(\[{](?=\s|$)|'[(\[{)\]}]+'|(?m:^\s*(?:\d{1,3}|[A-Za-z])[)\]](?=\s))")
 _LAST_OK = re.compile(r"[.!?…。！？:;)\]}\"”»'’`|*_>~✅✔☑👍🎉-]$|[\U0001F300-\U0001FAFF☀-➿️]$")
 #: fixed values: words no sentence and no list item ends with
@@ -74,7 +74,10 @@ DANGLING = frozenset(
 )
 COPY_RUN = 24
 COPY_SHARE = 0.6
+#: words that may stand before a refusal in its sentence
+OPENING = 6
 BLOCK = 1 << 16
+WALK = 1 << 27
 
 
 class SuffixAutomaton:
@@ -135,16 +138,21 @@ def _flat(t: str) -> str:
 def copied_share(prompt: str | None, response: str, run: int = COPY_RUN) -> float:
     """Share of the response, white space and case apart, that stands in the prompt in stretches of ``run``.
 
-    Long prompts are walked in blocks that overlap by ``run - 1``, so every
-    stretch lies within a block and the memory is bounded.
+    A response shorter than that is a copy if it stands in the prompt as it is
+    and gives back at least half of it.  Long prompts are walked in blocks that
+    overlap by ``run - 1``, so every stretch lies within a block and the memory
+    is bounded.
     """
     a, b = _flat(prompt or ""), _flat(re.sub(r"(?m)^\s*(?:```|~~~)\w*\s*$", "", response))
-    run = min(run, max(8, len(a)))
-    if len(b) < run or len(a) < run:
-        return 0.0
-    # a stretch of that length holds one of these pieces; without any there is nothing to walk
-    half = run // 2
-    if not any(b[i : i + half] in a for i in range(0, len(b) - half + 1, half)):
+    if min(len(a), len(b)) < run:
+        run = max(1, len(b))
+        if not b or 2 * len(b) < len(a):
+            return 0.0
+    if len(a) < run:
+        return 0.0 if not a or a not in b else b.count(a) * len(a) / len(b)
+    # a stretch of that length holds one of these pieces; without any there is nothing to walk, and where looking costs more than walking it is left out
+    half = max(1, run // 2)
+    if len(a) * (len(b) // half) < WALK and not any(b[i : i + half] in a for i in range(0, len(b) - half + 1, half)):
         return 0.0
     out = bytearray(len(b))
     for i in range(0, len(a), BLOCK):
@@ -168,21 +176,25 @@ def _refusals():
 def is_refusal(text: str) -> bool:
     """A phrase of refusal outside quotes and code, by its place and by what else is said.
 
-    In a short answer it counts anywhere; in a long one at the very beginning,
-    or where it begins one of the last two sentences.
+    It counts where it opens one of the first two or last two sentences, at most
+    ``OPENING`` words before it, or where the sentences that hold one make up a
+    quarter of the answer.
     """
-    low = _QUOTED.sub(" ", _FENCE.sub(" ", text)).lower().replace("’", "'")
-    sentences = re.split(r"(?<=[.!?。])\s+", low.strip())
-    before = 0
+    low = _QUOTED.sub(" ", _FENCE.sub(" ", text)).lower().replace("’", "'").strip()
+    sentences = re.split(r"(?<=[.!?。])\s+", low)
+    refused = 0
     for k, sentence in enumerate(sentences):
-        for end, w in _refusals().iter(sentence):
-            if w in _NEEDS_NOT and not _NEGATED.search(sentence):
+        hits = [end + 1 - len(w) for end, w in _refusals().iter(sentence)]
+        if not hits:
+            continue
+        if not _NEGATED.search(sentence):
+            hits = [end + 1 - len(w) for end, w in _refusals().iter(sentence) if w not in _NEEDS_NOT]
+            if not hits:
                 continue
-            at = end + 1 - len(w)
-            if len(low) < 900 or before + at < 120 or (k >= len(sentences) - 2 and at < 40):
-                return True
-        before += len(sentence) + 1
-    return False
+        if (k < 2 or k >= len(sentences) - 2) and len(sentence[: min(hits)].split()) <= OPENING:
+            return True
+        refused += len(sentence)
+    return 4 * refused >= len(low) > 0
 
 
 def is_empty(text: str | None, blank_prompt: bool) -> bool:
@@ -312,12 +324,13 @@ def defects(requests: DataFrame, responses: DataFrame) -> DataFrame:
     The requests are reduced to one row an id, by the key of the join; repeated
     responses get the same verdict and are reduced after it, as narrow rows.
     """
-    q = requests.select("request_id", "content", "answer_lang").dropDuplicates(["request_id"])
-    r = responses.select("response_id", "request_id", "summary")
+    q = requests.select("request_id", "content", "answer_lang").where("request_id is not null").dropDuplicates(["request_id"]).withColumn("__none", F.lit(0).cast("long"))
+    # responses without a request meet nothing; a key of their own spreads them
+    r = responses.select("response_id", "request_id", "summary", F.when(F.col("request_id").isNull(), F.xxhash64("response_id")).otherwise(F.lit(0)).alias("__none"))
 
     @arrow_udf("string")
     def judge(c: pd.Series, s: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([defect(x, y, z) for x, y, z in zip(c, s, a)], dtype=object)
 
-    both = r.join(q, "request_id", "left")
+    both = r.join(q, ["request_id", "__none"], "left")
     return both.select("response_id", judge("content", "summary", "answer_lang").alias("defect")).where("defect is not null").distinct()

@@ -122,6 +122,18 @@ def test_refusal_is_seen_anywhere():
     assert not pairs.is_refusal("Gern kann ich diese Datei erklären. Sie liest Werte. Sie gibt nicht auf.")
 
 
+def test_short_copies():
+    c = pairs.copied_share
+    assert c("x = 1", "x = 1") == c("x = 1\n", "```\nX=1\n```") == 1.0 and c("return x + y", "return x") == 1.0
+    assert c("a much longer prompt, of which one word is given", "word") == 0.0 and c("x = 1", "It sets a value.") == 0.0 and c("", "x") == c(None, "x") == 0.0
+    assert c("ab", "It writes ab to the file and ends.") < 0.2 and c("def f(): pass", "def f(): pass  # and so on") > 0.5
+    assert pairs.defect("x = 1", "x = 1", "en") == "copy"
+
+
+def test_long_quotes_are_quotes():
+    assert not pairs.is_refusal('It prints "' + "and so on, " * 100 + 'I cannot help" and ends.')
+
+
 def test_delimiters_opened_above_the_last_line():
     t = pairs.is_truncated
     assert t("It reads (among others:\n- the first file\n- the second one") and t("It keeps [a, b\nand then goes on.") and t("It runs:\n\n~~~\nrun(client)\nIt ends.")
