@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.arrow import arrow_udf
 
+from .common import cut
+
+#: documents of one text under one key
+PER_TASK = 50_000
 
 
 def _chars(points: str) -> str:
@@ -42,11 +46,19 @@ SPACES = _chars("00a0 1680 2000 2001 2002 2003 2004 2005 2006 2007 2008 2009 200
 HYPHENS = _chars("2010 2011 2012 2043 2212 fe63 ff0d 02d7")
 #: fixed values: letters of other scripts and the Latin letters they look like
 LOOKALIKE = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ɡ": "g", "ո": "n", "օ": "o", "ս": "u", "հ": "h",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I", "Ԁ": "D",
-    "ο": "o", "ν": "v", "α": "a", "ι": "i", "ρ": "p", "υ": "u", "κ": "k", "γ": "y", "ϲ": "c", "ϳ": "j",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ɡ": "g", "ɑ": "a", "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "ք": "p",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I", "Ԁ": "D", "Ԍ": "G", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L",
+    "ο": "o", "ν": "v", "α": "a", "ι": "i", "ρ": "p", "υ": "u", "κ": "k", "γ": "y", "χ": "x", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
 }
+#: fixed values: letters of Coptic, Cherokee and Lisu and the Latin letters they look like, in the order of the code points
+_ALPHABETS = (
+    ("2c80 2c82 2c88 2c8e 2c92 2c94 2c98 2c9a 2c9e 2c9f 2ca2 2ca3 2ca4 2ca5 2ca6 2ca8 2cac", "A B E H I K M N O o P p C c T Y X"),
+    ("13a0 13a1 13a2 13aa 13ab 13ac 13b3 13b7 13bb 13c0 13c2 13c3 13da 13de 13df 13e2 13e6", "D R T A J E W M H G h Z S L C P K"),
+    ("a4d0 a4d1 a4d3 a4d4 a4d6 a4d7 a4d9 a4da a4dc a4dd a4df a4e0 a4e1 a4e2 a4e3 a4e6 a4e7 a4ea a4eb a4ec a4ee a4f0 a4f2 a4f3 a4f4", "B P D T G K J C Z F M N L S R V H W X Y A E I O U"),
+)
+for _points, _letters in _ALPHABETS:
+    LOOKALIKE.update(zip(_chars(_points), _letters.split()))
 _TO_LATIN = str.maketrans(LOOKALIKE)
 _PLAIN = {**dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(SPACES, " "), **dict.fromkeys(HYPHENS, "-")}
 _TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -84,7 +96,7 @@ def _tables():
     return re.compile(f"(?:[{body}]+|[{chr(0x10000)}-{chr(0x10FFFF)}]+)+"), swap
 
 
-_OTHER = f"{chr(0x370)}-{chr(0x52F)}{chr(0x55B)}-{chr(0x586)}{chr(0x261)}"
+_OTHER = f"{chr(0x370)}-{chr(0x52F)}{chr(0x531)}-{chr(0x586)}{chr(0x251)}{chr(0x261)}{chr(0x13A0)}-{chr(0x13F5)}{chr(0x2C80)}-{chr(0x2CFF)}{chr(0xA4D0)}-{chr(0xA4FD)}"
 _MIXED = re.compile(f"[^\\W\\d_]*(?:[A-Za-z][{_OTHER}]|[{_OTHER}][A-Za-z])[^\\W\\d_]*")
 _OTHERS = re.compile(f"[{_OTHER}]")
 _FROM_LATIN = {}
@@ -158,15 +170,37 @@ def prints(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(id).alias("id"), hashes(F.col(text)).alias("h")).where("h.form is not null").select("id", "h.form", "h.raw")
 
 
+def classes(p: DataFrame) -> DataFrame:
+    """(id, form, raw, parts): membership of each document in its class of texts that look the same.
+
+    Only classes that more than one text takes are kept; what is counted are
+    distinct texts, with map-side combining, so exact copies cost nothing.
+    ``parts`` says over how many keys the documents of the text are spread.
+    """
+    ids = p.select("id", "form", "raw").distinct()
+    texts = ids.groupBy("form", "raw").agg(F.expr(f"1 + count(*) div {PER_TASK}").cast("int").alias("parts"))
+    several = texts.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+    return ids.join(texts.join(several, "form", "left_semi"), ["form", "raw"])
+
+
+def text_pairs(members: DataFrame) -> DataFrame:
+    """(form, raw_a, parts_a, raw_b, parts_b): pairs of different texts of one class, each once; no pair of documents is made."""
+    texts = members.select("form", "raw", "parts").distinct()
+    a, b = (texts.select("form", F.col("raw").alias(f"raw_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
+    return a.join(b, "form").where("raw_a < raw_b")
+
+
 def pairs(p: DataFrame) -> DataFrame:
     """(doc_a, doc_b) whose texts agree in form and differ in characters.
 
-    Only forms that more than one text takes are joined, and the join runs
-    between different texts, so many exact copies of one text make no pairs.
+    Different texts are paired first, as hashes, in as many cells as the
+    documents of both ask for; the cells are expanded to documents, so every row
+    the joins make is a result, and no key holds more than ``PER_TASK`` documents
+    of a text on either side, however many carry it.
     """
-    texts = p.select("form", "raw").distinct()
-    several = texts.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    rows = p.join(several, "form", "left_semi")
-    a = rows.select("form", F.col("id").alias("doc_a"), F.col("raw").alias("raw_a"))
-    b = rows.select("form", F.col("id").alias("doc_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "form").where("doc_a < doc_b and raw_a <> raw_b").select("doc_a", "doc_b").distinct()
+    members = cut(classes(p))
+    parts = [F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)).alias(f"part_{x}") for x in "ab"]
+    cells = text_pairs(members).select("raw_a", "raw_b", "parts_b", parts[0]).select("raw_a", "raw_b", "part_a", parts[1])
+    of = F.pmod(F.hash("id"), F.col("parts"))
+    sides = [cells.join(members.select(F.col("raw").alias(f"raw_{x}"), of.alias(f"part_{x}"), F.col("id").alias(x)), [f"raw_{x}", f"part_{x}"]) for x in "ab"]
+    return sides[0].join(sides[1], ["raw_a", "raw_b", "part_a", "part_b"]).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))

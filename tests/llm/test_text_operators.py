@@ -365,6 +365,23 @@ def test_splicing_equals_whole_normalization(text):
     assert unicodedata.normalize("NFC", lookalike._MIXED.sub(lookalike._one_script, whole)) == unicodedata.normalize("NFC", lookalike.normal_form(text))
 
 
+def test_pairs_of_hot_texts_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "PER_TASK", 7)
+    texts = ["a bank"] * 60 + ["а bank"] + ["a bаnk"] * 20 + ["other"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = lookalike.prints(df)
+    got = sorted(tuple(r) for r in lookalike.pairs(prints).collect())
+    assert got == sorted((a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if a < b and x != y and "other" not in (x, y))
+    members = lookalike.classes(prints)
+    assert members.count() == 81 and lookalike.text_pairs(members).count() == 3 and lookalike.pairs(prints.where("false")).count() == 0
+
+
+def test_letters_of_other_alphabets():
+    for other, latin in (("ꓐꓮꓠꓗ", "BANK"), ("ᎪᏟᎢ", "ACT"), ("ⲟⲣ", "op"), ("Օ", "O"), ("ɑ", "a"), ("Ⅲ", "III")):
+        assert lookalike.skeleton(lookalike.normal_form(other)) == latin
+    assert lookalike.normal_form("\u3164x") == "x"
+
+
 def test_lookalike_pairs_are_brute_force(spark):
     base = ["The bank is open", "Тhe bаnk is open", "The bank is open", "The bаnk\u00a0is open", "The bank is open2", "The bank\nis open", "", None, "Ｔhe bank is open"]
     rows = [(i, t, "x") for i, t in enumerate(base * 3)]
