@@ -1,22 +1,23 @@
 """Filling fixed-capacity containers (problem 9).
 
 Items are only looked at through their histogram of sizes, which has at most as
-many bins as the capacity: that is what reaches the driver, whatever the number
-of items.  There, patterns of one to three sizes that fill a container exactly
-are enumerated, non-negative least squares fit how often each is used to the
-histogram, the counts are rounded down to what the histogram holds, and the
-residual is packed best fit decreasing, on counts again.  The plan, container
-numbers for slots of each size, goes back as a table, and each item takes the
-slot of its rank among the items of its size.
+many bins as the capacity, whatever the number of items.  For each group, in
+one task over its histogram, patterns of one to three sizes that fill a
+container exactly are enumerated, non-negative least squares fit how often each
+is used to the histogram, the counts are rounded down to what the histogram
+holds, and the residual is packed best fit decreasing, on counts again.  The
+plan, container numbers for slots of each size, is a table, and each item takes
+the slot of its rank among the items of its size.
 
-The rank is exact and needs no large task: a size that many items have is ranked
-in salted parts, as many as its count asks for, offset by a running count.
+The rank is exact and needs no large task: a size that more than ``PER_TASK``
+items have is ranked in salted parts, offset by a running count.
 
 Defined results: an item larger than the capacity fills containers by itself and
 its rest is packed like any item; items of size 0 (null and empty texts) stand
 in the first container; items of a group without a capacity (null or unknown
-source) are packed under the name ``unknown`` with the smallest capacity there
-is; repeated rows of one id are one item.
+source, or a capacity that is null or not above 0) are packed under the name
+``unknown`` with the smallest capacity there is; repeated rows of one id are one
+item.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -32,6 +34,9 @@ from .common import cut
 #: items of one size that one task ranks
 PER_TASK = 200_000
 ROUNDS = 400
+#: rows up to which a table of slots, of five numbers each, is broadcast
+BROADCAST_ROWS = 500_000
+SLOTS = "g string, rest long, lo long, hi long, each long, at long"
 UNKNOWN = "unknown"
 
 
@@ -137,70 +142,100 @@ def plan(hist: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]
     return out
 
 
+def _limits(limits: DataFrame, group: str, capacity: str) -> dict[str, int]:
+    """The capacity of each group that has one, and of the others; a bounded table of settings."""
+    caps = {r[0]: int(r[1]) for r in limits.select(group, capacity).where(F.col(group).isNotNull() & (F.col(capacity) > 0)).collect()}
+    caps.setdefault(UNKNOWN, min(caps.values(), default=1))
+    return caps
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """The table, to be broadcast if its checked number of rows allows it, else joined as any."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def _plans(spark: SparkSession, bins: list[Row], caps: dict[str, int]) -> list[Row]:
+    """Slots (g, rest, lo, hi, each, at) of every group, each planned in a task of its own; rest 0 gives the first container after them.
+
+    There are at most a few for each bin of a histogram, and no more than containers.
+    """
+    rows = spark.createDataFrame([(b.g, caps[b.g], b.rest, b.c) for b in bins], "g string, cap long, rest long, c long")
+
+    def slots(h: pd.DataFrame) -> pd.DataFrame:
+        at, seen, out = 1, defaultdict(int), []
+        for mix, k in plan({int(s): int(c) for s, c in zip(h.rest, h.c)}, int(h.cap.iloc[0])):
+            for s, m in mix.items():
+                out.append((h.g.iloc[0], s, seen[s], seen[s] + m * k, m, at))
+                seen[s] += m * k
+            at += k
+        out.append((h.g.iloc[0], 0, 0, 0, 1, at))
+        return pd.DataFrame(out, columns=["g", "rest", "lo", "hi", "each", "at"])
+
+    return rows.repartition(max(1, len(caps)), "g").groupBy("g").applyInPandas(slots, SLOTS).collect()
+
+
 def pack(items: DataFrame, limits: DataFrame, *, id: str = "doc_id", group: str = "source", size: str = "tokens", capacity: str = "capacity") -> DataFrame:
     """(id, group, part, tokens, container) for every item; containers are numbered from 1 in each group.
 
     ``limits`` has one row for each group, a bounded table of settings.
     """
     spark = items.sparkSession
-    caps = {r[0]: int(r[1]) for r in limits.select(group, capacity).where(F.col(capacity) > 0).collect()}
-    caps[UNKNOWN] = min(caps.values(), default=1)
+    caps = _limits(limits, group, capacity)
     known = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
-    name = F.when(F.col(group).isin(*[k for k in caps if k is not None]), F.col(group)).otherwise(F.lit(UNKNOWN))
+    name = F.when(F.col(group).isin(*caps), F.col(group)).otherwise(F.lit(UNKNOWN))
     base = (
         items.select(F.col(id).alias("id"), name.alias("g"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"))
         .dropDuplicates(["id"])
         .withColumn("cap", known[F.col("g")])
-        .withColumn("whole", F.expr("case when n > cap then n div cap else 0 end"))
+        .withColumn("whole", F.expr("case when n > cap then n div cap else 0L end"))
         .withColumn("rest", F.expr("case when n > cap then n % cap else n end"))
     )
     base = cut(base)
-    hists: dict[str, dict[int, int]] = defaultdict(dict)
-    bins = base.groupBy("g", "rest").agg(F.count("*").alias("c")).collect()  # at most the sum of the capacities
-    for g, s, c in bins:
-        hists[g][int(s)] = int(c)
-    salts = spark.createDataFrame([(g, int(s), int(c) // PER_TASK + 1) for g, s, c in bins], "g string, rest long, salts long")
-    base = base.join(salts, ["g", "rest"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
-    counts = cut(base.groupBy("g", "rest", "salt").agg(F.count("*").alias("c"), F.sum("whole").alias("w")))
-    slots, first = [], {}
-    for g, h in hists.items():
-        at = 1
-        seen: dict[int, int] = defaultdict(int)
-        for mix, k in plan(h, caps[g]):
-            for s, m in mix.items():
-                slots.append((g, s, seen[s], seen[s] + m * k, m, at))
-                seen[s] += m * k
-            at += k
-        first[g] = at
-    table = spark.createDataFrame(slots, "g string, rest long, lo long, hi long, each long, at long")
-    # exact rank of an item among those of its group and size
-    w = "partition by g, rest order by salt rows between unbounded preceding and 1 preceding"
-    offsets = counts.select("g", "rest", "salt", F.expr(f"coalesce(sum(c) over ({w}), 0)").alias("off"))
-    wg = "partition by g order by rest, salt rows between unbounded preceding and 1 preceding"
-    offsets = offsets.join(counts.select("g", "rest", "salt", F.expr(f"coalesce(sum(w) over ({wg}), 0)").alias("woff")), ["g", "rest", "salt"])
+    bins = base.groupBy("g", "rest").agg(F.count("*").alias("c"), F.sum("whole").alias("w")).collect()  # at most the sum of the capacities
+    slots = _plans(spark, bins, caps)
+    # parts of the sizes that many items have, and what comes before each part; both small, and none in most runs
+    hot = {(b.g, int(b.rest)): int(b.c) // PER_TASK + 1 for b in bins if b.c > PER_TASK}
+    before = {(b.g, int(b.rest), 0): (0, int(b.w)) for b in bins if (b.g, int(b.rest)) not in hot}
+    if hot:
+        salts = spark.createDataFrame([(*k, n) for k, n in hot.items()], "g string, rest long, salts long")
+        base = base.join(_small(salts, len(hot)), ["g", "rest"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)))
+        parts = base.where("salts is not null").groupBy("g", "rest", "salt").agg(F.count("*").alias("c"), F.sum("whole").alias("w"))
+        for r in parts.collect():  # one row for each PER_TASK items of a hot size
+            before[r.g, int(r.rest), int(r.salt)] = (int(r.c), int(r.w))
+    else:
+        base = base.withColumn("salt", F.lit(0).cast("long"))
+    ranks, offs, whole = [], defaultdict(int), defaultdict(int)
+    for (g, s, k), (c, w) in sorted(before.items()):
+        ranks.append((g, s, k, offs[g, s], whole[g]))
+        offs[g, s] += c
+        whole[g] += w
     part = "partition by g, rest, salt order by id"
-    ranked = base.select("*", F.expr(f"row_number() over ({part}) - 1").alias("r"), F.expr(f"coalesce(sum(whole) over ({part} rows between unbounded preceding and 1 preceding), 0)").alias("wr"))
-    ranked = ranked.join(offsets, ["g", "rest", "salt"]).select("id", "g", "n", "cap", "whole", "rest", (F.col("r") + F.col("off")).alias("r"), (F.col("wr") + F.col("woff")).alias("wr"))
-    placed = (
-        ranked.where("rest > 0")
-        .alias("i")
-        .join(table.alias("t"), F.expr("i.g = t.g and i.rest = t.rest and i.r >= t.lo and i.r < t.hi"))
-        .select("i.id", "i.g", F.col("i.whole").alias("part"), F.col("i.rest").alias("tokens"), F.expr("t.at + (i.r - t.lo) div t.each").alias("container"))
-    )
-    start = F.create_map(*[F.lit(x) for kv in first.items() for x in kv]) if first else F.create_map(F.lit(""), F.lit(1))
-    full = ranked.where("whole > 0").select(
-        "id", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("part"), F.col("cap").cast("long").alias("tokens"), start[F.col("g")].cast("long").alias("s"), "wr"
-    )
-    full = full.select("id", "g", "part", "tokens", F.expr("s + wr + part").alias("container"))
-    zero = ranked.where("n = 0").select("id", "g", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("tokens"), F.lit(1).cast("long").alias("container"))
-    return placed.unionByName(full).unionByName(zero).select(F.col("id").alias(id), F.col("g").alias(group), "part", "tokens", "container")
+    ranked = base.withColumn("r", F.expr(f"row_number() over ({part}) - 1"))
+    any_whole = any(whole.values())
+    if any_whole:
+        ranked = ranked.withColumn("wr", F.expr(f"coalesce(sum(whole) over ({part} rows between unbounded preceding and 1 preceding), 0)"))
+    if any_whole or hot:
+        known = spark.createDataFrame(ranks, "g string, rest long, salt long, off long, woff long")
+        ranked = ranked.join(_small(known, len(ranks)), ["g", "rest", "salt"]).withColumn("r", F.col("r") + F.col("off"))
+    # one pass: the slot of the rest, the full containers before it, and container 1 for items of size 0
+    taken = [tuple(r) for r in slots if r["rest"]]
+    slot = spark.createDataFrame(taken, SLOTS).toDF(*[f"t_{c}" for c in ("g", "rest", "lo", "hi", "each", "at")])
+    after = {r["g"]: r["at"] for r in slots if not r["rest"]}
+    first = F.create_map(*[F.lit(x) for kv in (after or {UNKNOWN: 1}).items() for x in kv])
+    placed = ranked.join(_small(slot, len(taken)), F.expr("g = t_g and rest = t_rest and r >= t_lo and r < t_hi"), "left")
+    piece = "struct(whole as part, rest as tokens, case when rest > 0 then t_at + (r - t_lo) div t_each else 1L end as container)"
+    if not any_whole:
+        pieces = F.expr(piece)
+        return placed.select(F.col("id").alias(id), F.col("g").alias(group), pieces.alias("p")).select(id, group, "p.*")
+    full = "transform(case when whole > 0 then sequence(0L, whole - 1) else array() end, i -> struct(i as part, cast(cap as bigint) as tokens, first + woff + wr + i as container))"
+    pieces = F.expr(f"concat({full}, case when rest > 0 or n = 0 then array({piece}) else array() end)")
+    return placed.withColumn("first", first[F.col("g")].cast("long")).select(F.col("id").alias(id), F.col("g").alias(group), F.explode(pieces).alias("p")).select(id, group, "p.*")
 
 
 def fill(packed: DataFrame, limits: DataFrame, *, group: str = "source", capacity: str = "capacity") -> DataFrame:
     """Per group: items, containers, tokens, and the share of the room that is used."""
-    caps = limits.select(F.col(group).alias("g"), capacity)
-    least = limits.agg(F.min(capacity).alias("least"))
-    per = packed.where("tokens > 0").groupBy(F.col(group).alias(group)).agg(F.count("*").alias("items"), F.max("container").alias("containers"), F.sum("tokens").alias("tokens"))
-    out = per.join(caps, per[group] == F.col("g"), "left").withColumn("least", F.lit(int(least.collect()[0][0] or 1)))
-    cap = F.coalesce(capacity, "least")
-    return out.select(group, "items", "containers", "tokens", cap.cast("long").alias("capacity"), F.round(F.col("tokens") / (F.col("containers") * cap), 6).alias("filled"))
+    caps = _limits(limits, group, capacity)
+    known = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
+    per = packed.where("tokens > 0").groupBy(group).agg(F.count("*").alias("items"), F.max("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    cap = F.coalesce(known[F.col(group)], F.lit(caps[UNKNOWN])).cast("long")
+    return per.select(group, "items", "containers", "tokens", cap.alias("capacity"), F.round(F.col("tokens") / (F.col("containers") * cap), 6).alias("filled"))

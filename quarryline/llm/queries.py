@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, canonical, generated, lookalike, packing, pairs, repetition, secrets, syntax
 from .common import cut, spread
 
-#: no answer of these models is longer; larger figures are dirt
+#: parameter of the clean-up of tokens_used: no answer of these models is longer, larger figures are dirt and are counted as dropped
 MOST_TOKENS = 65_536
 #: fixed values: other spellings of the language names in files
 LANGUAGE_NAMES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "golang", "rs": "rust", "yml": "yaml", "md": "markdown", "sh": "bash", "shell": "bash", "txt": "text", "htm": "html"}
@@ -77,6 +77,7 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Totals by source, language and domain; doc_id is unique in this table, so no row is looked for twice."""
     docs = _table(spark, d, "documents", "doc_id", "text", "source", "lang", "domain")
     rows = docs.select(
         "doc_id",
@@ -91,22 +92,23 @@ def p7_documents(spark: SparkSession, d: str) -> DataFrame:
     return cube.select(*[F.coalesce(x, F.lit("(all)")).alias(x) for x in ("source", "lang", "domain")], "docs", "tokens")
 
 
-def p7_responses(spark: SparkSession, d: str) -> DataFrame:
+def p7_responses(spark: SparkSession, d: str, most: int = MOST_TOKENS) -> DataFrame:
+    """Totals by provider and language; ``dropped`` counts the figures that are null, not above 0 or above ``most``."""
     read = lambda t, *c: spark.read.parquet(f"{d}/{t}.parquet").select(*c)
     r = read("responses", "response_id", "request_id", "tokens_used", "provider_used").dropDuplicates(["response_id"])
     q = read("requests", "request_id", "file_id").dropDuplicates(["request_id"])
     raw = F.lower(F.trim("language"))
     names = F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv])
     f = read("files", "file_id", "language").dropDuplicates(["file_id"]).select("file_id", F.when(F.coalesce(raw, F.lit("")).isin("", "unknown"), "unknown").otherwise(F.coalesce(names[raw], raw)).alias("language"))
-    ok = F.col("tokens_used").between(1, MOST_TOKENS)
+    ok = F.col("tokens_used").between(1, most)
     rows = (
         r.join(q, "request_id", "left")
         .join(f, "file_id", "left")
         .select(F.coalesce(F.lower(F.trim("provider_used")), F.lit("unknown")).alias("provider"), F.coalesce("language", F.lit("unknown")).alias("language"), F.when(ok, F.col("tokens_used")).alias("t"))
     )
     cells = rows.groupBy("provider", "language").agg(F.count("*").alias("responses"), F.count("t").alias("counted"), F.sum("t").alias("tokens"))
-    cube = cells.cube("provider", "language").agg(F.sum("responses").alias("responses"), F.sum("counted").alias("counted"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-    return cube.select(F.coalesce("provider", F.lit("(all)")).alias("provider"), F.coalesce("language", F.lit("(all)")).alias("language"), "responses", "counted", "tokens")
+    cube = cells.cube("provider", "language").agg(F.sum("responses").alias("responses"), F.sum("counted").alias("counted"), (F.sum("responses") - F.sum("counted")).alias("dropped"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    return cube.select(F.coalesce("provider", F.lit("(all)")).alias("provider"), F.coalesce("language", F.lit("(all)")).alias("language"), "responses", "counted", "dropped", "tokens")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -148,6 +150,6 @@ f as (select distinct file_id, case when coalesce(lower(trim(language)), '') in
 x as (select coalesce(lower(trim(provider_used)), 'unknown') as provider, coalesce(language, 'unknown') as language, case when tokens_used between 1 and {MOST_TOKENS} then tokens_used end as t
       from r left join q using (request_id) left join f using (file_id))
 select case when grouping(provider) = 1 then '(all)' else provider end as provider, case when grouping(language) = 1 then '(all)' else language end as language,
-       count(*) as responses, count(t) as counted, cast(coalesce(sum(t), 0) as bigint) as tokens
+       count(*) as responses, count(t) as counted, count(*) - count(t) as dropped, cast(coalesce(sum(t), 0) as bigint) as tokens
 from x group by cube (provider, language)"""
     }

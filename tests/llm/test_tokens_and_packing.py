@@ -76,12 +76,14 @@ def test_plan_is_tight():
     assert sum(s * n for s, n in hist.items()) / (512 * sum(k for _, k in plan)) > 0.985
 
 
-def test_pack_relation(spark):
+@pytest.mark.parametrize("per_task", [200_000, 7])
+def test_pack_relation(spark, per_task, monkeypatch):
+    monkeypatch.setattr(packing, "PER_TASK", per_task)
     random.seed(4)
     rows = [(i, random.choice(["a", "b", None, "zzz"]), random.choice([0, None, 3, 7, 10, 25, 20, 9]), i, 1) for i in range(400)]
     rows += rows[:50]
     items = spark.createDataFrame(rows, "doc_id long, source string, tokens int, container int, part int")
-    limits = spark.createDataFrame([("a", 10), ("b", 12)], "source string, capacity int")
+    limits = spark.createDataFrame([("a", 10), ("b", 12), (None, 5), ("zzz", 0), ("y", None)], "source string, capacity int")
     out = packing.pack(items, limits).collect()
     caps = {"a": 10, "b": 12, packing.UNKNOWN: 10}
     want = {i: (s if s in ("a", "b") else packing.UNKNOWN, n or 0) for i, s, n, *_ in rows}
