@@ -14,7 +14,7 @@ from quarryline.operators import aggregates as A
 from quarryline.operators import chunking, elements, lookups, report
 from quarryline.operators import summarize as S
 from quarryline.plans import stages
-from quarryline.sources import scan_directory, spread, table
+from quarryline.sources import profile_figures, scan_directory, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -76,21 +76,44 @@ def s02_directory_scan(spark, d):
 
 @query(f"select count(*) as files, cast(sum(b) as bigint) as bytes, count(distinct g) as languages from (select distinct file_id, {LANG_SQL} as g, coalesce(octet_length(encode(content)), 0) as b from files)")
 def s03_profile_scan(spark, d):
-    rows = _files(spark, d, "content").select("file_id", "language", F.coalesce(F.octet_length("content"), F.lit(0)).alias("b")).distinct()
-    return rows.agg(F.count("*").alias("files"), F.sum("b").cast("bigint").alias("bytes"), F.count_distinct("language").alias("languages"))
+    return profile_figures(_files(spark, d, "content").select("file_id", "language", F.coalesce(F.octet_length("content"), F.lit(0)).alias("bytes")).distinct())
 
 
-@query("select * from (values " + ", ".join(f"({_q(n)}, {_q(v[0])}, {_q(v[1])})" for n, v in C.PROVIDERS.items()) + ") t(name, label, base_url)")
+#: fixed values: the registry as it has to come out
+_REGISTRY_SQL = """(values ('minimax', 'MiniMax', 'https://api.minimax.io/anthropic', 'MINIMAX_API_KEY'), ('deepseek', 'DeepSeek', 'https://api.deepseek.com/anthropic', 'DEEPSEEK_API_KEY'), ('anthropic', 'Anthropic', '', 'ANTHROPIC_API_KEY'),
+('openai', 'OpenAI', 'https://api.openai.com/v1', 'OPENAI_API_KEY'), ('perplexity', 'Perplexity', 'https://api.perplexity.ai', 'PPLX_API_KEY'), ('kimi', 'Kimi', 'https://api.moonshot.cn/v1', 'KIMI_API_KEY'),
+('qwen', 'Qwen', 'https://dashscope.aliyuncs.com/compatible-mode/v1', 'QWEN_API_KEY'), ('ollama', 'Ollama', 'http://localhost:11434/v1', 'OLLAMA_API_KEY'), ('offline', 'Offline', '', '')) t(name, label, base_url, env)"""
+
+
+@query(f"select * from {_REGISTRY_SQL}")
 def s10_provider_registry(spark, d):
-    return spark.createDataFrame([(n, v[0], v[1]) for n, v in C.PROVIDERS.items()], "name string, label string, base_url string")
+    return spark.createDataFrame([(n, *v) for n, v in C.PROVIDERS.items()], "name string, label string, base_url string, env string")
+
+
+@query(
+    f"select m.name, m.provider, coalesce(nullif(m.base_url, ''), r.base_url, '') as endpoint, coalesce(r.label, m.provider) as label, coalesce(r.env, upper(m.provider) || '_API_KEY') as env from (select name, provider, base_url from models union all values ('local', 'mill', null)) m left join {_REGISTRY_SQL.replace(' t(', ' r(')} on r.name = m.provider"
+)
+def j05_provider_endpoints(spark, d):
+    """Models with the endpoint and key of their provider; an unknown provider gets what its name implies."""
+    m = table(spark, d, "models", "name", "provider", "base_url").unionByName(spark.createDataFrame([("local", "mill", None)], "name string, provider string, base_url string"))
+    r = s10_provider_registry(spark, d).select(F.col("name").alias("provider"), "label", F.col("base_url").alias("url"), "env")
+    out = m.join(r, "provider", "left")
+    return out.select("name", "provider", F.coalesce(F.nullif("base_url", F.lit("")), "url", F.lit("")).alias("endpoint"), F.coalesce("label", "provider").alias("label"), F.coalesce("env", F.concat(F.upper("provider"), F.lit("_API_KEY"))).alias("env"))
 
 
-@query(f"select distinct file_id, regexp_matches(relative_path, {_q(P.exclude_regex())}) as excluded from files where relative_path is not null")
+#: fixed values: names that exclude what lies under them or bears them, and beginnings and ends that do
+_EXCLUDED_SQL = """list_has_any(string_split(relative_path, '/'), ['.git', '.svn', '.hg', '.bzr', '_darcs', 'node_modules', '.venv', 'venv', 'env', '.env', '.conda', '.pix', '.direnv', '.uv', 'vendor', '.pnpm-store', '__pycache__', 'target', 'build', 'dist',
+'.gradle', '.m2', '.cargo', '.nuget', '.pytest_cache', '.tox', '.nox', 'coverage', '.nyc_output', '.jacoco', '.hypothesis', '.next', '.nuxt', '.svelte-kit', '.turbo', '.parcel-cache', '.cache', '__pypackages__', '.vscode', '.idea', '.vs', '.atom',
+'.sublime', '.emacs.d', '.vim', '.nvim', '.DS_Store', 'Thumbs.db', 'desktop.ini', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'poetry.lock', 'Cargo.lock', 'go.sum', 'composer.lock', '.gitignore'])
+or len(list_filter(string_split(relative_path, '/'), lambda p: starts_with(p, '._') or starts_with(p, '.env') or ends_with(p, '.log') or ends_with(p, '.tmp'))) > 0 or contains(string_split(relative_path, '/')[-1], 'test')"""
+
+
+@query(f"select distinct file_id, {_EXCLUDED_SQL} as excluded from files where relative_path is not null")
 def f01_exclude_globs(spark, d):
     return table(spark, d, "files", "file_id", "relative_path").where("relative_path is not null").select("file_id", P.excluded(F.col("relative_path")).alias("excluded")).distinct()
 
 
-@query("select distinct file_id from files where " + " or ".join(f"regexp_matches(relative_path, {_q('(?:^|/)' + P.glob_regex(g) + '$')})" for g in P.DEFAULT_INCLUDE))
+@query("select distinct file_id from files where ends_with(relative_path, '.py') or ends_with(relative_path, '.rs') or ends_with(relative_path, '.go') or ends_with(relative_path, '.js') or ends_with(relative_path, '.ts')")
 def f05_include_globs(spark, d):
     return table(spark, d, "files", "file_id", "relative_path").where(P.included(F.col("relative_path"))).select("file_id").distinct()
 
@@ -185,6 +208,13 @@ def x08_line_of_offset(spark, d):
     return table(spark, d, "files", "file_id", "content").where("content is not null").select("file_id", T.line_index(F.col("content"), F.lit(500)).cast("bigint").alias("line")).distinct()
 
 
+def _blocks(spark, d, suffix, opener, indented):
+    """Blocks of the files of a suffix: one walk over each text, only spans leave it."""
+    rows = spread(table(spark, d, "files", "file_id", "relative_path", "content").where(f"content is not null and endswith(relative_path, '{suffix}')"))
+    spans = rows.select("file_id", F.explode(lookups.blocks(F.col("content"), opener, indented=indented)).alias("b"))
+    return spans.select("file_id", F.col("b.start_line").cast("bigint").alias("start_line"), F.col("b.end_line").cast("bigint").alias("end_line")).distinct()
+
+
 @query(
     r"""with f as (select distinct file_id, string_split(content, chr(10)) as ls from files where content is not null and ends_with(relative_path, '.go')),
 s as (select file_id, ls, i from f, unnest(range(0, len(ls))) r(i) where regexp_matches(ls[i + 1], '^func ')),
@@ -192,8 +222,7 @@ c as (select file_id, i, len(ls) as n, j, sum(length(ls[j + 1]) - length(replace
 select file_id, i as start_line, coalesce(min(case when j > i and depth <= 0 then j + 1 end), max(n)) as end_line from c group by file_id, i"""
 )
 def x09_brace_blocks(spark, d):
-    rows = table(spark, d, "files", "file_id", "relative_path", "content").where("content is not null and endswith(relative_path, '.go')").select("file_id", "content", F.posexplode(F.split("content", "\n")).alias("i", "line")).where(F.col("line").rlike("^func "))
-    return rows.select("file_id", F.col("i").cast("bigint").alias("start_line"), T.brace_block_end(F.col("content"), F.col("i")).cast("bigint").alias("end_line")).distinct()
+    return _blocks(spark, d, ".go", "func ", False)
 
 
 @query(
@@ -203,8 +232,7 @@ c as (select file_id, i, len(ls) as n, j, length(ls[j + 1]) - length(ltrim(ls[j
 select file_id, i as start_line, coalesce(min(case when j > i and body <> '' and d <= d0 then j end), max(n)) as end_line from c group by file_id, i"""
 )
 def x10_indent_blocks(spark, d):
-    rows = table(spark, d, "files", "file_id", "relative_path", "content").where("content is not null and endswith(relative_path, '.py')").select("file_id", "content", F.posexplode(F.split("content", "\n")).alias("i", "line")).where(F.col("line").rlike("^[ ]*(?:async )?def "))
-    return rows.select("file_id", F.col("i").cast("bigint").alias("start_line"), T.indent_block_end(F.col("content"), F.col("i")).cast("bigint").alias("end_line")).distinct()
+    return _blocks(spark, d, ".py", "[ ]*(?:async )?def ", True)
 
 
 @query(
@@ -282,7 +310,7 @@ select file_id, chunk_no::bigint as chunk_no, s as start_line, e as end_line, ca
 
 
 def _packed(spark, d, size, overlap):
-    rows = chunking.chunks(spread(_files(spark, d, "content")), size=size, overlap=overlap, strategy="generic")
+    rows = chunking.chunks(spread(_files(spark, d, "content")), size=size, overlap=overlap, strategy="generic", with_text=False)
     return rows.select("file_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "tokens").distinct()
 
 
@@ -299,14 +327,16 @@ def g04_chunks_overlap(spark, d):
 @query()
 def g01_chunks_by_language(spark, d):
     """Syntax-tree chunks for Python, pattern chunks for Rust, Go and scripts, packed lines for the rest, oversize ones re-split."""
-    rows = chunking.chunks(spread(_files(spark, d, "content")), size=200, overlap=40)
+    rows = chunking.chunks(spread(_files(spark, d, "content")), size=200, overlap=40, with_text=False)
     return rows.select("file_id", "chunk_no", "start_line", "end_line", "chunk_type", "tokens").distinct()
 
 
 @query("with l as (select distinct file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) - 1 as line_no from files where content is not null) select file_id, count(*) as lines, sum(length(line))::bigint as characters, max(line_no)::bigint as last_line from l group by file_id")
 def g08_lines(spark, d):
-    rows = chunking.explode_lines(table(spark, d, "files", "file_id", "content").where("content is not null")).select("file_id", "line_no", "line").distinct()
-    return rows.groupBy("file_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("bigint").alias("characters"), F.max("line_no").cast("bigint").alias("last_line"))
+    # the lines of a row meet where they are; repeated rows are told apart by their number and dropped as figures
+    rows = table(spark, d, "files", "file_id", "content").where("content is not null").withColumn("row", F.monotonically_increasing_id())
+    lines = chunking.explode_lines(rows).groupBy("file_id", "row").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("bigint").alias("characters"), F.max("line_no").cast("bigint").alias("last_line"))
+    return lines.drop("row").distinct()
 
 
 def _parsed(spark, d, language: str | None = None):
@@ -399,7 +429,7 @@ def g06_elements_other_languages(spark, d):
 @query()
 def j01_hint_join(spark, d):
     h = A.hints(_analysed(spark, d), "file_id").select("file_id", F.array_join("top_elements", ",").alias("top_elements"), "dependency_count").distinct()
-    c = chunking.chunks(spread(_files(spark, d, "content")), size=200, overlap=0, strategy="generic").select("file_id", "chunk_no", "tokens").distinct()
+    c = chunking.chunks(spread(_files(spark, d, "content")), size=200, overlap=0, strategy="generic", with_text=False).select("file_id", "chunk_no", "tokens").distinct()
     return c.join(h, "file_id", "left").select("file_id", "chunk_no", "tokens", F.coalesce("top_elements", F.lit("")).alias("top_elements"), F.coalesce("dependency_count", F.lit(0).cast("bigint")).alias("dependency_count"))
 
 
@@ -463,26 +493,25 @@ def a06_reduce_levels(spark, d):
     return per.select("codebase", F.explode(steps).alias("level"), "n").select("codebase", F.col("level").cast("bigint").alias("level"), F.ceil(F.col("n") / F.pow(F.lit(10.0), F.col("level"))).cast("bigint").alias("nodes"))
 
 
-_NOTES_SQL = "(select file_id, coalesce(codebase, 'unknown') as codebase, relative_path || ': ' || coalesce(substring(content, 1, 30), '') as summary, row_number() over (partition by coalesce(codebase, 'unknown') order by relative_path, file_id) - 1 as position from (select distinct file_id, codebase, relative_path, content from files where relative_path is not null))"
+_NOTES_SQL = "(select file_id, coalesce(codebase, 'unknown') as codebase, relative_path || ': ' || coalesce(content, '') as summary, row_number() over (partition by coalesce(codebase, 'unknown') order by relative_path, file_id) - 1 as position from (select distinct file_id, codebase, relative_path, content from files where relative_path is not null))"
 
 
-def _notes(spark, d, most=None):
-    text = F.substring("content", 1, most) if most else F.col("content")
+def _notes(spark, d):
     rows = table(spark, d, "files", "file_id", "codebase", "relative_path", "content").where("relative_path is not null")
-    rows = rows.select("file_id", F.coalesce("codebase", F.lit("unknown")).alias("codebase"), "relative_path", F.concat("relative_path", F.lit(": "), F.coalesce(text, F.lit(""))).alias("summary")).distinct()
+    rows = rows.select("file_id", F.coalesce("codebase", F.lit("unknown")).alias("codebase"), "relative_path", F.concat("relative_path", F.lit(": "), F.coalesce("content", F.lit(""))).alias("summary")).distinct()
     return A.positions(rows, ["codebase"], ["relative_path", "file_id"]).select("codebase", "position", "summary")
 
 
 @query(f"select codebase, position // 10 as position, md5(string_agg(summary, chr(10) || chr(10) order by position)) as summary_md5 from {_NOTES_SQL} group by 1, 2")
 def a06_reduce_groups(spark, d):
-    out = A.reduce_once(_notes(spark, d, 30), ["codebase"], lambda s: s)
+    out = A.reduce_once(_notes(spark, d), ["codebase"], lambda s: s)
     return out.select("codebase", "position", F.md5("summary").alias("summary_md5"))
 
 
-@query()
+@query(f"select codebase, length(string_agg(summary, chr(10) || chr(10) order by position)) as n, md5(string_agg(summary, chr(10) || chr(10) order by position)) as summary_md5 from {_NOTES_SQL} group by 1")
 def a06_hierarchical_reduce(spark, d):
     """One text for each code base, the whole contents of its files joined by tens on every level."""
-    return A.hierarchical_reduce(_notes(spark, d), ["codebase"], lambda s: s).select("codebase", F.length("summary").alias("n"))
+    return A.hierarchical_reduce(_notes(spark, d), ["codebase"], lambda s: s).select("codebase", F.length("summary").cast("bigint").alias("n"), F.md5("summary").alias("summary_md5"))
 
 
 @query(
@@ -627,24 +656,25 @@ def z01_usage_by_hour(spark, d):
 _LINES_SQL = "(select file_id, unnest(range(0, len(ls))) as line_no, unnest(ls) as line from (select distinct file_id, string_split(content, chr(10)) as ls from files where content is not null and ends_with(relative_path, '{}')))"
 
 
-def _lines(spark, d, suffix):
-    rows = table(spark, d, "files", "file_id", "relative_path", "content").where(f"content is not null and endswith(relative_path, '{suffix}')")
-    return chunking.explode_lines(rows.select("file_id", "content")).select("file_id", "line_no", "line").distinct()
+def _of_suffix(spark, d, suffix):
+    return table(spark, d, "files", "file_id", "relative_path", "content").where(f"content is not null and endswith(relative_path, '{suffix}')").select("file_id", "content")
 
 
 @query(
     f"with w as (select *, last_value(case when trim(line) <> '' then line end ignore nulls) over (partition by file_id order by line_no rows between unbounded preceding and 1 preceding) as nearest from {_LINES_SQL.format('.rs')}) select file_id, line_no::bigint as line_no, nearest from w where regexp_matches(line, '^pub fn ')"
 )
 def w06_nearest_line_before(spark, d):
-    got = lookups.nearest_before(_lines(spark, d, ".rs"), "file_id", F.col("line").rlike("^pub fn "), F.trim("line") != "")
-    return got.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), "nearest")
+    found = lookups.nearest_in_text(F.col("content"), lambda x: x.rlike("^pub fn "), lambda x: F.trim(x) != "")
+    return _of_suffix(spark, d, ".rs").select("file_id", F.explode(found).alias("f")).select("file_id", F.col("f.line_no").cast("bigint").alias("line_no"), "f.nearest").distinct()
 
 
 @query(
     f"with w as (select file_id, line_no, sum(length(line) - length(replace(line, '{{', '')) - (length(line) - length(replace(line, '}}', '')))) over (partition by file_id order by line_no) as balance from {_LINES_SQL.format('.go')}) select file_id, max(balance)::bigint as deepest, arg_max(balance, line_no)::bigint as last from w group by file_id"
 )
 def w07_brace_balance(spark, d):
-    rows = lookups.brace_balance(_lines(spark, d, ".go"), "file_id")
+    # only numbers leave the text
+    deltas = chunking.explode_lines(_of_suffix(spark, d, ".go")).select("file_id", "line_no", lookups.brace_delta(F.col("line")).alias("delta")).distinct()
+    rows = lookups.brace_balance(deltas, "file_id")
     return rows.groupBy("file_id").agg(F.max("balance").cast("bigint").alias("deepest"), F.max_by("balance", "line_no").cast("bigint").alias("last"))
 
 

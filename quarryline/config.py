@@ -17,9 +17,14 @@ class ConfigError(ValueError):
 
 #: fixed values: provider -> (label, endpoint, environment variable)
 PROVIDERS = {
+    "minimax": ("MiniMax", "https://api.minimax.io/anthropic", "MINIMAX_API_KEY"),
+    "deepseek": ("DeepSeek", "https://api.deepseek.com/anthropic", "DEEPSEEK_API_KEY"),
+    "anthropic": ("Anthropic", "", "ANTHROPIC_API_KEY"),
     "openai": ("OpenAI", "https://api.openai.com/v1", "OPENAI_API_KEY"),
-    "anthropic": ("Anthropic", "https://api.anthropic.com", "ANTHROPIC_API_KEY"),
-    "perplexity": ("Perplexity", "https://api.perplexity.ai", "PERPLEXITY_API_KEY"),
+    "perplexity": ("Perplexity", "https://api.perplexity.ai", "PPLX_API_KEY"),
+    "kimi": ("Kimi", "https://api.moonshot.cn/v1", "KIMI_API_KEY"),
+    "qwen": ("Qwen", "https://dashscope.aliyuncs.com/compatible-mode/v1", "QWEN_API_KEY"),
+    "ollama": ("Ollama", "http://localhost:11434/v1", "OLLAMA_API_KEY"),
     "offline": ("Offline", "", ""),
 }
 #: fixed values: inclusive ranges of the numeric settings
@@ -164,7 +169,7 @@ def select_models(models: tuple[ModelConfig, ...], wanted: str | None) -> tuple[
 
 
 def provider_info(name: str) -> dict:
-    label, url, var = PROVIDERS.get(name, (name.title(), "", f"{name.upper()}_API_KEY"))
+    label, url, var = PROVIDERS.get(name, (name, "", f"{name.upper()}_API_KEY"))
     return {"name": name, "label": label, "base_url": url, "env": var}
 
 

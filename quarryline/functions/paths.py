@@ -67,14 +67,14 @@ def glob_regex(glob: str) -> str:
 
 
 def exclude_regex(globs: tuple[str, ...] = DEFAULT_EXCLUDE) -> str:
-    """One expression for all exclusions: ``*/X/*`` any component, ``*/P`` any component by glob, ``P`` the file name by glob."""
+    """One expression for all exclusions: ``*/X/*`` any component as it is, ``*/P`` any component by glob, ``P`` the file name by glob; other shapes exclude nothing."""
     parts, names = [], []
     for g in globs:
-        if g.startswith("*/") and g.endswith("/*") and g.count("*") == 2:
+        if len(g) > 4 and g.startswith("*/") and g.endswith("/*") and "/" not in g[2:-2]:
             parts.append(re.sub(r"([^\w/ -])", r"\\\1", g[2:-2]))
-        elif g.startswith("*/"):
+        elif g.startswith("*/") and "/" not in g[2:]:
             parts.append(glob_regex(g[2:]))
-        else:
+        elif "/" not in g:
             names.append(glob_regex(g))
     out = []
     if parts:
@@ -87,7 +87,8 @@ def exclude_regex(globs: tuple[str, ...] = DEFAULT_EXCLUDE) -> str:
 def excluded(path: Column, globs: tuple[str, ...] | None = None) -> Column:
     """Whether a path is excluded; None means the default globs, an empty tuple excludes nothing."""
     globs = DEFAULT_EXCLUDE if globs is None else tuple(globs)
-    return F.lit(False) if not globs else path.rlike(exclude_regex(globs))
+    rx = exclude_regex(globs)
+    return path.rlike(rx) if rx else F.lit(False)
 
 
 def included(path: Column, globs: tuple[str, ...] | None = DEFAULT_INCLUDE) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,8 +80,10 @@ def pattern_chunks(text: str, language: str, size: int, overlap: int, tokens: To
     lines = text.split("\n")
     out = []
     for kind, rx in _COMPILED.get(language, ()):
+        start = at = 0
         for m in rx.finditer(text):
-            start = text.count("\n", 0, m.start())
+            start += text.count("\n", at, m.start())
+            at = m.start()
             end = block_end(lines, start, language == "python")
             if tokens("\n".join(lines[start:end])) > LEAST_PATTERN_TOKENS:
                 out.append((start, end, kind))
@@ -124,14 +127,16 @@ def chunk_text(text: str, language: str, size: int = SIZE, overlap: int = OVERLA
     return out
 
 
-_SPANS = "array<struct<start_line:int,end_line:int,chunk_type:string,tokens:bigint>>"
+_SPANS = "array<struct<start_line:int,end_line:int,chunk_type:string,tokens:bigint,first:int,length:int>>"
 
 
-def chunks(files: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, tokens: Tokens = char_tokens, strategy: str = "auto", text: str = "content", language: str = "language") -> DataFrame:
-    """The files exploded to chunks; the other columns of a file stand beside each of its chunks.
+def chunks(files: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, tokens: Tokens = char_tokens, strategy: str = "auto", text: str = "content", language: str = "language", with_text: bool = True) -> DataFrame:
+    """The files exploded to chunks; the other columns of a file, but for its text, stand beside each of its chunks.
 
-    Only spans come back from Python; chunk texts are cut from the content in
-    the JVM.  Empty and null contents give no chunk.
+    Only spans come back from Python; chunk texts are cut by their offsets in
+    the JVM before the explode, so the whole text is not carried along with each
+    chunk.  Without ``with_text`` no text is cut at all.  Empty and null contents
+    give no chunk.
     """
 
     @arrow_udf(_SPANS)
@@ -140,17 +145,26 @@ def chunks(files: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, tokens
         for a, b in zip(t, g):
             if not a:
                 out.append([])
-            elif strategy == "generic":
-                ls = a.split("\n")
-                out.append([(x, y, "block", tokens("\n".join(ls[x:y]))) for x, y in pack_lines(ls, size, overlap, tokens)])
+                continue
+            ls = a.split("\n")
+            if strategy == "generic":
+                found = [(x, y, "block", tokens("\n".join(ls[x:y]))) for x, y in pack_lines(ls, size, overlap, tokens)]
             else:
-                out.append(chunk_text(a, b or "unknown", size, overlap, tokens))
-        return pd.Series([[dict(zip(("start_line", "end_line", "chunk_type", "tokens"), s)) for s in x] for x in out], dtype=object)
-
-    rows = files.withColumn("__spans", spans(F.col(text), F.col(language)))
-    rows = rows.select("*", F.posexplode("__spans").alias("chunk_no", "__c")).drop("__spans")
-    cut = F.array_join(F.slice(F.split(F.col(text), "\n"), F.col("__c.start_line") + 1, F.col("__c.end_line") - F.col("__c.start_line")), "\n")
-    return rows.select(*[c for c in files.columns], "chunk_no", "__c.start_line", "__c.end_line", "__c.chunk_type", "__c.tokens", cut.alias("chunk"))
+                found = chunk_text(a, b or "unknown", size, overlap, tokens)
+            at = [0, *accumulate(len(x) + 1 for x in ls)]
+            out.append([{"start_line": x, "end_line": y, "chunk_type": k, "tokens": n, "first": at[x], "length": max(0, at[y] - at[x] - 1)} for x, y, k, n in found])
+        return pd.Series(out, dtype=object)
+
+    keep = [c for c in files.columns if c != text]
+    found = spans(F.col(text), F.col(language))
+    fields = ["start_line", "end_line", "chunk_type", "tokens"]
+    if with_text:
+        rows = files.withColumn("__spans", found)
+        found = F.transform("__spans", lambda s: F.struct(*[s[f].alias(f) for f in fields], F.substring(F.col(text), s["first"] + 1, s["length"]).alias("chunk")))
+        fields = [*fields, "chunk"]
+    else:
+        rows = files
+    return rows.select(*keep, F.posexplode(found).alias("chunk_no", "__c")).select(*keep, "chunk_no", *[f"__c.{f}" for f in fields])
 
 
 def explode_lines(files: DataFrame, *, text: str = "content") -> DataFrame:

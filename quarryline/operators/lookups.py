@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from bisect import insort
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.arrow import arrow_udf
+
 
 def nearest_before(lines: DataFrame, key: str, wanted: Column, mark: Column, *, within: int | None = None, out: str = "nearest") -> DataFrame:
     """For each wanted line of a file the nearest earlier line that is marked, within so many lines if given.
@@ -15,10 +22,66 @@ def nearest_before(lines: DataFrame, key: str, wanted: Column, mark: Column, *,
     return lines.withColumn(out, F.last(F.when(mark, F.col("line")), ignorenulls=True).over(w)).where(wanted)
 
 
+def nearest_in_text(text: Column, wanted: Callable[[Column], Column], mark: Callable[[Column], Column]) -> Column:
+    """(line_no, nearest) of each wanted line of a text with the nearest earlier marked one: one walk over its lines, nothing is shuffled."""
+    kind = "struct<i:int,last:string,out:array<struct<line_no:int,nearest:string>>>"
+    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<line_no:int,nearest:string>>").alias("out")).cast(kind)
+    walk = F.aggregate(
+        F.split(text, "\n"),
+        start,
+        lambda a, x: F.struct(
+            (a["i"] + 1).alias("i"),
+            F.when(mark(x), x).otherwise(a["last"]).alias("last"),
+            F.when(wanted(x), F.concat(a["out"], F.array(F.struct(a["i"].alias("line_no"), a["last"].alias("nearest"))))).otherwise(a["out"]).alias("out"),
+        ).cast(kind),
+    )
+    return walk["out"]
+
+
+def block_spans(text: str | None, opener: re.Pattern, indented: bool) -> list[tuple[int, int]]:
+    """(start, end) of the blocks whose first line the opener matches, in one walk.
+
+    By braces a block ends after the first later line at which no more are open
+    than before it, by indentation at the first later line that is not blank and
+    no deeper; else with the text.  Open blocks wait in order of their depth.
+    """
+    if text is None:
+        return []
+    lines, waiting, ends, depth = text.split("\n"), [], {}, 0
+    for i, line in enumerate(lines):
+        if indented:
+            bare = line.strip(" \t\r")
+            at = len(line) - len(line.replace("\t", " ").lstrip(" ")) if bare else None
+            base = at
+        else:
+            base, at = depth, depth + line.count("{") - line.count("}")
+            depth = at
+        while at is not None and waiting and waiting[-1][0] >= at:
+            ends[waiting.pop()[1]] = i if indented else i + 1
+        if opener.match(line):
+            ends[i] = len(lines)
+            insort(waiting, (base or 0, i))
+    return sorted(ends.items())
+
+
+def blocks(text: Column, opener: str, *, indented: bool = False) -> Column:
+    """Spans of the blocks of a text, as an array."""
+
+    @arrow_udf("array<struct<start_line:int,end_line:int>>")
+    def spans(t: pd.Series) -> pd.Series:
+        rx = re.compile(opener)
+        return t.map(lambda x: [{"start_line": a, "end_line": b} for a, b in block_spans(x, rx, indented)])
+
+    return spans(text)
+
+
 def brace_balance(lines: DataFrame, key: str) -> DataFrame:
-    """The lines with the balance of braces up to each."""
-    delta = F.regexp_count("line", F.lit(r"\{")) - F.regexp_count("line", F.lit(r"\}"))
-    return lines.withColumn("balance", F.sum(delta).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """The lines, as their numbers and deltas (``brace_delta``), with the balance of braces up to each."""
+    return lines.withColumn("balance", F.sum("delta").over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def brace_delta(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"\{")) - F.regexp_count(line, F.lit(r"\}"))
 
 
 def widget_states(elements: DataFrame, key: str) -> DataFrame:

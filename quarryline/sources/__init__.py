@@ -10,15 +10,16 @@ from quarryline.functions import paths as P
 MAX_FILE_SIZE = 10 * 1024 * 1024
 
 
-def scan_directory(spark: SparkSession, root: str, *, include: tuple[str, ...] | None = P.DEFAULT_INCLUDE, exclude: tuple[str, ...] | None = None, max_file_size: int = MAX_FILE_SIZE, codebase: str | None = None) -> DataFrame:
+def scan_directory(spark: SparkSession, root: str, *, include: tuple[str, ...] | None = P.DEFAULT_INCLUDE, exclude: tuple[str, ...] | None = None, max_file_size: int | None = MAX_FILE_SIZE, codebase: str | None = None) -> DataFrame:
     """Files of a tree: exclusion, size, text and inclusion tests in this order; content strictly UTF-8.
 
     The size test reaches the file listing, so larger files are never opened.
-    A file that is not UTF-8 stands with a null content and an error.  A missing
+    Without ``max_file_size`` there is no size test.  A file that is not UTF-8 stands with a null content and an error.  A missing
     root raises.
     """
     base = root if "://" in root else "file://" + root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") <= max_file_size)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    raw = raw if max_file_size is None else raw.where(F.col("length") <= max_file_size)
     rel = F.expr(f"substring(path, locate('{_esc(base.split('://', 1)[1].rstrip('/'))}', path) + {len(base.split('://', 1)[1].rstrip('/')) + 1})")
     text = F.col("content").cast("string")
     ok = F.is_valid_utf8(text)
@@ -30,8 +31,13 @@ def scan_directory(spark: SparkSession, root: str, *, include: tuple[str, ...] |
 
 
 def profile_scan(spark: SparkSession, root: str) -> DataFrame:
-    """All text files of a tree, nothing excluded: language and bytes."""
-    return scan_directory(spark, root, include=None, exclude=()).select("relative_path", "language", F.col("size").alias("bytes"))
+    """All text files of a tree, nothing excluded, of any size: language and bytes."""
+    return scan_directory(spark, root, include=None, exclude=(), max_file_size=None).select("relative_path", "language", F.col("size").alias("bytes"))
+
+
+def profile_figures(profiled: DataFrame) -> DataFrame:
+    """Files, bytes and languages of what ``profile_scan`` gives."""
+    return profiled.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"), F.count_distinct("language").alias("languages"))
 
 
 def _esc(s: str) -> str:

@@ -25,6 +25,10 @@ def test_exclude_globs(spark):
     got = spark.createDataFrame([(k,) for k in cases], "p string").select("p", P.excluded(F.col("p")).alias("x")).collect()
     assert {r.p: r.x for r in got} == cases
     assert one(spark, P.excluded(F.col("p"), ()), p="node_modules/a") is False
+    other = ("src/*", "*/a/*.py", "a/b", "*/a/b/*", "*/x*/*")
+    for p in ("src/a.py", "a/c.py", "a/b", "q/a/b/c", "x1/y"):
+        assert one(spark, P.excluded(F.col("p"), other), p=p) is False
+    assert one(spark, P.excluded(F.col("p"), ("*/x*/*",)), p="a/x*/b") is True
 
 
 def test_include_globs(spark):

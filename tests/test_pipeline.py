@@ -130,7 +130,7 @@ def test_config(tmp_path):
     (tmp_path / "pyproject.toml").write_text('[tool.quarryline]\ncodebase_path = "/y"\n')
     assert C.load_file(C.discover(str(tmp_path))) == {"codebase_path": "/y"}
     assert C.discover(str(tmp_path / "none")) is None
-    assert [m["name"] for m in C.from_environment({"ANTHROPIC_API_KEY": "k", "OPENAI_API_KEY": "k"})] == ["openai", "anthropic"]
+    assert [m["name"] for m in C.from_environment({"ANTHROPIC_API_KEY": "k", "OPENAI_API_KEY": "k"})] == ["anthropic", "openai"]
     cfg = C.from_dict(C.template("multi", "/x"))
     assert C.select_models(cfg.models, "backup")[0].name == "backup" and len(C.select_models(cfg.models, "x")) == 2
     C.save(cfg, str(tmp_path / "d/c.json"))
