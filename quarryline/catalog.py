@@ -287,15 +287,17 @@ def x31_prompts(spark, d):
     return _files(spark, d, "content").where("content is not null and relative_path is not null").select("file_id", F.md5(p).alias("prompt_md5")).distinct()
 
 
-@query("select 'a' || 'c' as text")
+@query("select distinct response_id, coalesce(summary, '') || ' by ' || coalesce(model_used, '') as text from responses")
 def x27_response_text(spark, d):
-    rows = spark.sql("select array(named_struct('type', 'text', 'text', 'a'), named_struct('type', 'tool', 'text', 'b'), named_struct('type', 'text', 'text', 'c')) as blocks")
-    return rows.select(T.join_blocks(F.col("blocks")).alias("text"))
+    """Text blocks of an answer joined, a block of another type between them left out."""
+    block = lambda t, x: F.struct(F.lit(t).alias("type"), x.alias("text"))
+    blocks = F.array(block("text", F.col("summary")), block("tool", F.col("provider_used")), block("text", F.lit(" by ")), block("text", F.col("model_used")))
+    return table(spark, d, "responses", "response_id", "summary", "provider_used", "model_used").select("response_id", T.join_blocks(blocks).alias("text")).distinct()
 
 
-@query("select a as attempt, power(2.0, a - 1) as seconds from range(1, 6) t(a)")
+@query("select distinct attempt, power(2.0, attempt - 1) as seconds from attempts where attempt is not null")
 def x32_backoff(spark, d):
-    return spark.range(1, 6).select(F.col("id").alias("attempt"), S.backoff_seconds(F.col("id")).alias("seconds"))
+    return table(spark, d, "attempts", "attempt").where("attempt is not null").distinct().select("attempt", S.backoff_seconds(F.col("attempt")).alias("seconds"))
 
 
 # -- table-generating operators
@@ -450,7 +452,7 @@ def j04_response_models(spark, d):
     return r.join(m, r.model_used == m.model, "left").select("response_id", "name", "max_tokens")
 
 
-@query()
+@query("select * from (values ('a', 'public'), ('b', 'private'), ('c', 'public')) t(name, visibility)")
 def j11_nearest_visibility(spark, d):
     """Definitions with the visibility word that stands nearest above them, within nine lines."""
     text = "class A\n  def a\n  end\n  private\n  def b\n  end\n  public\n  def c\n  end\nend"
@@ -613,10 +615,19 @@ def c04_combine_parts(spark, d):
     return S.combine_parts(r.join(q, "request_id"), "file_id", "response_id").select("file_id", F.md5("summary").alias("summary_md5"), "failed_parts")
 
 
-@query()
+@query(
+    f"""with q as (select distinct request_id, file_id from requests), r as (select distinct response_id, request_id, summary, error from responses),
+s as (select file_id, coalesce(nullif(string_agg(case when r.error is null then r.summary end, chr(10) || chr(10) order by response_id), ''), 'No part of this file could be described.') as summary from q join r using (request_id) group by file_id),
+f as (select distinct file_id, relative_path, {LANG_SQL} as language from files where relative_path is not null), k as (select *, row_number() over (partition by language order by relative_path, file_id) as rank from f join s using (file_id))
+select upper(language[1]) || language[2:] as language, rank::bigint as rank, relative_path, substring(summary, 1, 200) || '...' as preview from k where rank <= 10"""
+)
 def c05_fallback_report(spark, d):
-    files = _files(spark, d, "content").where("relative_path is not null").select("file_id", "relative_path", "language", F.substring("content", 1, 300).alias("summary")).distinct().withColumn("error", F.lit(None).cast("string"))
-    return report.fallback_report(files)
+    """Previews of the combined summaries of the first files of each language."""
+    q = table(spark, d, "requests", "request_id", "file_id").distinct()
+    r = table(spark, d, "responses", "response_id", "request_id", "summary", "error").distinct()
+    s = S.combine_parts(r.join(q, "request_id"), "file_id", "response_id").select("file_id", "summary")
+    files = _files(spark, d).where("relative_path is not null").distinct().join(s, "file_id").withColumn("error", F.lit(None).cast("string"))
+    return report.fallback_report(files).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _EDGES = {"scan": (), "filter": ("scan",), "parse": ("filter",), "chunk": ("filter",), "enrich": ("chunk", "parse"), "reduce": ("enrich",), "report": ("reduce",)}
@@ -701,13 +712,22 @@ def x21_shell_figures(spark, d):
     return table(spark, d, "files", "file_id", "relative_path", "content").where("content is not null and endswith(relative_path, '.sh')").select("file_id", lookups.shell_type(c).alias("shell"), lookups.exit_codes(c).alias("exit_codes")).distinct()
 
 
+_ROUTE_PATHS = ("app/(shop)/cart/page.tsx", "pages/api/user.ts", "pages/index.jsx", "pages/_app.tsx", "src/app/blog/[slug]/layout.tsx", "middleware.ts", "lib/x.ts")
+_IN_APP, _IN_PAGES = "(starts_with(path, 'app/') or contains(path, '/app/'))", "(starts_with(path, 'pages/') or contains(path, '/pages/'))"
+
+
 @query(
-    "select * from (values ('app/(shop)/cart/page.tsx', 'page', 'app', '/cart'), ('pages/api/user.ts', 'api', 'pages', '/api/user'), ('pages/index.jsx', 'page', 'pages', '/'), ('pages/_app.tsx', 'app', 'pages', '/_app'), ('src/app/blog/[slug]/layout.tsx', 'layout', 'app', '/blog/[slug]'), ('middleware.ts', 'middleware', 'none', null), ('lib/x.ts', 'module', 'none', null)) t(path, file_type, router, route)"
+    rf"""with p as (select distinct relative_path as path from files where relative_path is not null and regexp_matches(relative_path, '\.(js|jsx|ts|tsx)$') union select unnest([{', '.join(map(_q, _ROUTE_PATHS))}])),
+n as (select path, {_IN_APP} as app, {_IN_PAGES} as pages, regexp_replace(string_split(path, '/')[-1], '\.[a-z]+$', '') as name, regexp_replace(regexp_replace(path, '\.[a-z]+$', ''), '^(.*?/)??(app|pages)/', '') as base from p)
+select path, case when app and name in ('page', 'layout', 'route', 'loading', 'error', 'template', 'not-found') then name when starts_with(path, 'pages/api/') or contains(path, '/pages/api/') then 'api' when name = 'middleware' then 'middleware'
+  when pages and name in ('_app', '_document') then name[2:] when pages then 'page' else 'module' end as file_type, case when app then 'app' when pages then 'pages' else 'none' end as router,
+  case when app or pages then '/' || regexp_replace(regexp_replace(base, '(^|/)(page|layout|route|index|loading|error|template|not-found)$', ''), '\([^)]*\)/', '', 'g') end as route from n"""
 )
 def x23_next_routes(spark, d):
-    paths = ["app/(shop)/cart/page.tsx", "pages/api/user.ts", "pages/index.jsx", "pages/_app.tsx", "src/app/blog/[slug]/layout.tsx", "middleware.ts", "lib/x.ts"]
-    r = lookups.next_route(F.col("path"))
-    return spark.createDataFrame([(p,) for p in paths], "path string").select("path", *[v.alias(k) for k, v in r.items()])
+    """File type, router and route of every script of the tables, and of paths that show each kind."""
+    paths = table(spark, d, "files", "relative_path").where(r"relative_path rlike '[.](js|jsx|ts|tsx)$'").select(F.col("relative_path").alias("path"))
+    shown = spark.createDataFrame([(p,) for p in _ROUTE_PATHS], "path string")
+    return paths.unionByName(shown).distinct().select("path", *[v.alias(k) for k, v in lookups.next_route(F.col("path")).items()])
 
 
 _BATCHES = [("good", {"workflow": {"type": "batch", "name": "n"}}), ("empty", {}), ("settings", {"workflow": {"type": "batch"}, "settings": C.template("minimal", ""), "execution": {"max_concurrent": 0}})]

@@ -71,6 +71,7 @@ class Config:
     retry_attempts: int = 3
     enable_fallback: bool = True
     stages: tuple[StageConfig, ...] = ()
+    strict_stages: bool = False
 
     @property
     def excluded(self) -> tuple[str, ...]:

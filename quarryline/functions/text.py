@@ -119,13 +119,28 @@ def join_blocks(blocks: Column) -> Column:
     return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "")
 
 
+#: what stands around language, path and content in the prompt of a file, a chunk and an aggregation
+PROMPTS = {
+    "file": ("Describe the purpose, structure and dependencies of this ", " file.\nPath: ", "\n\n"),
+    "chunk": ("Describe this part of a ", " file.\nPath: ", "\n\n"),
+    "aggregate": ("Write one overview of a ", " code base from these notes.\nRoot: ", "\n\n"),
+}
+
+
+def render_prompt(kind: str, *, language: str | None, path: str, content: str) -> str:
+    """The prompt of one request, as ``prompt`` renders it over columns."""
+    a, b, c = PROMPTS[kind]
+    return f"{a}{language or 'unknown'}{b}{path}{c}{content}"
+
+
+def fit(text: str, limit: int) -> str:
+    """One text as ``truncate`` cuts it over columns."""
+    return text if (len(text) + 3) // 4 <= limit else text[: max((limit - CUT_RESERVE) * 4, 0)] + CUT_MARK
+
+
 def prompt(kind: str, **cols: Column) -> Column:
     """Prompt of a file, a chunk or an aggregation."""
-    head = {
-        "file": ("Describe the purpose, structure and dependencies of this ", " file.\nPath: ", "\n\n"),
-        "chunk": ("Describe this part of a ", " file.\nPath: ", "\n\n"),
-        "aggregate": ("Write one overview of a ", " code base from these notes.\nRoot: ", "\n\n"),
-    }[kind]
+    head = PROMPTS[kind]
     return F.concat(F.lit(head[0]), F.coalesce(cols["language"], F.lit("unknown")), F.lit(head[1]), cols["path"], F.lit(head[2]), cols["content"])
 
 

@@ -155,10 +155,15 @@ def reduce_once(rows: DataFrame, by: list[str], combine: Callable[[Column], Colu
     return joined.select(*by, "position", combine(F.col("summary")).alias("summary"))
 
 
+def levels_of(rows: DataFrame, by: list[str], fan_in: int = FAN_IN) -> int:
+    """How many levels reduce the largest group to one row."""
+    most = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return len(reduce_levels(most, fan_in)) - 1
+
+
 def hierarchical_reduce(rows: DataFrame, by: list[str], combine: Callable[[Column], Column], *, fan_in: int = FAN_IN) -> DataFrame:
     """Levels until each group holds one row; the depth is the logarithm of the largest group."""
-    most = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    for _ in range(len(reduce_levels(most, fan_in)) - 1):
+    for _ in range(levels_of(rows, by, fan_in)):
         rows = cut(reduce_once(rows, by, combine, fan_in))
     return rows.select(*by, "summary")
 

@@ -414,7 +414,7 @@ def _use_tree(t: str, head: str = "") -> list[tuple[str, str | None]]:
 
 def parse(text: str | None, key: str) -> tuple[list[Element], list[Dependency]]:
     """Elements sorted by line and dependencies of one text; broken matches are skipped, never raised."""
-    if not text:
+    if not text or not key:
         return [], []
     if key == "python":
         els, deps = _python(text)
@@ -474,8 +474,11 @@ _OUT = (
 )
 
 
-def analyse(files: DataFrame, *, text: str = "content", language: str = "language", path: str = "relative_path", out: str = "analysis") -> DataFrame:
-    """The files with a parser and a struct of arrays: elements and dependencies of each."""
+def analyse(files: DataFrame, *, text: str = "content", language: str = "language", path: str = "relative_path", out: str = "analysis", keep_all: bool = False) -> DataFrame:
+    """The files with a parser and a struct of arrays: elements and dependencies of each.
+
+    Files without a parser are left out, or stand with empty arrays if all are kept.
+    """
 
     @arrow_udf(_OUT)
     def run(t: pd.Series, k: pd.Series) -> pd.DataFrame:
@@ -489,7 +492,7 @@ def analyse(files: DataFrame, *, text: str = "content", language: str = "languag
         return pd.DataFrame({"elements": es, "dependencies": ds})
 
     key = parser_key(F.col(language), F.col(path))
-    return files.where(key.isNotNull()).withColumn("parser", key).withColumn(out, run(F.col(text), F.col("parser")))
+    return (files if keep_all else files.where(key.isNotNull())).withColumn("parser", key).withColumn(out, run(F.col(text), F.col("parser")))
 
 
 def elements(analysed: DataFrame, *keep: str, analysis: str = "analysis") -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarryline import catalog, cli
 from quarryline import config as C
+from quarryline.functions import text as T
 from quarryline.operators import aggregates as A
 from quarryline.operators import summarize as S
 from quarryline.plans import pipeline, stages
@@ -44,6 +45,83 @@ def test_run(spark, tree, tmp_path):
     assert set(done) == {"a"} and set(failed) == {"b"}
 
 
+def test_each_provider_is_called_once_a_request(spark, tree, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def record(text, language):
+        import tempfile
+
+        with tempfile.NamedTemporaryFile("w", dir=str(log), delete=False) as f:
+            f.write(text)
+        if "def f():" in text:
+            raise RuntimeError("busy")
+        return "a summary"
+
+    def overview(text, language):
+        with open(log / "aggregate", "a") as f:
+            f.write("x" + text)
+        return "one overview"
+
+    cfg = C.from_dict({**C.template("minimal", str(tree)), "chunk_size": 200, "chunk_overlap": 0, "retry_attempts": 1, "enable_fallback": False, "output_dest": str(tmp_path / "r.md"), "models": [{"name": "p", "provider": "offline", "model": "m"}]})
+    seen = {}
+
+    def watch(df, ctx):
+        seen.setdefault(ctx.point, 0)
+        seen[ctx.point] += 1
+        return df
+
+    reg = stages.Registry([stages.FunctionStage("watch", tuple(stages.POINTS), watch)])
+    out = pipeline.Engine(spark, cfg, providers=(S.Provider("p", "m", record, prompted=True, aggregate=overview), S.OFFLINE), stages=reg).run()
+    calls = [p.read_text() for p in log.iterdir() if p.name != "aggregate"]
+    chunks = out["statistics"]["requests"] - 3  # one file, a blank one, one that is not UTF-8; only the first of these is asked for
+    assert len(calls) == 1 + chunks and len(set(calls)) == len(calls)
+    assert out["master"] == "one overview" and (log / "aggregate").read_text().count("x" + T.PROMPTS["aggregate"][0]) == 1
+    assert sum("Elements: f0, f1" in c and T.PROMPTS["chunk"][0] in c for c in calls) == chunks and sum(T.PROMPTS["file"][0] in c for c in calls) == 1
+    assert set(seen) == set(stages.POINTS) - {"during_aggregate"}  # nothing was too large for one step
+    assert out["statistics"]["errors"] == 1 and "## Errors" in (tmp_path / "r.md").read_text() and "RuntimeError: busy (1)" in (tmp_path / "r.md").read_text()
+
+
+def test_aggregation_falls_back_to_the_plain_report(spark, tree, tmp_path):
+    def fail(text, language):
+        raise RuntimeError("down")
+
+    cfg = C.from_dict({**C.template("minimal", str(tree)), "retry_attempts": 1, "output_dest": ""})
+    out = pipeline.Engine(spark, cfg, providers=(S.Provider("offline", "first-line", S.first_sentence, aggregate=fail),)).run()
+    assert out["error"] == "RuntimeError: down" and "Python: src/a.py: def f():" in out["master"]
+
+
+def test_large_code_bases_are_reduced_by_tens(spark, tmp_path):
+    for i in range(130):
+        (tmp_path / f"m{i:03}.py").write_text(f"value_{i} = " + "1 + " * 60 + "1\n")
+    cfg = C.from_dict({**C.template("minimal", str(tmp_path)), "output_dest": ""})
+    joined = S.Provider("offline", "first-line", S.first_sentence, aggregate=lambda t, g: " ".join(w for w in t.split() if w.startswith("value_")))
+    out = pipeline.Engine(spark, cfg, providers=(joined,)).run()
+    assert out["master"].split() == [f"value_{i}" for i in range(130)]
+    plain = pipeline.Engine(spark, cfg).run()
+    assert "m000.py: value_0" in plain["master"] and plain["statistics"]["requests"] == 130
+
+
+def test_stage_models(spark, tree):
+    cfg = C.from_dict({"codebase_path": str(tree), "models": [{"name": "fast", "provider": "offline", "model": "m1"}, {"name": "deep", "provider": "offline", "model": "m2"}], "file_model": "fast", "aggregation_model": "m2"})
+    one, two = S.Provider("fast", "m1", S.first_sentence), S.Provider("deep", "m2", S.first_sentence)
+    e = pipeline.Engine(spark, cfg, providers=(one, two))
+    assert e.providers_of(cfg.file_model) == (one,) and e.providers_of(cfg.aggregation_model) == (two,) and e.providers_of("other") == (one, two)
+
+
+def test_failing_steps_are_strict_or_told(spark, tree):
+    def broken(df, ctx):
+        return df.select("nothing_here")
+
+    told = []
+    reg = stages.Registry([stages.FunctionStage("broken", ("after_scan",), broken), stages.FunctionStage("told", ("on_error",), lambda d, c: told.append([tuple(r) for r in d.collect()]) or d)])
+    cfg = C.from_dict({**C.template("minimal", str(tree)), "output_dest": ""})
+    pipeline.Engine(spark, cfg, stages=reg).files()
+    assert told[0][0][:2] == ("after_scan", "broken")
+    with pytest.raises(stages.StageError):
+        pipeline.Engine(spark, C.from_dict({**C.template("minimal", str(tree)), "strict_stages": True}), stages=reg).files()
+
+
 def test_engine_creation_and_update(spark, tree):
     e = pipeline.Engine.create(spark, str(tree))
     assert e.update(chunk_size=500).cfg.chunk_size == 500
