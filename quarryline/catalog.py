@@ -333,6 +333,30 @@ def g01_chunks_by_language(spark, d):
     return rows.select("file_id", "chunk_no", "start_line", "end_line", "chunk_type", "tokens").distinct()
 
 
+@query(_pack_sql(200, 40).replace("content <> ''", f"content <> '' and {EXT_SQL} not in ('.py', '.rs', '.js', '.ts')"))
+def g01_chunks_by_lines(spark, d):
+    """Files of the languages that are dispatched to the packer, those without a parser of chunks included."""
+    rows = _files(spark, d, "content").where(~F.col("language").isin("python", *chunking.BY_PATTERN))
+    out = chunking.chunks(spread(rows), size=200, overlap=40, with_text=False, optimise=False)
+    return out.select("file_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "tokens").distinct()
+
+
+_RUST_KINDS = (("function", "(?:pub(?:[(][^)]*[)])?[ \\t]+)?(?:async[ \\t]+|unsafe[ \\t]+|const[ \\t]+)*fn[ \\t]+[A-Za-z0-9_]"), ("struct", "(?:pub(?:[(][^)]*[)])?[ \\t]+)?(?:struct|enum)[ \\t]+[A-Za-z0-9_]"), ("impl", "impl\\b"), ("trait", "(?:pub(?:[(][^)]*[)])?[ \\t]+)?trait[ \\t]+[A-Za-z0-9_]"))
+
+
+@query(
+    f"""with f as (select distinct file_id, string_split(content, chr(10)) as ls from files where content is not null and {EXT_SQL} = '.rs'),
+s as (select file_id, ls, i, k.kind from f, unnest(range(0, len(ls))) r(i), (values {', '.join(f"({_q(n)}, {_q('^' + x)})" for n, x in _RUST_KINDS)}) k(kind, rx) where regexp_matches(ls[i + 1], k.rx)),
+c as (select file_id, kind, i, len(ls) as n, j, sum(length(ls[j + 1]) - length(replace(ls[j + 1], '{{', '')) - (length(ls[j + 1]) - length(replace(ls[j + 1], '}}', '')))) over (partition by file_id, kind, i order by j) as depth from s, unnest(range(i, len(ls))) r(j)),
+b as (select file_id, kind, i as start_line, coalesce(min(case when j > i and depth <= 0 then j + 1 end), max(n)) as end_line from c group by file_id, kind, i)
+select file_id, kind as chunk_type, start_line, end_line, ((length(array_to_string(ls[start_line + 1:end_line], chr(10))) + 3) // 4)::bigint as tokens from b join f using (file_id) where (length(array_to_string(ls[start_line + 1:end_line], chr(10))) + 3) // 4 > 50"""
+)
+def g03_pattern_chunks(spark, d):
+    """Blocks of Rust files by pattern, with more than 50 tokens; files without one are packed by lines and left out here."""
+    out = chunking.chunks(spread(_files(spark, d, "content").where("language = 'rust'")), size=200, overlap=40, with_text=False, optimise=False).where("chunk_type <> 'block'")
+    return out.select("file_id", "chunk_type", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "tokens").distinct()
+
+
 @query("with l as (select distinct file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) - 1 as line_no from files where content is not null) select file_id, count(*) as lines, sum(length(line))::bigint as characters, max(line_no)::bigint as last_line from l group by file_id")
 def g08_lines(spark, d):
     # the lines of a row meet where they are; repeated rows are told apart by their number and dropped as figures
@@ -404,6 +428,63 @@ def g09_rust_uses(spark, d):
     return elements.dependencies(_parsed(spark, d, "rust"), "file_id").where("import_type = 'use'").select("file_id", "source", F.col("line_number").cast("bigint").alias("line_number")).distinct()
 
 
+def _register(name: str, sql: str, f: Query) -> None:
+    f.__name__ = name
+    query(sql)(f)
+
+
+def _lines_of(suffixes: tuple[str, ...]) -> str:
+    return f"(select distinct file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) - 1 as n from files where {EXT_SQL} in ({', '.join(map(_q, suffixes))}))"
+
+
+def _element_query(name: str, pattern: str, parsers: tuple[str, ...], suffixes: tuple[str, ...], rx: str) -> None:
+    """Names and lines of one kind of element, against a pattern of its own over the lines."""
+
+    def run(spark, d):
+        rows = table(spark, d, "files", "file_id", "relative_path", "content").where(P.extension(F.col("relative_path")).isin(*suffixes)).withColumn("language", P.language(F.col("relative_path")))
+        found = elements.elements(elements.analyse(spread(rows)), "file_id").where((F.col("pattern") == pattern) & F.col("parser").isin(*parsers))
+        return found.select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line")).distinct()
+
+    _register(name, f"select distinct file_id, regexp_extract(line, {_q(rx)}, 1) as name, n::bigint as start_line from {_lines_of(suffixes)} where regexp_matches(line, {_q(rx)})", run)
+
+
+def _dependency_query(name: str, kinds: tuple[str, ...], suffixes: tuple[str, ...], rx: str) -> None:
+    """Sources and lines of one kind of dependency, against a pattern of its own over the lines."""
+
+    def run(spark, d):
+        rows = table(spark, d, "files", "file_id", "relative_path", "content").where(P.extension(F.col("relative_path")).isin(*suffixes)).withColumn("language", P.language(F.col("relative_path")))
+        found = elements.dependencies(elements.analyse(spread(rows)), "file_id").where(F.col("import_type").isin(*kinds))
+        return found.select("file_id", "source", F.col("line_number").cast("bigint").alias("line_number")).distinct()
+
+    _register(name, f"select distinct file_id, unnest(regexp_extract_all(line, {_q(rx)}, 1)) as source, n::bigint as line_number from {_lines_of(suffixes)}", run)
+
+
+_element_query("g06_python_defs", "def", ("python",), (".py",), r"^[ \t]*(?:async +)?def +([A-Za-z0-9_]+)")
+_element_query("g06_python_classes", "class", ("python",), (".py",), r"^[ \t]*class +([A-Za-z0-9_]+)")
+_element_query("g06_js_functions", "function", ("javascript", "typescript"), (".js", ".ts"), r"^[ \t]*(?:export +(?:default +)?)?(?:async +)?function *[*]? *([A-Za-z_$][A-Za-z0-9_$]*) *(?:<[^>(]*>)?[(]")
+_element_query("g06_ts_interfaces", "interface", ("typescript",), (".ts",), r"^[ \t]*(?:export +)?(?:declare +)?interface +([A-Za-z_$][A-Za-z0-9_$]*)")
+_element_query("g06_go_functions", "function", ("golang",), (".go",), r"^[ \t]*func +([A-Za-z0-9_]+) *[[(]")
+_element_query("g06_go_structs", "struct", ("golang",), (".go",), r"^[ \t]*type +([A-Za-z0-9_]+) +struct\b")
+_element_query("g06_java_classes", "class", ("java",), (".java",), r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed) +)*class +([A-Za-z0-9_]+)")
+_element_query("g06_rust_structs", "struct", ("rust",), (".rs",), r"^[ \t]*(?:pub(?:[(][^)]*[)])? +)?struct +([A-Za-z0-9_]+)")
+_element_query("g06_rust_enums", "enum", ("rust",), (".rs",), r"^[ \t]*(?:pub(?:[(][^)]*[)])? +)?enum +([A-Za-z0-9_]+)")
+_element_query("g06_bash_functions", "function", ("bash",), (".sh",), r"^[ \t]*(?:function +)?([A-Za-z_][A-Za-z0-9_.:-]*) *[(][)] *[{]")
+_element_query("g06_settings_sections", "section", ("generic",), (".ini", ".cfg", ".conf", ".toml"), r"^[ \t]*\[([^\]]+)\][ \t]*$")
+_element_query("g06_sql_indexes", "index", ("sql",), (".sql",), r"^[ \t]*(?i:create) +(?i:unique +)?(?i:index) +(?i:if +not +exists +)?([A-Za-z0-9_.]+)")
+_dependency_query("g07_python_from", ("from",), (".py",), r"^[ \t]*from +([.A-Za-z0-9_]+) +import\b")
+_dependency_query("g07_js_imports", ("import",), (".js", ".ts"), r"""^[ \t]*import +(?:[^'"]*\bfrom *)?['"]([^'"]+)['"]""")
+_dependency_query("g07_js_requires", ("require",), (".js", ".ts"), r"""^[ \t]*(?:(?:const|let|var) +(?:[{][^}]*[}]|[A-Za-z_$][A-Za-z0-9_$]*) *= *)?require *[(] *['"]([^'"]+)['"] *[)]""")
+_dependency_query("g07_sql_tables", ("from", "join", "into"), (".sql",), r"(?i)\b(?:from|join|into)[ \t]+([A-Za-z_][A-Za-z0-9_.]*)")
+
+
+@query(
+    "select distinct file_id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(content, '(?m)#.*$', '', 'g'), '\\b(awk|sed|grep|find|xargs|sort|uniq|cut|curl|wget|ssh|scp|rsync|tar|gzip|zip|git|docker|kubectl|npm|pip|make|cmake|python|node|java|gcc|clang)\\b', 1))), ',') as commands from files where content is not null and ends_with(relative_path, '.sh') and regexp_matches(regexp_replace(content, '(?m)#.*$', '', 'g'), '\\b(awk|sed|grep|find|xargs|sort|uniq|cut|curl|wget|ssh|scp|rsync|tar|gzip|zip|git|docker|kubectl|npm|pip|make|cmake|python|node|java|gcc|clang)\\b')"
+)
+def g07_shell_commands(spark, d):
+    found = elements.dependencies(_parsed(spark, d, "bash"), "file_id").where("import_type = 'external_command'").select("file_id", "source").distinct()
+    return found.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("commands"))
+
+
 _SNIPPETS = [
     ("kotlin", "a.kt", "package a\nimport b.c as d\ndata class A(val x: Int)\nclass B {\n  private fun g(a: Int): Int {\n    return a\n  }\n}\n"),
     ("c", "a.c", '#include <stdio.h>\n#define LIMIT 3\nstatic int f(int a) {\n  return a;\n}\nstruct S {\n  int a;\n};\n'),
@@ -420,11 +501,37 @@ _SNIPPETS = [
 ]
 
 
-@query()
+@query(
+    """select * from (values ('a.kt', 'kotlin', 'A', 'class', 2, 3, 'public', 'class'), ('a.kt', 'kotlin', 'B', 'class', 3, 8, 'public', 'class'), ('a.kt', 'kotlin', 'g', 'method', 4, 7, 'private', 'fun'),
+('a.c', 'c', 'LIMIT', 'constant', 1, 2, 'public', 'macro'), ('a.c', 'c', 'f', 'function', 2, 5, 'private', 'function'), ('a.c', 'c', 'S', 'struct', 5, 8, 'public', 'struct'),
+('a.cpp', 'cpp', 'A', 'class', 2, 8, 'public', 'class'), ('a.cpp', 'cpp', 'f', 'function', 4, 7, 'public', 'function'),
+('a.cs', 'csharp', 'N', 'namespace', 1, 8, 'internal', 'namespace'), ('a.cs', 'csharp', 'A', 'class', 2, 7, 'public', 'class'), ('a.cs', 'csharp', 'P', 'variable', 3, 4, 'public', 'property'), ('a.cs', 'csharp', 'F', 'method', 4, 6, 'private', 'method'),
+('a.swift', 'swift', 'A', 'class', 1, 6, 'public', 'class'), ('a.swift', 'swift', 'x', 'variable', 2, 3, 'private', 'property'), ('a.swift', 'swift', 'f', 'method', 3, 5, 'internal', 'func'),
+('a.rb', 'ruby', 'A', 'class', 1, 10, 'public', 'class'), ('a.rb', 'ruby', 'x', 'variable', 2, 3, 'public', 'attr'), ('a.rb', 'ruby', 'f', 'method', 3, 6, 'public', 'def'), ('a.rb', 'ruby', 'g', 'method', 7, 9, 'private', 'def'),
+('a.php', 'php', 'A', 'class', 2, 7, 'public', 'class'), ('a.php', 'php', 'p', 'variable', 3, 4, 'private', 'property'), ('a.php', 'php', 'f', 'method', 4, 6, 'public', 'function'),
+('a.dart', 'dart', 'A', 'class', 1, 6, 'public', 'widget'), ('a.dart', 'dart', 'build', 'method', 2, 5, 'public', 'build'),
+('page.tsx', 'nextjs', 'HomePage', 'class', 1, 5, 'public', 'page'), ('page.tsx', 'nextjs', '[a, b]', 'variable', 2, 3, 'public', 'hook'), ('page.tsx', 'nextjs', 'GET', 'function', 5, 7, 'public', 'route_handler'),
+('a.html', 'html', 'doctype', 'module', 0, 1, 'public', 'doctype'), ('a.html', 'html', 'html', 'module', 1, 6, 'public', 'tag'), ('a.html', 'html', 'body', 'module', 2, 6, 'public', 'tag'), ('a.html', 'html', 'm.c', 'module', 3, 6, 'public', 'tag'),
+('a.html', 'html', 'img', 'variable', 4, 5, 'public', 'tag'), ('a.css', 'css', ':root', 'class', 1, 4, 'public', 'rule'), ('a.css', 'css', '--c', 'variable', 2, 3, 'public', 'custom_property'), ('a.css', 'css', '#a .b', 'class', 4, 7, 'public', 'rule'),
+('a.sh', 'bash', 'X', 'variable', 1, 2, 'public', 'export'), ('a.sh', 'bash', 'foo', 'function', 2, 6, 'public', 'function'), ('a.sh', 'bash', 'y', 'variable', 3, 4, 'public', 'local'))
+t(relative_path, parser, name, element_type, start_line, end_line, visibility, pattern)"""
+)
 def g06_elements_other_languages(spark, d):
-    """Languages the tables do not hold, on fixed snippets."""
+    """Languages the tables do not hold, on fixed snippets whose elements were read off by hand."""
+    files = spark.createDataFrame(_SNIPPETS, "language string, relative_path string, content string")
+    return elements.elements(elements.analyse(files), "relative_path").drop("element_no", "metadata")
+
+
+@query(
+    r"""select * from (values ('a.kt', 'a', 'package', 'a', null, 0), ('a.kt', 'c', 'import', 'b.c', 'd', 1), ('a.c', 'stdio.h', 'system_include', 'stdio.h', null, 0), ('a.cpp', 'v', 'system_include', 'v', null, 0), ('a.cpp', 'std', 'using_namespace', 'std', null, 1),
+('a.cs', 'System', 'using', 'System', null, 0), ('a.swift', 'UIKit', 'import', 'UIKit', null, 0), ('a.rb', 'a', 'require', 'a', null, 0), ('a.php', 'D', 'use', 'C\D', 'E', 1), ('a.dart', 'material.dart', 'flutter', 'package:flutter/material.dart', null, 0),
+('page.tsx', 'useState', 'import', 'react', null, 0), ('page.tsx', 'useState', 'react_import', 'react', null, 0), ('a.html', 'x.png', 'image', 'x.png', null, 4), ('a.css', 'b.css', 'import', 'b.css', null, 0), ('a.sh', 'b.sh', 'source', './b.sh', null, 0))
+t(relative_path, name, import_type, source, alias, line_number)"""
+)
+def g07_dependencies_other_languages(spark, d):
+    """Their dependencies, read off by hand."""
     files = spark.createDataFrame(_SNIPPETS, "language string, relative_path string, content string")
-    return elements.elements(elements.analyse(files), "relative_path").drop("element_no")
+    return elements.dependencies(elements.analyse(files), "relative_path").drop("parser")
 
 
 # -- lookups
@@ -435,6 +542,24 @@ def j01_hint_join(spark, d):
     return c.join(h, "file_id", "left").select("file_id", "chunk_no", "tokens", F.coalesce("top_elements", F.lit("")).alias("top_elements"), F.coalesce("dependency_count", F.lit(0).cast("bigint")).alias("dependency_count"))
 
 
+_SETTINGS = (".ini", ".cfg", ".conf")
+_HINT_SQL = "regexp_matches(line, '^[ \\t]*\\[[^\\]]+\\][ \\t]*$')"
+
+
+@query(
+    f"""with l as (select distinct file_id, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) - 1 as n, len(string_split(content, chr(10))) as total from files where content is not null and content <> '' and {EXT_SQL} in ('.ini', '.cfg', '.conf')),
+s as (select file_id, n, regexp_extract(line, '^[ \\t]*\\[([^\\]]+)\\][ \\t]*$', 1) as name, row_number() over (partition by file_id order by n) as k from l where {_HINT_SQL}),
+h as (select file_id, string_agg(name, ',' order by n) as sections from s where k <= 20 group by file_id)
+select distinct l.file_id, total::bigint as lines, coalesce(h.sections, '') as sections from l left join h using (file_id)"""
+)
+def j01_sections_as_hints(spark, d):
+    """Settings files with their first section names, from their own rows."""
+    rows = _files(spark, d, "content").where(P.extension(F.col("relative_path")).isin(*_SETTINGS)).where("content is not null and content <> ''")
+    a = elements.analyse(spread(rows)).withColumn("analysis", F.struct(F.filter("analysis.elements", lambda e: e["pattern"] == "section").alias("elements"), "analysis.dependencies"))
+    h = A.hints(a, "file_id", "content")
+    return h.select("file_id", F.size(F.split("content", "\n")).cast("bigint").alias("lines"), F.array_join("top_elements", ",").alias("sections")).distinct()
+
+
 @query(
     "with r as (select distinct response_id, request_id, summary from responses), q as (select distinct request_id, file_id from requests), f as (select distinct file_id, relative_path from files) select response_id, file_id, relative_path, coalesce(length(summary), 0) as n from r join q using (request_id) join f using (file_id)"
 )
@@ -580,7 +705,8 @@ def w05_token_ledger(spark, d):
 
 @query()
 def u02_dedup_elements(spark, d):
-    e = elements.elements(_analysed(spark, d), "file_id")
+    """Of what several passes find under one name and line the first; g06_elements drops the others while it parses."""
+    e = elements.elements(elements.analyse(spread(_files(spark, d, "content")), dedup=False), "file_id").distinct()
     return A.dedup_elements(e, "file_id").select("file_id", "name", "start_line", "element_type")
 
 
@@ -598,7 +724,14 @@ def _flaky(text: str, language: str) -> str:
     return S.first_sentence(text)
 
 
-@query()
+_STRIP_SQL = "regexp_replace({}, '^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$', '', 'g')"
+
+
+@query(
+    f"""with q as (select distinct request_id, content, list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: {_STRIP_SQL.format('x')}), lambda x: x <> '')[1] as first from requests)
+select request_id, case when first is null then null when length(content) % 3 = 0 then 'offline' else 'flaky' end as provider_used, first is not null and length(content) % 3 = 0 as fallback_used,
+case when first is null then 0 else (length(content) + 3) // 4 + (length(substring(first, 1, 200)) + 3) // 4 end::bigint as tokens_used, case when first is null then 0 when length(content) % 3 = 0 then 3 else 1 end as tries from q"""
+)
 def c03_summarize_with_retries(spark, d):
     """A failing and a sound offline provider over the requests; one row each with provider, fallback and number of tries."""
     rows = spread(table(spark, d, "requests", "request_id", "content", "language"))
@@ -645,9 +778,16 @@ def c07_error_view(spark, d):
     return stages.error_rows(table(spark, d, "responses", "response_id", "error")).distinct()
 
 
-@query()
+@query(
+    f"""with s as (select count(*) as responses, cast(coalesce(sum(tokens_used), 0) as bigint) as tokens, count(error) as errors, cast(coalesce(sum(fallback_used::int), 0) as bigint) as fallbacks from {RESP_SQL}),
+h as (select unnest([0, 1, 2, 3, 4, 5])::bigint as line_no, unnest(['# Code base report', '', '- Responses: ' || responses, '- Tokens: ' || tokens, '- Errors: ' || errors, '- Fallbacks: ' || fallbacks]) as line from s),
+p as (select provider, count(*) as attempts, cast(coalesce(sum(tokens), 0) as bigint) as tokens, count(*) filter (where not ok) as errors from {ATT_SQL} group by provider),
+e as (select error, count(*) as n from {RESP_SQL} where error is not null group by error)
+select * from h union all select (5 + row_number() over (order by provider))::bigint, '- ' || provider || ': ' || attempts || ' attempts, ' || tokens || ' tokens, ' || errors || ' errors' from p where (select count(*) from p) > 1
+union all select 1000000, chr(10) || '## Errors' || chr(10) where (select count(*) from e) > 0 union all select (1000000 + row_number() over (order by n desc, error))::bigint, '- ' || error || ' (' || n || ')' from e"""
+)
 def k02_markdown_report(spark, d):
-    return report.report_lines(a04_provider_usage(spark, d), a01_run_summary(spark, d))
+    return report.report_lines(a04_provider_usage(spark, d), a01_run_summary(spark, d), report.error_counts(table(spark, d, "responses", *_RESP).distinct()))
 
 
 @query("select response_id, summary from (select distinct response_id, summary from responses) where summary is not null")

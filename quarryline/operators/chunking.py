@@ -54,6 +54,8 @@ PATTERNS = {
     "javascript": [("function", r"(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\b"), ("class", r"(?:export[ \t]+)?(?:default[ \t]+)?class[ \t]+\w+"), ("arrow", r"(?:export[ \t]+)?(?:const|let|var)[ \t]+\w+[ \t]*=[ \t]*(?:async[ \t]*)?(?:\([^)\n]*\)|\w+)[ \t]*=>")],
 }
 PATTERNS["typescript"] = PATTERNS["javascript"] + [("interface", r"(?:export[ \t]+)?interface[ \t]+\w+")]
+#: fixed values: languages that are cut by patterns; Python is cut by its syntax tree, all others by lines
+BY_PATTERN = ("rust", "javascript", "typescript")
 _COMPILED = {k: [(n, re.compile("(?m)^" + p)) for n, p in v] for k, v in PATTERNS.items()}
 
 
@@ -104,11 +106,11 @@ def python_chunks(text: str, size: int, overlap: int, tokens: Tokens) -> list[tu
     return out or generic_chunks(text, size, overlap, tokens)
 
 
-def chunk_text(text: str, language: str, size: int = SIZE, overlap: int = OVERLAP, tokens: Tokens = char_tokens) -> list[tuple[int, int, str, int]]:
+def chunk_text(text: str, language: str, size: int = SIZE, overlap: int = OVERLAP, tokens: Tokens = char_tokens, optimise: bool = True) -> list[tuple[int, int, str, int]]:
     """(start_line, end_line, type, tokens) of the chunks of one text; lines from 0, the end exclusive."""
     if language == "python":
         first = python_chunks(text, size, overlap, tokens)
-    elif language in PATTERNS:
+    elif language in BY_PATTERN:
         first = pattern_chunks(text, language, size, overlap, tokens)
     else:
         first = generic_chunks(text, size, overlap, tokens)
@@ -116,7 +118,7 @@ def chunk_text(text: str, language: str, size: int = SIZE, overlap: int = OVERLA
     out = []
     for a, b, kind in first:
         n = tokens("\n".join(lines[a:b]))
-        if n <= OVERSIZE * size:
+        if n <= OVERSIZE * size or not optimise:
             out.append((a, b, kind, n))
             continue
         parts = pack_lines(lines[a:b], size, overlap, tokens)
@@ -130,12 +132,13 @@ def chunk_text(text: str, language: str, size: int = SIZE, overlap: int = OVERLA
 _SPANS = "array<struct<start_line:int,end_line:int,chunk_type:string,tokens:bigint,first:int,length:int>>"
 
 
-def chunks(files: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, tokens: Tokens = char_tokens, strategy: str = "auto", text: str = "content", language: str = "language", with_text: bool = True) -> DataFrame:
+def chunks(files: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, tokens: Tokens = char_tokens, strategy: str = "auto", text: str = "content", language: str = "language", with_text: bool = True, optimise: bool = True) -> DataFrame:
     """The files exploded to chunks; the other columns of a file, but for its text, stand beside each of its chunks.
 
     Only spans come back from Python; chunk texts are cut by their offsets in
     the JVM before the explode, so the whole text is not carried along with each
-    chunk.  Without ``with_text`` no text is cut at all.  Empty and null contents
+    chunk.  Without ``with_text`` no text is cut at all, without ``optimise``
+    oversize chunks are not cut again.  Empty and null contents
     give no chunk.
     """
 
@@ -150,7 +153,7 @@ def chunks(files: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, tokens
             if strategy == "generic":
                 found = [(x, y, "block", tokens("\n".join(ls[x:y]))) for x, y in pack_lines(ls, size, overlap, tokens)]
             else:
-                found = chunk_text(a, b or "unknown", size, overlap, tokens)
+                found = chunk_text(a, b or "unknown", size, overlap, tokens, optimise)
             at = [0, *accumulate(len(x) + 1 for x in ls)]
             out.append([{"start_line": x, "end_line": y, "chunk_type": k, "tokens": n, "first": at[x], "length": max(0, at[y] - at[x] - 1)} for x, y, k, n in found])
         return pd.Series(out, dtype=object)

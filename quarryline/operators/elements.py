@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.arrow import arrow_udf
 from quarryline.functions.paths import extension
-from quarryline.operators.languages import BY_LANGUAGE, BY_SUFFIX, LANGUAGES, STOP, Language, Pattern
+from quarryline.operators.languages import BY_LANGUAGE, BY_SUFFIX, LANGUAGES, STOP, Language, Pattern, added
 
 FLAGS = "static final abstract virtual override sealed async const readonly inline suspend operator infix data open unsafe extern explicit mutating lazy native synchronized transient volatile required convenience indirect default partial".split()
 Element = tuple[str, str, int, int, str, str, str]  # name, type, start, end, visibility, pattern, metadata
@@ -37,7 +38,7 @@ def _brace_end(lines: list[str], start: int) -> int:
     total, opened = 0, False
     first = lines[start].rstrip()
     if "{" not in first and first.count("(") == first.count(")") and not first.endswith((",", "=", ":", ">", "|", "&", "+", "(")):
-        after = next((x.strip() for x in lines[start + 1 :] if x.strip()), "")
+        after = next((x for i in range(start + 1, len(lines)) if (x := lines[i].strip())), "")
         if not after.startswith(("{", "where", "throws", "extends", "implements", ":", "=>")):
             return start + 1  # a declaration without a body
     for i in range(start, len(lines)):
@@ -99,6 +100,16 @@ def _semi_end(lines: list[str], start: int) -> int:
 _ENDS: dict[str, Callable[[list[str], int], int]] = {"brace": _brace_end, "paren": _paren_end, "indent": _indent_end, "end": _ruby_end, "semi": _semi_end, "line": lambda lines, i: i + 1}
 
 
+class Lines:
+    """The line of an offset, from a table of where lines begin."""
+
+    def __init__(self, text: str):
+        self.begins = [0, *(m.end() for m in re.finditer("\n", text))]
+
+    def at(self, offset: int) -> int:
+        return bisect_right(self.begins, offset) - 1
+
+
 # -- shared metadata
 def split_list(text: str, sep: str = ",") -> list[str]:
     """Parts of a list, not cut inside brackets or quotes."""
@@ -179,10 +190,8 @@ def _visibility(lang: Language, name: str, decl: str, mods: str, state: str | No
         return "private" if name.startswith("_") else "public"
     if how == "static":
         return "private" if re.search(r"\bstatic\b", decl.split("(")[0]) else "public"
-    if how in ("section", "ruby") and state:
-        return state
-    if how == "ruby":
-        return "public"
+    if how in ("section", "ruby"):
+        return state or "public"
     for w in ("public", "private", "protected", "internal", "fileprivate", "open"):
         if re.search(rf"\b{w}\b", mods):
             return {"fileprivate": "private", "open": "public"}.get(w, w)
@@ -210,12 +219,26 @@ def _metadata(lang: Language, p: Pattern, name: str, decl: str, lead: str, mods:
     if lang.name in ("react", "nextjs"):
         m["hooks_used"] = sorted(set(re.findall(r"\b(use[A-Z]\w*)\s*\(", text)))
         m["uses_jsx"] = bool(re.search(r"<[A-Za-z][\w.]*[\s/>]", text))
+        if p.kind in ("component", "class_component", "page", "layout"):
+            m.update(props=react_props(text), state_hooks=re.findall(r"const\s*\[\s*(\w+)[^\]]*\]\s*=\s*(?:React\.)?useState\b", text), effect_hooks=effect_dependencies(text), jsx_elements=sorted(set(re.findall(r"<([A-Z][\w.]*)", text))))
+        if p.kind == "hook" and (h := re.search(r"\b(use[A-Z]\w*)", text)):
+            m.update(hook_name=h[1], hook_type=HOOK_KINDS.get(h[1], "custom"), is_destructured=name.startswith("["))
     if lang.name == "sql":
         m.update(_sql(p.kind, text))
     if lang.name == "css":
         m.update(_css(p.kind, name, text))
     if lang.name == "bash" and p.type == "function":
-        m.update(parameters=sorted(set(re.findall(r"\$\{?([1-9]|@|\*|#)", text))), uses_local="local " in text, exit_codes=sorted(set(re.findall(r"\b(?:exit|return)\s+(\d+)", text))))
+        commands = [x for x in map(str.strip, body) if x and not x.startswith("#")]
+        m.update(parameters=sorted(set(re.findall(r"\$\{?([1-9]\d*|@|\*|#)", text))), uses_local="local " in text, exit_codes=sorted(set(re.findall(r"\b(?:exit|return)\s+(\d+)", text))))
+        m.update(command_count=len(commands), has_conditionals=bool(re.search(r"\b(?:if|case)\b", text)), has_loops=bool(re.search(r"\b(?:for|while|until)\b", text)))
+    elif lang.name == "bash":
+        value = shell_value(text)
+        if p.kind == "array":
+            m.update(array_elements=len(text.partition("(")[2].partition(")")[0].split()), is_associative=bool(re.search(r"\b(?:declare|typeset)\s+-A\b", text)))
+        elif p.kind == "alias":
+            m["alias_command"] = value
+        else:
+            m.update(initial_value=value, variable_type=shell_value_type(value), is_readonly=p.kind == "readonly", is_exported=p.kind == "export", is_local=p.kind == "local")
     if lang.name == "dart":
         m["is_private"] = name.startswith("_")
         m["flutter_widgets_used"] = sorted(set(re.findall(r"\b(Text|Column|Row|Container|Scaffold|AppBar|Center|Padding|ListView|Stack|Expanded|SizedBox|Icon|Card)\(", text)))
@@ -227,6 +250,48 @@ def _metadata(lang: Language, p: Pattern, name: str, decl: str, lead: str, mods:
     return m
 
 
+#: fixed values: kinds of the hooks of React
+HOOK_KINDS = {
+    "useState": "state", "useReducer": "state", "useEffect": "effect", "useLayoutEffect": "effect", "useContext": "context", "useRef": "ref", "useImperativeHandle": "ref", "useMemo": "memoization", "useCallback": "memoization",
+}
+#: fixed values: commands a script calls that are programs of their own
+EXTERNAL_COMMANDS = "awk sed grep find xargs sort uniq cut curl wget ssh scp rsync tar gzip zip git docker kubectl npm pip make cmake python node java gcc clang".split()
+_EXTERNAL = re.compile(r"\b(?:" + "|".join(EXTERNAL_COMMANDS) + r")\b")
+
+
+def react_props(text: str) -> list[str]:
+    """Names a component takes out of its first argument."""
+    m = re.search(r"(?:function\s+\w+\s*|=\s*(?:async\s*)?|memo\(|forwardRef\()\(\s*\{([^{}]*)\}", text)
+    return sorted({n for x in split_list(m[1]) if (n := re.split(r"[:=]", x)[0].strip(" ."))}) if m else []
+
+
+def effect_dependencies(text: str) -> list[str]:
+    """The dependency list of each effect that has one, in order; an empty one says so."""
+    out = []
+    for m in re.finditer(r"\buse(?:Layout)?Effect\s*\(", text):
+        depth, i = 1, m.end()
+        while i < len(text) and depth:
+            depth += (text[i] in "([{") - (text[i] in ")]}")
+            i += 1
+        if d := re.search(r",\s*\[([^\[\]]*)\]\s*\)$", text[m.start() : i]):
+            out.append(d[1].strip() or "no dependencies")
+    return out
+
+
+def shell_value(text: str) -> str:
+    """Right side of an assignment without its quotes."""
+    v = text.partition("=")[2].strip()
+    return v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "'\"" else v
+
+
+def shell_value_type(value: str) -> str:
+    if value.isdigit():
+        return "integer"
+    if value.lower() in ("true", "false"):
+        return "boolean"
+    return "reference" if value.startswith("$") else "path" if "/" in value else "string"
+
+
 def _sql(kind: str, text: str) -> dict:
     m: dict = {"or_replace": bool(re.search(r"(?i)\bor\s+replace\b", text)), "if_not_exists": bool(re.search(r"(?i)\bif\s+not\s+exists\b", text))}
     if kind == "table" and (b := re.search(r"(?s)\((.*)\)", text)):
@@ -236,6 +301,9 @@ def _sql(kind: str, text: str) -> dict:
         m["constraints"] = [x for x in parts if is_con.match(x)]
     if kind == "index" and (t := re.search(r"(?i)\bon\s+([\w.]+)", text)):
         m.update(table=t[1], is_unique=bool(re.search(r"(?i)\bunique\b", text)))
+    if kind == "function" and (b := re.search(r"(?is)\b(?:function|procedure)\s+[\w.\"`]+\s*\((.*?)\)(?=\s*(?:returns|as|language|begin|is)\b|\s*$)", text)):
+        words = [re.sub(r"(?i)^(?:in|out|inout)\s+", "", x).split() for x in split_list(b[1])]
+        m["parameters"] = [{"name": w[0], "type": " ".join(w[1:]) or None} for w in words if w]
     if kind == "function" and (r := re.search(r"(?i)\breturns\s+([\w ()]+?)\s*(?:as|language|$|\n)", text)):
         m["return_type"] = r[1].strip()
     return m
@@ -266,6 +334,19 @@ def _css(kind: str, name: str, text: str) -> dict:
 
 
 # -- languages with a parser of their own
+def test_type(name: str) -> str:
+    """Kind of a test by its name; unit where it says nothing."""
+    low = name.lower()
+    return "integration" if "integration" in low or "e2e" in low else "unit" if "unit" in low else "performance" if "perf" in low else "unit"
+
+
+def test_framework(text: str, x: ast.AST) -> str:
+    """Framework of a test by its decorators and what the file imports."""
+    if re.search(r"(?m)^\s*(?:import|from)\s+pytest\b", text) or any("pytest" in ast.unparse(d) for d in x.decorator_list):
+        return "pytest"
+    return next((f for f in ("unittest", "nose", "doctest") if re.search(rf"(?m)^\s*(?:import|from)\s+{f}\b", text)), "unknown")
+
+
 def _python(text: str) -> tuple[list[Element], list[Dependency]]:
     try:
         tree = ast.parse(text)
@@ -283,6 +364,7 @@ def _python(text: str) -> tuple[list[Element], list[Dependency]]:
                 "parameters": [{"name": n.arg, "type": ast.unparse(n.annotation) if n.annotation else None} for n in names],
                 "return_type": ast.unparse(x.returns) if x.returns else None,
                 "is_test": x.name.startswith("test"),
+                **({"test_type": test_type(x.name), "test_framework": test_framework(text, x)} if x.name.startswith("test") else {}),
                 "assertions_count": sum(isinstance(y, ast.Assert) or (isinstance(y, ast.Call) and isinstance(y.func, ast.Attribute) and y.func.attr.startswith("assert")) for y in ast.walk(x)),
                 "docstring": ast.get_docstring(x),
             }
@@ -304,22 +386,22 @@ _PY_FROM = re.compile(r"(?m)^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]+(?:\((
 
 
 def _python_by_pattern(text: str) -> tuple[list[Element], list[Dependency]]:
-    lines = text.split("\n")
+    lines, line = text.split("\n"), Lines(text).at
     els, deps = [], []
     for kind, etype, rx in _PY:
         for m in rx.finditer(text):
-            i = text.count("\n", 0, m.start())
+            i = line(m.start())
             els.append((m[2], etype, i, _indent_end(lines, i), "private" if m[2].startswith("_") else "public", kind, json.dumps({"pattern_based": True, "indent_level": len(m[1])})))
     for m in _PY_IMPORT.finditer(text):
         for x in m[1].split(","):
             n, _, a = x.strip().partition(" as ")
             if n:
-                deps.append((n.strip(), "import", n.strip(), a.strip() or None, text.count("\n", 0, m.start())))
+                deps.append((n.strip(), "import", n.strip(), a.strip() or None, line(m.start())))
     for m in _PY_FROM.finditer(text):
         for x in (m[2] or m[3]).split(","):
             n, _, a = x.strip().partition(" as ")
             if n:
-                deps.append((n.strip(), "from", m[1], a.strip() or None, text.count("\n", 0, m.start())))
+                deps.append((n.strip(), "from", m[1], a.strip() or None, line(m.start())))
     return els, deps
 
 
@@ -347,9 +429,10 @@ def _html(text: str) -> tuple[list[Element], list[Dependency]]:
         i = text.count("\n", 0, m.start())
         els.append(("doctype", "module", i, i + 1, "public", "doctype", json.dumps({"doctype": m[1].strip()})))
     clean = re.sub(r"(?s)<!--.*?-->", lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    line = Lines(clean).at
     for m in _TAG.finditer(clean):
         tag, at = m[1].lower(), html_attributes(m[2])
-        i = clean.count("\n", 0, m.start())
+        i = line(m.start())
         src = {"script": at.get("src"), "img": at.get("src"), "video": at.get("src"), "audio": at.get("src"), "iframe": at.get("src"), "source": at.get("src"), "link": at.get("href") if "stylesheet" in at.get("rel", "") else None}.get(tag)
         if src:
             deps.append((src, {"img": "image", "link": "stylesheet"}.get(tag, tag), src, None, i))
@@ -358,7 +441,7 @@ def _html(text: str) -> tuple[list[Element], list[Dependency]]:
         end = i + 1
         if tag not in _VOID and not m[2].rstrip().endswith("/"):
             c = re.compile(rf"(?i)</{tag}\s*>").search(clean, m.end())
-            end = clean.count("\n", 0, c.start()) + 1 if c else end
+            end = line(c.start()) + 1 if c else end
         first = (at.get("class", "").split() or [""])[0]
         name = (at.get("id") or tag) + (f".{first}" if first else "")
         meta = {"tag": tag, "attributes": at, "has_id": "id" in at, "has_class": "class" in at}
@@ -370,7 +453,11 @@ def _html(text: str) -> tuple[list[Element], list[Dependency]]:
     return els, deps
 
 
-def _import_names(kind: str, m: re.Match) -> list[tuple[str, str, str | None]]:
+#: languages whose module names are parted by dots
+_DOTTED = frozenset("java kotlin csharp swift generic".split())
+
+
+def _import_names(kind: str, m: re.Match, language: str) -> list[tuple[str, str, str | None]]:
     """(name, source, alias) of one import match."""
     g = m.groupdict()
     if kind == "use" and "names" in g:  # Rust trees
@@ -380,7 +467,7 @@ def _import_names(kind: str, m: re.Match) -> list[tuple[str, str, str | None]]:
     if not names:
         if "include" in kind:
             return [(source, source, None)]
-        return [(g.get("name") or re.split(r"[/\\]|::|(?<=\w)\.(?=\w)", source)[-1] or source, source, alias)]
+        return [(g.get("name") or re.split(r"[/\\]|::|(?<=\w)\.(?=\w)" if language in _DOTTED and "/" not in source else r"[/\\]|::", source)[-1] or source, source, alias)]
     names = re.sub(r"\bfrom\s*$", "", names).strip()
     names = re.sub(r"^type\b\s*", "", names)
     out = []
@@ -412,34 +499,70 @@ def _use_tree(t: str, head: str = "") -> list[tuple[str, str | None]]:
     return out
 
 
-def parse(text: str | None, key: str) -> tuple[list[Element], list[Dependency]]:
-    """Elements sorted by line and dependencies of one text; broken matches are skipped, never raised."""
+#: lines from which a data or markup file is read like any other text
+LEAST_LINES = 50
+#: short data and markup files: suffix -> what stands for an element, its type and its kind
+_KEYS = {
+    ".json": (re.compile(r'(?m)^[ \t]*"([^"\n]+)"[ \t]*:'), "variable", "json_key"),
+    ".yaml": (re.compile(r"(?m)^([A-Za-z_]\w*)[ \t]*:"), "variable", "yaml_key"),
+    ".yml": (re.compile(r"(?m)^([A-Za-z_]\w*)[ \t]*:"), "variable", "yaml_key"),
+    ".xml": (re.compile(r"<([A-Za-z][\w:-]*)[^<>]*>"), "class", "xml_tag"),
+    ".html": (re.compile(r"<([A-Za-z][\w-]*)[^<>]*>"), "class", "html_tag"),
+    ".dockerfile": (re.compile(r"(?m)^([A-Z]+)[ \t]+\S"), "function", "dockerfile_instruction"),
+}
+
+
+def _by_keys(text: str, suffix: str) -> list[Element] | None:
+    """Elements of a short data or markup file by its keys, tags or instructions; None for any other."""
+    if suffix not in _KEYS or text.count("\n") + 1 >= LEAST_LINES:
+        return None
+    rx, etype, kind = _KEYS[suffix]
+    line = Lines(text).at
+    found = [(m[1], line(m.start(1))) for m in rx.finditer(text)]
+    return [(f"{n}_{i}" if kind == "dockerfile_instruction" else n, etype, i, i + 1, "public", kind, json.dumps({"pattern_type": kind, "is_generic_parse": True})) for n, i in found]
+
+
+def parse(text: str | None, key: str, suffix: str = "", own: dict[str, Language] | None = None, *, dedup: bool = True) -> tuple[list[Element], list[Dependency]]:
+    """Elements sorted by line and dependencies of one text; broken matches are skipped, never raised.
+
+    ``suffix`` tells the generic parser what a short data or markup file is;
+    ``own`` holds languages that are registered beside the built-in ones.  Of the
+    elements several passes find under one name and line the first is kept, or
+    all are, in the order of the passes, for ``dedup_elements``.
+    """
     if not text or not key:
         return [], []
-    if key == "python":
+    lang = (own or {}).get(key) or LANGUAGES.get(key) or LANGUAGES["generic"]
+    if lang.parser:
+        els, deps = lang.parser(text)
+        els, deps = list(els), list(deps)
+    elif key == "python":
         els, deps = _python(text)
     elif key == "html":
         els, deps = _html(text)
+    elif lang.name == "generic" and (keys := _by_keys(text, suffix)) is not None:
+        els, deps = keys, []
     else:
-        lang = LANGUAGES.get(key) or LANGUAGES["generic"]
-        lines = text.split("\n")
+        lines, line = text.split("\n"), Lines(text).at
         els, deps, seen = [], [], set()
         state_at: dict[int, str] = {}
         if lang.visibility in ("section", "ruby"):
             now = None
             for i, x in enumerate(lines):
+                state_at[i] = now  # that of a class is the state around it, that of its members follows
                 if s := re.match(r"\s*(public|private|protected)\s*:?\s*$", x):
                     now = s[1]
                 elif re.match(r"\s*(?:class|struct|module)\b", x):
                     now = "public" if lang.name == "ruby" or "struct" in x else "private"
-                state_at[i] = now
+                elif x.startswith(("}", "end")):
+                    now = None
         for p in lang.patterns:
             for m in p.regex.finditer(text):
                 name = m["name"].strip()
                 if not name or name in STOP or text[m.start() : m.start("name")].lstrip().startswith((lang.line_comment, "*")):
                     continue
-                i = text.count("\n", 0, m.start("name"))
-                if (name, i) in seen:
+                i = line(m.start("name"))
+                if dedup and (name, i) in seen:
                     continue
                 seen.add((name, i))
                 end = _ENDS[p.end](lines, i)
@@ -451,19 +574,21 @@ def parse(text: str | None, key: str) -> tuple[list[Element], list[Dependency]]:
                     etype = "method"
                 meta = _metadata(lang, p, name, decl, g.get("lead") or "", mods, lines[i:end], g)
                 if key == "cpp" and p.type in ("class", "struct", "function"):
-                    above = next((x.strip() for x in reversed(lines[:i]) if x.strip()), "")
+                    above = next((x for j in range(i - 1, -1, -1) if (x := lines[j].strip())), "")
                     meta["is_template"] = above.startswith("template") or lines[i].lstrip().startswith("template")
                 els.append((name, etype, i, end, _visibility(lang, name, decl, mods, state_at.get(i)), p.kind, json.dumps(meta)))
         for im in lang.imports:
             for m in im.regex.finditer(text):
-                i = text.count("\n", 0, m.start())
+                i = line(m.start())
                 if m.groupdict().get("block") is not None:
-                    for k, line in enumerate(m["block"].split("\n")):
-                        if x := re.match(r'\s*(?:([\w.]+)\s+)?"([^"]+)"', line):
+                    for k, row in enumerate(m["block"].split("\n")):
+                        if x := re.match(r'\s*(?:([\w.]+)\s+)?"([^"]+)"', row):
                             deps.append((x[2].rsplit("/", 1)[-1], "import", x[2], x[1], i + k))
                     continue
-                deps += [(n, im.kind, s, a, i) for n, s, a in _import_names(im.kind, m)]
-    els.sort(key=lambda e: (e[2], e[5], e[0]))
+                deps += [(n, im.kind, s, a, i) for n, s, a in _import_names(im.kind, m, lang.name)]
+        if key == "bash":
+            deps += [(c, "external_command", c, None, 0) for c in set(_EXTERNAL.findall(re.sub(r"(?m)#.*$", "", text)))]
+    els.sort(key=(lambda e: (e[2], e[5], e[0])) if dedup else (lambda e: e[2]))
     deps = sorted(set(deps), key=lambda d: (d[4], d[2], d[0], d[1], d[3] or ""))
     return els, deps
 
@@ -474,25 +599,27 @@ _OUT = (
 )
 
 
-def analyse(files: DataFrame, *, text: str = "content", language: str = "language", path: str = "relative_path", out: str = "analysis", keep_all: bool = False) -> DataFrame:
+def analyse(files: DataFrame, *, text: str = "content", language: str = "language", path: str = "relative_path", out: str = "analysis", keep_all: bool = False, dedup: bool = True) -> DataFrame:
     """The files with a parser and a struct of arrays: elements and dependencies of each.
 
     Files without a parser are left out, or stand with empty arrays if all are kept.
     """
 
+    own = added()  # travels with the job, as workers only know the built-in ones
+
     @arrow_udf(_OUT)
-    def run(t: pd.Series, k: pd.Series) -> pd.DataFrame:
+    def run(t: pd.Series, k: pd.Series, s: pd.Series) -> pd.DataFrame:
         e_names = ("name", "element_type", "start_line", "end_line", "visibility", "pattern", "metadata")
         d_names = ("name", "import_type", "source", "alias", "line_number")
         es, ds = [], []
-        for a, b in zip(t, k):
-            els, deps = parse(a, b)
+        for a, b, c in zip(t, k, s):
+            els, deps = parse(a, b, c or "", own, dedup=dedup)
             es.append([dict(zip(e_names, x)) for x in els])
             ds.append([dict(zip(d_names, x)) for x in deps])
         return pd.DataFrame({"elements": es, "dependencies": ds})
 
     key = parser_key(F.col(language), F.col(path))
-    return (files if keep_all else files.where(key.isNotNull())).withColumn("parser", key).withColumn(out, run(F.col(text), F.col("parser")))
+    return (files if keep_all else files.where(key.isNotNull())).withColumn("parser", key).withColumn(out, run(F.col(text), F.col("parser"), extension(F.col(path))))
 
 
 def elements(analysed: DataFrame, *keep: str, analysis: str = "analysis") -> DataFrame:

@@ -9,6 +9,7 @@ A pattern names the kind, the element type and how its block ends; the group
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 H = r"[ \t]*"
@@ -41,6 +42,8 @@ class Language:
     default_visibility: str = "public"
     line_comment: str = "//"
     extra: tuple[str, ...] = field(default=())
+    #: a parser of its own, text in, elements and dependencies out, in place of patterns
+    parser: Callable[[str], tuple[list, list]] | None = None
 
 
 def _p(kind: str, type: str, rx: str, end: str = "brace") -> Pattern:
@@ -60,6 +63,7 @@ _JS = (
     _p("arrow", "function", rf"(?:export{S})?(?:const|let|var){S}(?P<name>{ID})(?:{H}:[^=\n]+)?{H}={H}(?P<mods>async{H})?(?:{GEN}\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)(?:{H}:[^=\n]+)?|{ID}){H}=>"),
     _p("method", "method", rf"(?P<mods>(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract){S})*)\*?(?P<name>#?{ID}){H}{GEN}\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)(?:{H}:[^{{\n]+)?{H}\{{"),
     _p("assigned", "function", rf"(?:module\.)?exports\.(?P<name>{ID}){H}={H}(?P<mods>async{S})?(?:function\b|\([^()\n]*\){H}=>|{ID}{H}=>)"),
+    _p("object_method", "function", rf"(?P<name>{ID}){H}:{H}(?P<mods>async{H})?(?:function\b[^\n{{]*|\([^()\n]*\){H}=>{H})\{{"),
     _p("const", "constant", rf"(?:export{S})?const{S}(?P<name>{ID})(?:{H}:[^=\n]+)?{H}=(?!{H}(?:async{H})?(?:\([^()\n]*\)(?:{H}:[^=\n]+)?|{ID}){H}=>)", "line"),
     _p("variable", "variable", rf"(?:export{S})?(?:let|var){S}(?P<name>{ID})(?=[^=\n]*(?:=(?!{H}(?:async{H})?(?:\([^()\n]*\)|{ID}){H}=>)|;|$))", "line"),
 )
@@ -74,6 +78,7 @@ _TS = _JS + (
     _p("type", "class", rf"(?:export{S})?(?:declare{S})?type{S}(?P<name>{ID}){H}{GEN}{H}=", "line"),
     _p("enum", "enum", rf"(?:export{S})?(?:declare{S})?(?P<mods>const{S})?enum{S}(?P<name>{ID})"),
     _p("namespace", "namespace", rf"(?:export{S})?(?:declare{S})?(?:namespace|module){S}(?P<name>[\w.$]+|'[^'\n]+'){H}\{{"),
+    _p("decorator", "class", rf"(?P<name>@{ID}(?:\.{ID})*)", "line"),
 )
 _TS_IMPORTS = _JS_IMPORTS + (_i("reference", r"///[ \t]*<reference[ \t]+(?:path|types|lib)=['\"](?P<source>[^'\"\n]+)['\"]"), _i("import", rf"import{S}(?P<name>{ID}){H}={H}require\(['\"](?P<source>[^'\"\n]+)['\"]\)"))
 _REACT = (
@@ -86,6 +91,11 @@ _REACT = (
     _p("context", "constant", rf"(?:export{S})?const{S}(?P<name>{ID}){H}={H}(?:React\.)?createContext\b", "line"),
     _p("reducer", "function", rf"(?:export{S})?(?:function{S}|const{S})(?P<name>\w*[rR]educer)\b"),
 )
+_REACT_IMPORTS = (_i("react_import", rf"import{S}(?P<names>[^'\"\n;]*?\bfrom\b){H}['\"](?P<source>react|react-dom|@react/[^'\"\n]+)['\"]"),)
+_NEXT_IMPORTS = (
+    _i("nextjs_import", rf"import{S}(?P<names>[^'\"\n;]*?\bfrom\b){H}['\"](?P<source>@?next/[^'\"\n]+)['\"]"),
+    _i("dynamic_import", rf"(?:const|let|var){S}(?P<name>{ID}){H}={H}dynamic\([^'\"\n]*import\(['\"](?P<source>[^'\"\n]+)['\"]"),
+)
 _NEXT = (
     _p("route_handler", "function", rf"export{S}(?P<mods>async{S})?function{S}(?P<name>GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"),
     _p("data", "function", rf"export{S}(?:const{S}|(?P<mods>async{S})?function{S})(?P<name>getServerSideProps|getStaticProps|getStaticPaths|generateStaticParams|generateMetadata)\b"),
@@ -109,16 +119,34 @@ _C_IMPORTS = (_i("system_include", rf"#{H}include{H}<(?P<source>[^>\n]+)>"), _i(
 LANGUAGES: dict[str, Language] = {}
 
 
-def register(lang: Language) -> Language:
-    """Adds or replaces a language; users register their own the same way."""
+#: fixed values: language -> parser, suffix -> parser, for files whose language names none
+BY_LANGUAGE = {"python": "python", "rust": "rust", "javascript": "javascript", "typescript": "typescript", "java": "java", "cpp": "cpp", "c": "c", "csharp": "csharp", "php": "php", "ruby": "ruby", "bash": "bash", "sql": "sql", "html": "html", "css": "css"}
+BY_SUFFIX = {
+    ".go": "golang", ".jsx": "nextjs", ".tsx": "nextjs", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".dart": "dart", ".mjs": "javascript", ".cjs": "javascript", ".pyw": "python", ".cc": "cpp", ".cxx": "cpp",
+    ".hh": "cpp", ".hxx": "cpp", ".htm": "html", ".xhtml": "html", ".sass": "css", ".scss": "generic", ".less": "generic", ".zsh": "bash", ".fish": "bash", ".ksh": "bash", ".xml": "generic", ".md": "generic",
+    ".txt": "generic", ".rst": "generic", ".toml": "generic", ".ini": "generic", ".cfg": "generic", ".conf": "generic", ".dockerfile": "generic", ".makefile": "generic", ".cmake": "generic", ".gradle": "generic",
+}
+#: languages of this module; what is added to or replaced in ``LANGUAGES`` later travels to the workers with each job
+BUILT_IN: dict[str, Language] = {}
+
+
+def register(lang: Language, *, languages: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> Language:
+    """Adds or replaces a language, and sends files of these languages and suffixes to it; users register their own the same way."""
     LANGUAGES[lang.name] = lang
+    BY_LANGUAGE.update(dict.fromkeys(languages, lang.name))
+    BY_SUFFIX.update({s.lower(): lang.name for s in suffixes})
     return lang
 
 
+def added() -> dict[str, Language]:
+    """Languages registered beside or in place of those of this module."""
+    return {k: v for k, v in LANGUAGES.items() if BUILT_IN.get(k) is not v}
+
+
 register(Language("javascript", _JS, _JS_IMPORTS, "export"))
 register(Language("typescript", _TS, _TS_IMPORTS, "export"))
-register(Language("react", _REACT + _JS, _JS_IMPORTS, "export"))
-register(Language("nextjs", _NEXT + _REACT + _JS, _JS_IMPORTS + (_i("dynamic_import", rf"(?:const|let|var){S}(?P<name>{ID}){H}={H}dynamic\([^'\"\n]*import\(['\"](?P<source>[^'\"\n]+)['\"]"),), "export"))
+register(Language("react", _REACT + _JS, _JS_IMPORTS + _REACT_IMPORTS, "export"))
+register(Language("nextjs", _NEXT + _REACT + _JS, _JS_IMPORTS + _REACT_IMPORTS + _NEXT_IMPORTS, "export"))
 register(
     Language(
         "rust",
@@ -382,10 +410,4 @@ register(
 register(Language("python", (), ()))
 register(Language("html", (), ()))
 
-#: fixed values: language -> parser, suffix -> parser, for files whose language names none
-BY_LANGUAGE = {"python": "python", "rust": "rust", "javascript": "javascript", "typescript": "typescript", "java": "java", "cpp": "cpp", "c": "c", "csharp": "csharp", "php": "php", "ruby": "ruby", "bash": "bash", "sql": "sql", "html": "html", "css": "css"}
-BY_SUFFIX = {
-    ".go": "golang", ".jsx": "nextjs", ".tsx": "nextjs", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".dart": "dart", ".mjs": "javascript", ".cjs": "javascript", ".pyw": "python", ".cc": "cpp", ".cxx": "cpp",
-    ".hh": "cpp", ".hxx": "cpp", ".htm": "html", ".xhtml": "html", ".sass": "css", ".scss": "generic", ".less": "generic", ".zsh": "bash", ".fish": "bash", ".ksh": "bash", ".xml": "generic", ".md": "generic",
-    ".txt": "generic", ".rst": "generic", ".toml": "generic", ".ini": "generic", ".cfg": "generic", ".conf": "generic", ".dockerfile": "generic", ".makefile": "generic", ".cmake": "generic", ".gradle": "generic",
-}
+BUILT_IN.update(LANGUAGES)

@@ -99,6 +99,33 @@ def assertion_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?m)^[ \t]*(?:assert[ (]|self\.assert[A-Za-z]+\()")).cast("bigint")
 
 
+def test_type(name: Column) -> Column:
+    """Kind of a test by its name; unit where it says nothing."""
+    low = F.lower(name)
+    return F.when(low.contains("integration") | low.contains("e2e"), "integration").when(low.contains("unit"), "unit").when(low.contains("perf"), "performance").otherwise("unit")
+
+
+def command_count(text: Column) -> Column:
+    """Lines of a script that are neither blank nor a comment."""
+    return F.size(F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+", "").rlike(r"^[^#\s]"))).cast("bigint")
+
+
+def variable_type(value: Column) -> Column:
+    """Kind of the value of a shell variable: integer, boolean, reference, path or string."""
+    return F.when(value.rlike(r"^\d+$"), "integer").when(F.lower(value).isin("true", "false"), "boolean").when(value.startswith("$"), "reference").when(value.contains("/"), "path").otherwise("string")
+
+
+def array_size(definition: Column) -> Column:
+    """Number of the words between the first brackets of an array, 0 without brackets."""
+    inner = F.regexp_extract(definition, r"\(([^)]*)\)", 1)
+    return F.size(F.filter(F.split(inner, r"\s+"), lambda x: x != "")).cast("bigint")
+
+
+def alias_command(definition: Column) -> Column:
+    """What an alias stands for, without its quotes."""
+    return F.regexp_replace(F.trim(F.regexp_extract(definition, r"=(.*)", 1)), r"^(['\"])(.*)\1$", "$2")
+
+
 def shell_type(text: Column) -> Column:
     """Shell by the first line: bash, zsh, fish, ksh, else sh."""
     return F.coalesce(F.nullif(F.regexp_extract(text, r"^#![^\n]*\b(bash|zsh|fish|ksh)\b", 1), F.lit("")), F.lit("sh"))
