@@ -699,7 +699,7 @@ select response_id, model, done, (done * 10000 // total) / 100 as percent, tk::b
 )
 def w05_token_ledger(spark, d):
     rows = table(spark, d, "responses", *_RESP).distinct().select("response_id", F.coalesce("model_used", F.lit("none")).alias("model"), "received_at", "tokens_used", "processing_time")
-    out = A.ledger(rows, by="model", time="received_at", order=[F.col("received_at").asc_nulls_last(), F.col("response_id")], tokens="tokens_used", seconds="processing_time")
+    out = A.ledger(rows, by="model", order=[F.col("received_at").asc_nulls_last(), F.col("response_id")], tokens="tokens_used", seconds="processing_time")
     return out.drop("received_at", "tokens_used", "processing_time")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -22,6 +23,8 @@ def build_parser() -> argparse.ArgumentParser:
     a.add_argument("--exclude", action="append")
     a.add_argument("--no-fallback", action="store_true")
     a.add_argument("--master", default="local[*]")
+    a.add_argument("--work", help="folder all executors share, for the responses")
+    a.add_argument("--provider", action="append", default=[], metavar="MODULE:NAME", help="a provider of your own, in the order they are tried")
     c = sub.add_parser("create-config", help="write a starting configuration")
     c.add_argument("path")
     c.add_argument("--template", choices=("multi", "single", "minimal"), default="multi")
@@ -38,6 +41,12 @@ def overrides(args: argparse.Namespace) -> dict:
     return {**out, "enable_fallback": False} if args.no_fallback else out
 
 
+def load_object(name: str):
+    """The object that MODULE:NAME stands for."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
     if args.command == "create-config":
@@ -66,9 +75,13 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from quarryline.plans.pipeline import Engine
+    from quarryline.plans.stages import Registry
 
     try:
-        out = Engine.create(SparkSession.builder.master(args.master).getOrCreate(), raw).run()
+        stages = Registry()
+        stages.discover()
+        more = {"providers": tuple(map(load_object, args.provider))} if args.provider else {}
+        out = Engine.create(SparkSession.builder.master(args.master).getOrCreate(), raw, stages=stages, work=args.work, **more).run()
     except KeyboardInterrupt:
         return 130
     except Exception as e:  # noqa: BLE001 - shown to the user

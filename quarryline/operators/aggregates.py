@@ -79,15 +79,18 @@ def hints(analysed: DataFrame, *keep: str, n: int = TOP_NAMES, analysis: str = "
     return analysed.select(*keep, F.slice(names, 1, n).alias("top_elements"), F.size(f"{analysis}.dependencies").cast("bigint").alias("dependency_count"))
 
 
-def ledger(rows: DataFrame, *, by: str, time: str, order: list[str], tokens: str, seconds: str, bucket: str = "hour") -> DataFrame:
+def ledger(rows: DataFrame, *, by: str, order: list[Column], tokens: str, seconds: str) -> DataFrame:
     """Running totals in completion order, one ledger for each ``by``: done, share, tokens, mean time, time left.
 
-    Rows are ordered within buckets of time, and each bucket starts from the
-    totals of the buckets before it, so no task sees a whole ledger.  Rows
-    without a time come last.
+    The rows are cut into ranges of (by, order), summed within each, and each
+    range starts from the totals of the ranges before it, so no task sees a
+    whole ledger, whatever share of the rows has one time or none.  ``order``
+    must name the rows one by one; the ranges are written first, as both uses
+    must see the same ones.
     """
-    at = F.coalesce(F.date_trunc(bucket, time), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
-    rows = rows.withColumn("__b", at).withColumn("__t", F.coalesce(F.col(tokens), F.lit(0))).withColumn("__s", F.round(F.coalesce(F.col(seconds), F.lit(0.0)) * 1_000_000).cast("bigint"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows.repartitionByRange(parts, F.col(by), *order).withColumn("__b", F.spark_partition_id()))
+    rows = rows.withColumn("__t", F.coalesce(F.col(tokens), F.lit(0))).withColumn("__s", F.round(F.coalesce(F.col(seconds), F.lit(0.0)) * 1_000_000).cast("bigint"))
     sums = rows.groupBy(by, "__b").agg(F.count("*").alias("n"), F.sum("__t").alias("t"), F.sum("__s").alias("s"))
     before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     prior = sums.select(

@@ -33,6 +33,7 @@ class Context:
     config: object
     point: str = ""
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    options: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -59,9 +60,31 @@ def check(stage: object) -> list[str]:
     out = [f"{a} is missing" for a in ("name", "supports", "apply") if not hasattr(stage, a)]
     if hasattr(stage, "name") and not (isinstance(stage.name, str) and stage.name):
         out.append("name must be a text")
+    if not isinstance(getattr(stage, "priority", 0), int):
+        out.append("priority must be a whole number")
+    deps = getattr(stage, "depends_on", ())
+    if isinstance(deps, str) or not all(isinstance(d, str) for d in deps):
+        out.append("depends_on must be a list of names")
+    for p in getattr(stage, "points", ()):
+        if p not in POINTS:
+            out.append(f"{p} is no point of the pipeline")
     return out + [f"{a} must be callable" for a in ("supports", "apply") if hasattr(stage, a) and not callable(getattr(stage, a))]
 
 
+class _Configured:
+    """A stage with the place and options its settings give it."""
+
+    def __init__(self, stage: Stage, priority: int, depends_on: tuple[str, ...], options: dict):
+        self.stage, self.name, self.priority, self.options = stage, stage.name, priority, options
+        self.depends_on = depends_on or tuple(getattr(stage, "depends_on", ()))
+
+    def supports(self, point: str) -> bool:
+        return self.stage.supports(point)
+
+    def apply(self, df: DataFrame, context: Context) -> DataFrame:
+        return self.stage.apply(df, Context(context.config, context.point, context.tables, self.options))
+
+
 class Registry:
     """Stages by name; ``order`` sorts by dependencies, then priority, then name."""
 
@@ -95,6 +118,18 @@ class Registry:
             new.append(self.register(s() if isinstance(s, type) else s).name)
         return new
 
+    @classmethod
+    def configured(cls, settings: Iterable, known: Iterable[Stage]) -> Registry:
+        """The known stages that the settings name and do not switch off, with their priority and what they depend on."""
+        found = {s.name: s for s in known}
+        out = cls()
+        for c in settings:
+            if c.name not in found:
+                raise StageError(f"unknown stage {c.name}")
+            if c.enabled:
+                out.register(_Configured(found[c.name], c.priority, tuple(c.depends_on), dict(c.options)))
+        return out
+
     def order(self) -> list[Stage]:
         return [self._stages[n] for n in topological({n: getattr(s, "depends_on", ()) for n, s in self._stages.items()}, {n: getattr(s, "priority", 100) for n, s in self._stages.items()})]
 
@@ -115,6 +150,14 @@ class Registry:
         return {"stages": len(self._stages), "points": {p: [s.name for s in self.order() if s.supports(p)] for p in POINTS}, "errors": len(self.errors)}
 
 
+def system_info(registry: Registry | None = None) -> dict:
+    """Counts of what is installed: points, stages, languages, routes, providers."""
+    from quarryline import config as C
+    from quarryline.operators import languages as L
+
+    return {"points": len(POINTS), "stages": len(registry.names()) if registry else 0, "languages": len(L.LANGUAGES), "language_routes": len(L.BY_LANGUAGE), "suffix_routes": len(L.BY_SUFFIX), "providers": len(C.PROVIDERS)}
+
+
 def topological(edges: dict[str, Iterable[str]], priority: dict[str, int] | None = None) -> list[str]:
     """Names so that each follows what it depends on; among free ones by priority, then name."""
     pri = priority or {}

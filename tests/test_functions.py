@@ -49,6 +49,7 @@ def test_text_sniff(spark):
 def test_tokens_and_truncate(spark):
     assert one(spark, T.count_tokens(F.col("c")), c=None) == 0
     assert one(spark, T.count_tokens(F.col("c")), c="abcde") == 2
+    assert one(spark, T.count_tokens(F.col("c"), lambda t: len(t.split())), c="a b c") == 3 and one(spark, T.count_tokens(F.col("c"), len), c=None) == 0
     assert one(spark, T.truncate(F.col("c"), 100), c="x" * 400) == "x" * 400
     assert one(spark, T.truncate(F.col("c"), 100), c="x" * 401) == "x" * 360 + T.CUT_MARK
 

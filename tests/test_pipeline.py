@@ -179,7 +179,7 @@ def test_reduce_takes_whole_contents(spark, tmp_path):
 
 def test_ledger(spark):
     df = spark.sql("select * from values ('m', timestamp_ntz'2025-01-01 00:30:00', 1, 10, 1.0D), ('m', timestamp_ntz'2025-01-01 05:00:00', 2, null, 2.0D), ('m', null, 3, 5, null) t(by, at, id, tokens, secs)")
-    rows = A.ledger(df, by="by", time="at", order=["at", "id"], tokens="tokens", seconds="secs").orderBy("done").collect()
+    rows = A.ledger(df, by="by", order=[F.col("at").asc_nulls_last(), F.col("id")], tokens="tokens", seconds="secs").orderBy("done").collect()
     assert [(r.id, r.done, r.tokens_so_far) for r in rows] == [(1, 1, 10), (2, 2, 10), (3, 3, 15)]
     assert rows[1].mean_seconds == 1.5
 
@@ -199,6 +199,24 @@ def test_stages(spark):
     assert stages.check(object()) and r.info()["stages"] == 3
 
 
+def test_configured_stages(spark):
+    tag = stages.FunctionStage("tag", ("after_scan",), lambda d, c: d.withColumn("tag", F.lit(c.options.get("value", "none"))))
+    off = stages.FunctionStage("off", ("after_scan",), lambda d, c: d.select("nothing_here"))
+    r = stages.Registry.configured([C.StageConfig("tag", options={"value": "x"}, priority=5), C.StageConfig("off", enabled=False)], [tag, off])
+    assert r.names() == ["tag"] and r.run("after_scan", spark.range(1), stages.Context(None)).first().tag == "x"
+    with pytest.raises(stages.StageError):
+        stages.Registry.configured([C.StageConfig("none")], [tag])
+    assert stages.check(stages.FunctionStage("a", ("nowhere",), None)) == ["nowhere is no point of the pipeline"]
+    info = stages.system_info(r)
+    assert info["points"] == 15 and info["stages"] == 1 and info["providers"] == 9 and info["languages"] >= 21
+
+
+def test_cli_takes_a_provider_of_ones_own():
+    assert cli.load_object("quarryline.operators.summarize:OFFLINE") is S.OFFLINE
+    args = cli.build_parser().parse_args(["analyze", "x", "--provider", "a:b", "--provider", "c:d", "--work", "/w"])
+    assert args.provider == ["a:b", "c:d"] and args.work == "/w"
+
+
 def test_config(tmp_path):
     assert C.violations({}) == ["codebase_path is required", "models must be a list that is not empty"]
     assert C.violations({**C.template("minimal", "/x"), "retry_attempts": True}) == ["retry_attempts must be a number"]
