@@ -194,6 +194,18 @@ def parse_attributes(text: str | None) -> list[tuple[int, str, str, bool | None]
 
 
 ATTRIBUTES = ("generated", "vendored")
+#: what many patterns begin and end with
+_SHARED = (("^(?:[^/]+/)*", "/.+$"), ("^(?:.*/)?", "$"))
+
+
+def any_of(rxs: list[str]) -> str:
+    """One expression for any of them; what many begin and end with is written once."""
+    out, rest = [], list(rxs)
+    for a, b in _SHARED:
+        inner = [x[len(a) : -len(b)] for x in rest if x.startswith(a) and x.endswith(b)]
+        rest = [x for x in rest if not (x.startswith(a) and x.endswith(b))]
+        out += [f"{a}(?:{'|'.join(inner)}){b}"] if inner else []
+    return "|".join(out + rest)
 
 
 def rules_say(path: Column, attribute: str, text: str, flags: str = "") -> Column:
@@ -206,12 +218,14 @@ def rules_say(path: Column, attribute: str, text: str, flags: str = "") -> Colum
             groups[-1][1].append(rx)
     out = F.lit(None).cast("boolean")
     for marked, rxs in groups:
-        out = F.when(path.rlike(f"(?s{flags})" + "|".join(rxs)), F.lit(marked).cast("boolean")).otherwise(out)
+        out = F.when(path.rlike(f"(?s{flags})" + any_of(rxs)), F.lit(marked).cast("boolean")).otherwise(out)
     return out
 
 
-def declared(files: DataFrame) -> DataFrame:
-    """(id, generated, vendored) of the files that attribute files of their repository speak of, null where they say nothing.
+def declared(files: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(id, generated, vendored) of the files that attribute files of their repository speak of, null where they say nothing, and the repositories that have one.
+
+    Without any attribute file there is no first table.
 
     ``files`` has id, repo (not null), path and text.  Only attribute files are
     exploded into rules; files of repositories that have one bring id and path
@@ -223,19 +237,21 @@ def declared(files: DataFrame) -> DataFrame:
     def rules(text: pd.Series) -> pd.Series:
         return text.map(parse_attributes)
 
-    attr = (
+    attr = cut(
         files.where(F.col("path").rlike(r"(^|/)\.gitattributes$"))
         .select("repo", F.regexp_replace("path", r"/?\.gitattributes$", "").alias("dir"), rules("text").alias("rs"))
-        .select("repo", "dir", F.explode("rs").alias("r"))
+        .select("repo", "dir", F.explode_outer("rs").alias("r"))
         .select("repo", "dir", "r.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
+    if attr.isEmpty():
+        return None, attr.select("repo")
     parts = F.split("path", "/")
     dirs = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     at = files.where("path is not null").select("id", "repo", "path").join(attr.select("repo").distinct(), "repo", "left_semi")
     at = at.select("id", "repo", "path", F.explode(dirs).alias("dir"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"))
     hit = at.join(attr, ["repo", "dir", "salt"]).where(F.expr("(case when dir = '' then path else substring(path, length(dir) + 2) end) rlike rx"))
     last = hit.groupBy("id", "attribute").agg(F.max_by("marked", F.struct(F.length("dir"), "line")).alias("marked"))
-    return last.groupBy("id").agg(*[F.max(F.when(F.col("attribute") == a, F.col("marked"))).alias(a) for a in ATTRIBUTES])
+    return cut(last.groupBy("id").agg(*[F.max(F.when(F.col("attribute") == a, F.col("marked"))).alias(a) for a in ATTRIBUTES])), attr.select("repo").distinct()
 
 
 def _bound(n: Column, of: Column, side: int) -> Column:
@@ -278,10 +294,8 @@ def classify(files: DataFrame, *, id: str = "file_id", repo: str = "codebase", p
     p = F.col("path")
     known = [F.coalesce(rules_say(p, a, NAME_PATTERNS, "i"), rules_say(p, a, DIRECTORY_PATTERNS), F.lit(False)).alias(f"known_{a}") for a in ATTRIBUTES]
     seen = cut(cols.select("id", "repo", "path", *known, evidence("path", "text").alias("kind")))
-    said = cut(declared(cols))
-    declares = cut(cols.where(p.rlike(r"(^|/)\.gitattributes$")).select("repo").distinct())
-
-    rows = seen.join(said, "id", "left")
+    said, declares = declared(cols)
+    rows = seen.join(said, "id", "left") if said else seen.select("*", *[F.lit(None).cast("boolean").alias(a) for a in ATTRIBUTES])
     by = {a: F.coalesce(F.col(a), F.col("kind") == a) for a in ATTRIBUTES}
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
