@@ -152,42 +152,46 @@ def normalize(df: DataFrame, *, text: str = "text", out: str = "form") -> DataFr
 
 
 def prints(df: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, form, raw): 128-bit hashes of the skeleton and of the text as it is."""
+    """(id, f1, f2, r1, r2): 128-bit hashes of the skeleton and of the text as it is, in two halves each."""
 
-    @arrow_udf("struct<form:string,raw:string>")
+    @arrow_udf("struct<f1:long,f2:long,r1:long,r2:long>")
     def hashes(t: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        rows = []
+        half, rows = 1 << 63, []
         for x in t:
             if not x:
-                rows.append((None, None))
+                rows.append((None,) * 4)
                 continue
-            s = skeleton(normal_form(x))
-            rows.append((xxhash.xxh3_128_hexdigest(s.encode("utf-8", "surrogatepass")) + f"{len(s):x}", xxhash.xxh3_128_hexdigest(x.encode("utf-8", "surrogatepass"))))
-        return pd.DataFrame(rows, columns=["form", "raw"])
+            two = [divmod(xxhash.xxh3_128_intdigest(y.encode("utf-8", "surrogatepass")), 1 << 64) for y in (skeleton(normal_form(x)), x)]
+            rows.append(tuple(v - half for h in two for v in h))
+        return pd.DataFrame(rows, columns=["f1", "f2", "r1", "r2"], dtype=object)  # halves of 64 bits, which a column with gaps would round
 
-    return df.select(F.col(id).alias("id"), hashes(F.col(text)).alias("h")).where("h.form is not null").select("id", "h.form", "h.raw")
+    return df.select(F.col(id).alias("id"), hashes(F.col(text)).alias("h")).where("h.f1 is not null").select("id", "h.*")
+
+
+FORM, TEXT = ["f1", "f2"], ["f1", "f2", "r1", "r2"]
 
 
 def classes(p: DataFrame) -> DataFrame:
-    """(id, form, raw, parts): membership of each document in its class of texts that look the same.
+    """(id, f1, f2, r1, r2, parts): membership of each document in its class of texts that look the same.
 
-    Only classes that more than one text takes are kept; what is counted are
-    distinct texts, with map-side combining, so exact copies cost nothing.
-    ``parts`` says over how many keys the documents of the text are spread.
+    Only classes that more than one text takes are kept: the least and the
+    greatest hash of a form tell, in one aggregate with map-side combining, so
+    exact copies and forms of one text go no further.  ``parts`` says over how
+    many keys the documents of the text are spread.
     """
-    ids = p.select("id", "form", "raw").distinct()
-    texts = ids.groupBy("form", "raw").agg(F.expr(f"1 + count(*) div {PER_TASK}").cast("int").alias("parts"))
-    several = texts.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    return ids.join(texts.join(several, "form", "left_semi"), ["form", "raw"])
+    spans = p.groupBy(*FORM).agg(*[f(c).alias(f"{n}_{c}") for c in ("r1", "r2") for n, f in (("least", F.min), ("most", F.max))])
+    several = spans.where("least_r1 <> most_r1 or least_r2 <> most_r2").select(*FORM)
+    ids = p.select("id", *TEXT).join(several, FORM, "left_semi").distinct()
+    return ids.join(ids.groupBy(*TEXT).agg(F.expr(f"1 + count(*) div {PER_TASK}").cast("int").alias("parts")), TEXT)
 
 
 def text_pairs(members: DataFrame) -> DataFrame:
-    """(form, raw_a, parts_a, raw_b, parts_b): pairs of different texts of one class, each once; no pair of documents is made."""
-    texts = members.select("form", "raw", "parts").distinct()
-    a, b = (texts.select("form", F.col("raw").alias(f"raw_{x}"), F.col("parts").alias(f"parts_{x}")) for x in "ab")
-    return a.join(b, "form").where("raw_a < raw_b")
+    """(f1, f2, then r1, r2, parts of a and b): pairs of different texts of one class, each once; no pair of documents is made."""
+    texts = members.select(*TEXT, "parts").distinct()
+    a, b = (texts.select(*FORM, *[F.col(c).alias(f"{c}_{x}") for c in ("r1", "r2", "parts")]) for x in "ab")
+    return a.join(b, FORM).where("r1_a < r1_b or (r1_a = r1_b and r2_a < r2_b)")
 
 
 def pairs(p: DataFrame) -> DataFrame:
@@ -199,8 +203,9 @@ def pairs(p: DataFrame) -> DataFrame:
     of a text on either side, however many carry it.
     """
     members = cut(classes(p))
+    keys = {x: [f"r1_{x}", f"r2_{x}", f"part_{x}"] for x in "ab"}
     parts = [F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)).alias(f"part_{x}") for x in "ab"]
-    cells = text_pairs(members).select("raw_a", "raw_b", "parts_b", parts[0]).select("raw_a", "raw_b", "part_a", parts[1])
+    cells = text_pairs(members).select("r1_a", "r2_a", "r1_b", "r2_b", "parts_b", parts[0]).select(*keys["a"], "r1_b", "r2_b", parts[1])
     of = F.pmod(F.hash("id"), F.col("parts"))
-    sides = [cells.join(members.select(F.col("raw").alias(f"raw_{x}"), of.alias(f"part_{x}"), F.col("id").alias(x)), [f"raw_{x}", f"part_{x}"]) for x in "ab"]
-    return sides[0].join(sides[1], ["raw_a", "raw_b", "part_a", "part_b"]).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
+    sides = [cells.join(members.select(F.col("r1").alias(f"r1_{x}"), F.col("r2").alias(f"r2_{x}"), of.alias(f"part_{x}"), F.col("id").alias(x)), keys[x]) for x in "ab"]
+    return sides[0].join(sides[1], [*keys["a"], *keys["b"]]).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
