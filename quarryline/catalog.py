@@ -124,7 +124,7 @@ def f03_size_filter(spark, d):
 
 
 @query(
-    f"select distinct file_id, case when {EXT_SQL} in ({', '.join(map(_q, P.BINARY_SUFFIXES))}) then false when {EXT_SQL} in ({', '.join(map(_q, P.LANGUAGES))}) then true else not contains(substring(coalesce(content, ''), 1, 512), chr(0)) end as is_text from files"
+    f"select distinct file_id, case when {EXT_SQL} in ({', '.join(map(_q, P.BINARY_SUFFIXES))}) then false when {EXT_SQL} in ({', '.join(map(_q, P.LANGUAGES))}) then true else not (instr(coalesce(content, ''), chr(0)) > 0 and octet_length(encode(substring(content, 1, instr(content, chr(0)) - 1))) < 512) end as is_text from files"
 )
 def f04_text_sniff(spark, d):
     return table(spark, d, "files", "file_id", "relative_path", "content").select("file_id", P.looks_text(F.col("relative_path"), F.col("content")).alias("is_text")).distinct()

@@ -99,6 +99,7 @@ def included(path: Column, globs: tuple[str, ...] | None = DEFAULT_INCLUDE) -> C
 
 
 def looks_text(path: Column, content: Column) -> Column:
-    """Binary suffixes no, known suffixes yes, others by a NUL in the first 512 characters."""
+    """Binary suffixes no, known suffixes yes, others by a NUL in the first 512 bytes."""
     ext = extension(path)
-    return F.when(ext.isin(*BINARY_SUFFIXES), False).when(ext.isin(*LANGUAGES), True).otherwise(~F.contains(F.substring(F.coalesce(content, F.lit("")), 1, 512), F.lit("\x00")))
+    start = F.substring(F.encode(F.coalesce(content, F.lit("")), "UTF-8"), 1, 512)
+    return F.when(ext.isin(*BINARY_SUFFIXES), False).when(ext.isin(*LANGUAGES), True).otherwise(~F.contains(start, F.unhex(F.lit("00"))))

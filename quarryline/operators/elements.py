@@ -97,7 +97,22 @@ def _semi_end(lines: list[str], start: int) -> int:
     return len(lines)
 
 
-_ENDS: dict[str, Callable[[list[str], int], int]] = {"brace": _brace_end, "paren": _paren_end, "indent": _indent_end, "end": _ruby_end, "semi": _semi_end, "line": lambda lines, i: i + 1}
+_SHELL_COMMENT = re.compile(r"(?:^|(?<=\s))#.*$")
+
+
+def _shell_end(lines: list[str], start: int) -> int:
+    """Braces of a script, those in comments and after ``$`` apart."""
+    total, opened = 0, False
+    for i in range(start, len(lines)):
+        x = re.sub(r"\$\{[^{}]*\}", "", _SHELL_COMMENT.sub("", lines[i]))
+        total += x.count("{") - x.count("}")
+        opened = opened or "{" in x
+        if opened and total <= 0:
+            return i + 1
+    return len(lines)
+
+
+_ENDS: dict[str, Callable[[list[str], int], int]] = {"shell": _shell_end, "brace": _brace_end, "paren": _paren_end, "indent": _indent_end, "end": _ruby_end, "semi": _semi_end, "line": lambda lines, i: i + 1}
 
 
 class Lines:

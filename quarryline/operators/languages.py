@@ -319,6 +319,7 @@ register(
             _i("import", r"@(?:import|use|forward)[ \t]+(?:url\()?['\"]?(?P<source>[^'\")\s;]+)"),
             _i("font", r"src[ \t]*:[^;\n]*url\(['\"]?(?P<source>[^'\")\n]+\.(?:woff2?|ttf|otf|eot)[^'\")\n]*)['\"]?\)"),
             _i("data_url", r"[^\n]*url\(['\"]?(?P<source>data:[^'\")\n]{0,80})"),
+            _i("resource", r"[^\n]*url\(['\"]?(?P<source>(?!data:)(?![^'\")\n]+\.(?:png|jpe?g|gif|svg|webp|avif|woff2?|ttf|otf|eot|css|scss)\b)[^'\")\n]+)['\"]?\)"),
             _i("image", r"[^\n]*url\(['\"]?(?P<source>(?!data:)[^'\")\n]+\.(?:png|jpe?g|gif|svg|webp|avif)[^'\")\n]*)['\"]?\)"),
         ),
     )
@@ -349,8 +350,8 @@ register(
     Language(
         "bash",
         (
-            _p("function", "function", rf"function{S}(?P<name>[\w.:-]+){H}(?:\(\))?{H}\{{?"),
-            _p("function", "function", rf"(?P<name>[A-Za-z_][\w.:-]*){H}\(\){H}(?:\n[ \t]*)?\{{"),
+            _p("function", "function", rf"function{S}(?P<name>[\w.:-]+){H}(?:\(\))?{H}\{{?", "shell"),
+            _p("function", "function", rf"(?P<name>[A-Za-z_][\w.:-]*){H}\(\){H}(?:\n[ \t]*)?\{{", "shell"),
             _p("alias", "constant", rf"alias{S}(?P<name>[\w.-]+)=", "line"),
             _p("export", "variable", rf"export{S}(?P<name>\w+)", "line"),
             _p("local", "variable", rf"local{S}(?:-\w+{S})?(?P<name>\w+)", "line"),
@@ -402,6 +403,7 @@ register(
         (
             _i("include", rf"#?{H}include{S}[<\"']?(?P<source>[^>\"'\s;]+)"),
             _i("import", rf"import{S}(?P<source>[\w./:\"'-]+)"),
+            _i("from", rf"from{S}(?P<source>[\w./-]+){S}import\b"),
             _i("using", rf"using{S}(?P<source>[\w.:]+)"),
             _i("require", rf"require{H}\(?{H}['\"](?P<source>[^'\"\n]+)['\"]"),
         ),

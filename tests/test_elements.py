@@ -90,6 +90,16 @@ def test_shell_figures():
     assert [x[0] for x in d if x[1] == "external_command"] == ["curl", "sort"]
 
 
+def test_braces_in_shell_comments():
+    e, _ = parse("f() {\n  # a } here\n  x=${y:-z}\n}\necho }\n", "bash")
+    assert next(x[2:4] for x in e if x[0] == "f") == (0, 4)
+
+
+def test_resources_of_style_sheets():
+    _, d = parse("a {\n  background: url(x.png);\n  cursor: url('y.cur');\n}\n@import 'b.css';\n", "css")
+    assert [(x[1], x[2]) for x in d] == [("image", "x.png"), ("resource", "y.cur"), ("import", "b.css")]
+
+
 def test_short_data_files():
     assert [x[:4] for x in parse('{\n  "a": 1,\n  "b": {"c": 2}\n}', "generic", ".json")[0]] == [("a", "variable", 1, 2), ("b", "variable", 2, 3)]
     assert [x[0] for x in parse("a: 1\nb:\n  c: 2\n", "generic", ".yaml")[0]] == ["a", "b"]

@@ -44,6 +44,7 @@ def test_text_sniff(spark):
     assert one(spark, f, p="a.py", c="\x00") is True
     assert one(spark, f, p="a.bin2", c="a\x00b") is False
     assert one(spark, f, p="a", c=None) is True
+    assert one(spark, f, p="a", c="é" * 255 + "a\x00") is False and one(spark, f, p="a", c="é" * 256 + "\x00") is True
 
 
 def test_tokens_and_truncate(spark):
