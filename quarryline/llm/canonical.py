@@ -109,9 +109,9 @@ def canonical(text: str | None, path: str | None = None, language: str | None =
 
 
 def fingerprints(df: DataFrame, *, id: str = "request_id", text: str = "content", path: str = "file_path", language: str = "language") -> DataFrame:
-    """(id, h1, h2, n, plain): 128-bit hash, 64-bit hash and length of each canonical form, 128-bit hash of the text but for white space and case."""
+    """(id, h1, h2, n, p1, p2): 128-bit hash, 64-bit hash and length of each canonical form, both halves of a 128-bit hash of the text but for white space and case."""
 
-    @arrow_udf("struct<h1:string,h2:long,n:long,plain:string>")
+    @arrow_udf("struct<h1:string,h2:long,n:long,p1:long,p2:long>")
     def form(t: pd.Series, p: pd.Series, g: pd.Series) -> pd.DataFrame:
         import xxhash
 
@@ -119,17 +119,18 @@ def fingerprints(df: DataFrame, *, id: str = "request_id", text: str = "content"
         for a, b, c in zip(t, p, g):
             f = canonical(a, b, c)
             if f is None:
-                out.append((None, None, None, None))
+                out.append((None,) * 5)
             else:
                 raw = f.encode("utf-8", "surrogatepass")
                 same = "".join(a.split()).casefold().encode("utf-8", "surrogatepass")
-                out.append((xxhash.xxh3_128_hexdigest(raw), xxhash.xxh64_intdigest(raw, 7) - (1 << 63), len(raw), xxhash.xxh3_128_hexdigest(same)))
-        return pd.DataFrame(out, columns=["h1", "h2", "n", "plain"])
+                halves = divmod(xxhash.xxh3_128_intdigest(same), 1 << 64)
+                out.append((xxhash.xxh3_128_hexdigest(raw), xxhash.xxh64_intdigest(raw, 7) - (1 << 63), len(raw), *[h - (1 << 63) for h in halves]))
+        return pd.DataFrame(out, columns=["h1", "h2", "n", "p1", "p2"], dtype=object)  # 64 bits, which a column with gaps would round
 
-    return df.select(F.col(id).alias("id"), form(F.col(text), F.col(path), F.col(language)).alias("f")).where("f.h1 is not null").select("id", "f.h1", "f.h2", "f.n", "f.plain")
+    return df.select(F.col(id).alias("id"), form(F.col(text), F.col(path), F.col(language)).alias("f")).where("f.h1 is not null").select("id", "f.*")
 
 
-_FORM = ["h1", "h2", "n"]
+_FORM, _PLAIN = ["h1", "h2", "n"], ["p1", "p2"]
 
 
 def _linked(prints: DataFrame) -> DataFrame | None:
@@ -140,10 +141,12 @@ def _linked(prints: DataFrame) -> DataFrame | None:
     kinds a step, so there are few.
     """
     form = F.struct(*_FORM)
-    several = prints.groupBy("plain").agg(F.collect_set(form).alias("forms")).where("size(forms) > 1")
-    edges = cut(several.select(F.array_min("forms").alias("a"), F.explode("forms").alias("b")).where("a <> b").distinct())
-    if edges.isEmpty():
+    # two figures of a fixed width tell which texts have several forms; only those bring their forms along
+    several = cut(prints.groupBy(*_PLAIN).agg(F.min("h2").alias("least"), F.max("h2").alias("most")).where("least <> most").select(*_PLAIN))
+    if several.isEmpty():
         return None
+    forms = prints.join(several, _PLAIN, "left_semi").groupBy(*_PLAIN).agg(F.collect_set(form).alias("forms"))
+    edges = cut(forms.select(F.array_min("forms").alias("a"), F.explode("forms").alias("b")).where("a <> b").distinct())
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")))
     while True:
@@ -157,7 +160,7 @@ def _linked(prints: DataFrame) -> DataFrame | None:
 def _grouped(prints: DataFrame) -> DataFrame:
     """(id, h1, h2, n), one row an id, linked forms under one of them."""
     ids = prints.select("id", *_FORM).distinct()
-    links = _linked(prints) if "plain" in prints.columns else None
+    links = _linked(prints) if "p1" in prints.columns else None
     if links is None:
         return ids
     return ids.join(links, _FORM, "left").select("id", F.coalesce("root", F.struct(*_FORM)).alias("f")).select("id", "f.*")

@@ -221,6 +221,15 @@ def test_equal_contents_of_several_kinds_are_one_group(spark):
     assert sorted((r.keep_id, r.n_copies) for r in canonical.copies(canonical.fingerprints(df)).collect()) == [(1, 3), (4, 4), (8, 1), (9, 1), (10, 1)]
 
 
+def test_hashes_are_whole_beside_blank_rows(spark):
+    rows = [(i, t, "a.md", None) for i, t in enumerate(["", "some text", None])]
+    df = spark.createDataFrame(rows, "request_id long, content string, file_path string, language string").coalesce(1)
+    import xxhash
+
+    got = canonical.fingerprints(df).first()
+    assert got.h2 == xxhash.xxh64_intdigest(b"tsometext", 7) - (1 << 63)
+
+
 def test_collision_is_split(spark):
     p = spark.createDataFrame([(1, "h", 5, 3), (2, "h", 5, 3), (3, "h", 6, 3), (4, "h", 5, 4)], "id long, h1 string, h2 long, n long")
     assert [tuple(r) for r in canonical.duplicate_pairs(p).collect()] == [(1, 2)]
