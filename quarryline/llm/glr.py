@@ -161,6 +161,7 @@ class Grammar:
 
         start = frozenset([(0, 0)])
         ids, order, self.action, self.goto = {start: 0}, [start], [], []
+        self.units: dict[tuple[int, int, str], int] = {}
         k = 0
         while k < len(order):
             moves: dict[str, set] = {}
@@ -207,7 +208,7 @@ def recognise(g: Grammar, tokens: list[str], asi: list[bool] | None = None) -> i
     """
     if not tokens:
         return -1 if g.nullable_start else 0
-    action, goto = g.action, g.goto
+    action, goto, units = g.action, g.goto, g.units
     top = [0, None]  # node: [state, parent or list of parents]
     single = True
     front: list = []
@@ -227,6 +228,17 @@ def recognise(g: Grammar, tokens: list[str], asi: list[bool] | None = None) -> i
                         return -1
                     top = [s, node]
                     break
+                if k == 1:
+                    # reductions of one symbol leave the node below in place, so a chain of them ends in a state that can be kept
+                    base = node[1]
+                    if base[0].__class__ is list:
+                        a = (0, 0, -1)
+                        break
+                    key = (base[0], node[0], t)
+                    if (to := units.get(key)) is None:
+                        to = units[key] = _chain(action, goto[base[0]], node[0], t)
+                    node = [to, base]
+                    continue
                 if k == -1:
                     break
                 base = node
@@ -264,6 +276,13 @@ def recognise(g: Grammar, tokens: list[str], asi: list[bool] | None = None) -> i
     return -1
 
 
+def _chain(action: list, go: dict, state: int, t: str) -> int:
+    """The state after all reductions of one symbol over one node; a grammar without rules that produce themselves ends it."""
+    while (a := action[state].get(t)) is not None and a[1] is not None and a[2] == 1:
+        state = go[a[1]]
+    return state
+
+
 def _supplied(g: Grammar, front: list, t: str) -> list:
     """Readings that accept ``t`` once an automatic semicolon stands before it."""
     return [x for x in _many(g, front, "ASI") or () if _many(g, [x], t)]
