@@ -662,9 +662,26 @@ def a10_batch_stats(spark, d):
     return out.withColumn("success_rate", A.success_rate(F.col("answered"), F.col("requests")))
 
 
-@query("select domain, string_agg(codebase, ', ' order by codebase) as codebases, count(*) as n, round(avg(length(codebase)), 6) as mean_length from codebases group by domain")
+@query(
+    "with f as (select codebase, count(distinct file_id) as files, count(distinct extension) as kinds from files where codebase is not null group by 1), s as (select domain, codebase, codebase || ': ' || coalesce(files, 0) || ' files of ' || coalesce(kinds, 0) || ' kinds' as summary from codebases left join f using (codebase)) select domain, string_agg(summary, chr(10) || chr(10) order by codebase) as summary from s group by domain"
+)
 def a11_batch_report(spark, d):
-    return table(spark, d, "codebases").groupBy("domain").agg(F.listagg("codebase", F.lit(", ")).alias("x"), F.array_join(F.array_sort(F.collect_list("codebase")), ", ").alias("codebases"), F.count("*").alias("n"), F.round(F.avg(F.length("codebase")), 6).alias("mean_length")).drop("x")
+    """The summaries of the code bases of each domain, joined in order of their names."""
+    f = table(spark, d, "files", "codebase", "file_id", "extension").where("codebase is not null").groupBy("codebase").agg(F.count_distinct("file_id").alias("files"), F.count_distinct("extension").alias("kinds"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    rows = table(spark, d, "codebases", "codebase", "domain").join(f, "codebase", "left").select("domain", "codebase", F.concat("codebase", F.lit(": "), zero("files"), F.lit(" files of "), zero("kinds"), F.lit(" kinds")).alias("summary"))
+    return A.concat_texts(rows, ["domain"], ["codebase"], "summary")
+
+
+@query(
+    f"""with s as (select distinct file_id, n, regexp_extract(line, '^[ \\t]*\\[([^\\]]+)\\][ \\t]*$', 1) as name from {_lines_of((".ini", ".cfg", ".conf"))} where {_HINT_SQL})
+select file_id, name, n::bigint as start_line from (select *, row_number() over (partition by file_id order by n) as k from s) where k <= 3"""
+)
+def w04_capped_elements(spark, d):
+    """The first three sections of each settings file, by the cap that holds files to their first 200 elements."""
+    rows = _files(spark, d, "content").where(P.extension(F.col("relative_path")).isin(*_SETTINGS))
+    e = elements.elements(elements.analyse(spread(rows)), "file_id").where("pattern = 'section'").drop("element_no").distinct()
+    return A.cap_elements(e, "file_id", 3).select("file_id", "name", F.col("start_line").cast("bigint").alias("start_line"))
 
 
 @query()
