@@ -42,6 +42,15 @@ def lex_json(text: str):
 _PY_KW = _words("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type")
 
 
+_PY_SKIP = frozenset((tokenize.COMMENT, tokenize.NL, tokenize.ENCODING, tokenize.ENDMARKER))
+_PY_NAME, _PY_OP = tokenize.NAME, tokenize.OP
+_PY_KINDS = {
+    getattr(tokenize, a): b
+    for a, b in {"NUMBER": "NUM", "STRING": "STR", "NEWLINE": "NEWLINE", "INDENT": "INDENT", "DEDENT": "DEDENT", "FSTRING_START": "FS", "FSTRING_MIDDLE": "FM", "FSTRING_END": "FE"}.items()
+    if hasattr(tokenize, a)
+}
+
+
 def lex_python(text: str):
     toks, at = [], []
     t = tokenize
@@ -51,30 +60,19 @@ def lex_python(text: str):
     try:
         if "\x00" in text:
             raise SyntaxError
-        for k in t.generate_tokens(io.StringIO(text, newline=None).readline):
-            y = k.type
-            if y == t.COMMENT or y == t.NL or y == t.ENCODING or y == t.ENDMARKER:
+        put, put_at, most, kw = toks.append, at.append, len(lines) - 1, _PY_KW
+        for y, s, (row, col), _, _ in t.generate_tokens(io.StringIO(text, newline=None).readline):
+            if y in _PY_SKIP:
                 continue
-            at.append(lines[min(k.start[0] - 1, len(lines) - 1)] + k.start[1])
-            if y == t.NAME:
-                toks.append(k.string if k.string in _PY_KW else "NAME")
-            elif y == t.OP:
-                toks.append(k.string)
-            elif y == t.NUMBER:
-                toks.append("NUM")
-            elif y == t.STRING:
-                toks.append("STR")
-            elif y == t.NEWLINE:
-                toks.append("NEWLINE")
-            elif y == t.INDENT:
-                toks.append("INDENT")
-            elif y == t.DEDENT:
-                toks.append("DEDENT")
-            elif y in (getattr(t, "FSTRING_START", -1), getattr(t, "FSTRING_MIDDLE", -1), getattr(t, "FSTRING_END", -1)):
-                toks.append({t.FSTRING_START: "FS", t.FSTRING_MIDDLE: "FM", t.FSTRING_END: "FE"}[y])
+            put_at(lines[row - 1 if row <= most else most] + col)
+            if y == _PY_NAME:
+                put(s if s in kw else "NAME")
+            elif y == _PY_OP:
+                put(s)
             else:
-                toks.append("BAD")
-                break
+                put(k := _PY_KINDS.get(y, "BAD"))
+                if k == "BAD":
+                    break
     except (tokenize.TokenError, SyntaxError, IndentationError, UnicodeError, ValueError):
         toks.append("BAD")
         at.append(at[-1] if at else 0)
@@ -99,13 +97,17 @@ _BINOPS = _words("+ - * / % & | ^ << ** && || ?? == != === !== <= >= instanceof
 _ASSIGN = _words("+= -= *= /= %= &= |= ^= <<= **= &&= ||= ??=")
 
 
+#: signs that stand for a class of signs, all others for themselves
+_JS_SIGNS = {**dict.fromkeys(_BINOPS - _words("+ - * | & < >= in instanceof"), "BINOP"), **dict.fromkeys(_ASSIGN, "ASSIGN"), "++": "INC", "--": "INC"}
+
+
 def _lex_js(text: str, kw: frozenset[str]):
     toks: list[str] = []
     at: list[int] = []
     semi: list[bool] = []
     braces: list[bool] = []
     pos, n, nl, last = 0, len(text), False, ""
-    restricted = False
+    signs = _JS_SIGNS
     if text.startswith("#!"):
         pos = text.find("\n") if "\n" in text else n
     match = _JS_TOK.match
@@ -171,31 +173,19 @@ def _lex_js(text: str, kw: frozenset[str]):
             else:
                 tok = "NAME"
         elif k == "P":
-            if s == ">=" and kw is _TS_KW:
-                s, pos = ">", pos - 1  # closes type arguments or is joined again by the grammar
-                tok = s
-            elif s in _BINOPS and s not in ("+", "-", "*", "/", "|", "&", "<", ">=", "in"):
-                tok = "BINOP"
-            elif s in _ASSIGN:
-                tok = "ASSIGN"
-            elif s == "/" or s == "%" or s == "^":
-                tok = "BINOP"
-            elif s == "++" or s == "--":
-                tok = "INC"
-                if nl and last in _JS_OPERAND_END:
-                    toks.append("ASI")
-                    at.append(m.start())
-                    semi.append(False)
-                    nl = False
-            elif s == "!" or s == "~":
-                tok = s
-            else:
-                tok = s
+            tok = signs.get(s, s)
             if s == "{":
                 braces.append(False)
             elif s == "}":
                 if braces:
                     braces.pop()
+            elif s == ">=" and kw is _TS_KW:
+                tok, pos = ">", pos - 1  # closes type arguments or is joined again by the grammar
+            elif tok == "INC" and nl and last in _JS_OPERAND_END:
+                toks.append("ASI")
+                at.append(m.start())
+                semi.append(False)
+                nl = False
         else:
             tok = k
         toks.append(tok)
