@@ -222,10 +222,12 @@ def rules_say(path: Column, attribute: str, text: str, flags: str = "") -> Colum
     return out
 
 
-def declared(files: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+_ATTRIBUTE_FILE = r"(^|/)\.gitattributes$"
+
+
+def declared(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, generated, vendored) of the files that attribute files of their repository speak of, null where they say nothing, and the repositories that have one.
 
-    Without any attribute file there is no first table.
 
     ``files`` has id, repo (not null), path and text.  Only attribute files are
     exploded into rules; files of repositories that have one bring id and path
@@ -238,13 +240,11 @@ def declared(files: DataFrame) -> tuple[DataFrame | None, DataFrame]:
         return text.map(parse_attributes)
 
     attr = cut(
-        files.where(F.col("path").rlike(r"(^|/)\.gitattributes$"))
+        files.where(F.col("path").rlike(_ATTRIBUTE_FILE))
         .select("repo", F.regexp_replace("path", r"/?\.gitattributes$", "").alias("dir"), rules("text").alias("rs"))
         .select("repo", "dir", F.explode_outer("rs").alias("r"))
         .select("repo", "dir", "r.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    if attr.isEmpty():
-        return None, attr.select("repo")
     parts = F.split("path", "/")
     dirs = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     at = files.where("path is not null").select("id", "repo", "path").join(attr.select("repo").distinct(), "repo", "left_semi")
@@ -260,8 +260,8 @@ def _bound(n: Column, of: Column, side: int) -> Column:
     return (p + z * z / (2 * of) + side * z * F.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
 
 
-def mine(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Patterns that hold over the repositories, (candidate, attribute), and where they do not, (repo, candidate, attribute).
+def mine(seen: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Patterns that hold over the repositories, (candidate, attribute), and where they do not, (repo, candidate, attribute); None if none holds.
 
     ``seen`` has repo, candidates (array) and one boolean for each attribute.
     The vote of a repository is the share of its files that are marked; the
@@ -269,9 +269,12 @@ def mine(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     marks = [F.count_if(F.coalesce(a, F.lit(False))).alias(a) for a in ATTRIBUTES]
     local = seen.select("repo", F.explode("candidates").alias("candidate"), *ATTRIBUTES).groupBy("repo", "candidate").agg(F.count("*").alias("of"), *marks)
-    votes = cut(local.select("repo", "candidate", "of", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("n")) for a in ATTRIBUTES])).alias("v")).select("repo", "candidate", "of", "v.*"))
-    holds = votes.groupBy("candidate", "attribute").agg(F.sum(F.col("n") / F.col("of")).alias("yes"), F.count("*").alias("repos"))
-    holds = holds.where(_bound(F.col("yes"), F.col("repos"), -1) >= MINE_SHARE).select("candidate", "attribute")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("n")) for a in ATTRIBUTES])).alias("v")
+    shares = local.groupBy("candidate").agg(F.count("*").alias("repos"), *[F.sum(F.col(a) / F.col("of")).alias(a) for a in ATTRIBUTES]).select("candidate", "repos", each).select("candidate", "repos", "v.*")
+    holds = cut(shares.where(_bound(F.col("n"), F.col("repos"), -1) >= MINE_SHARE).select("candidate", "attribute"))
+    if holds.isEmpty():
+        return None
+    votes = local.join(holds.select("candidate").distinct(), "candidate", "left_semi").select("repo", "candidate", "of", each).select("repo", "candidate", "of", "v.*")
     against = votes.where(_bound(F.col("n").cast("double"), F.col("of"), 1) < MINE_SHARE).select("repo", "candidate", "attribute")
     return holds, against.join(holds, ["candidate", "attribute"], "left_semi")
 
@@ -294,8 +297,10 @@ def classify(files: DataFrame, *, id: str = "file_id", repo: str = "codebase", p
     p = F.col("path")
     known = [F.coalesce(rules_say(p, a, NAME_PATTERNS, "i"), rules_say(p, a, DIRECTORY_PATTERNS), F.lit(False)).alias(f"known_{a}") for a in ATTRIBUTES]
     seen = cut(cols.select("id", "repo", "path", *known, evidence("path", "text").alias("kind")))
-    said, declares = declared(cols)
-    rows = seen.join(said, "id", "left") if said else seen.select("*", *[F.lit(None).cast("boolean").alias(a) for a in ATTRIBUTES])
+    rows, declares = seen.select("*", *[F.lit(None).cast("boolean").alias(a) for a in ATTRIBUTES]), None
+    if not seen.where(p.rlike(_ATTRIBUTE_FILE)).isEmpty():  # only then are texts read once more, those of attribute files
+        said, declares = declared(cols)
+        rows = seen.join(said, "id", "left")
     by = {a: F.coalesce(F.col(a), F.col("kind") == a) for a in ATTRIBUTES}
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
@@ -306,9 +311,7 @@ def classify(files: DataFrame, *, id: str = "file_id", repo: str = "codebase", p
             F.when(suffix != "", F.array(F.concat(F.lit("*"), suffix))).otherwise(F.array().cast("array<string>")),
         )
     )
-    holds, against = mine(rows.where("path is not null").select("repo", candidates.alias("candidates"), *[by[a].alias(a) for a in ATTRIBUTES]))
-    plain = seen.where("path is not null and kind is null and not known_generated and not known_vendored").join(declares, "repo", "left_anti")
-    mined = plain.select("id", "repo", F.explode(candidates).alias("candidate")).join(holds, "candidate").join(against, ["repo", "candidate", "attribute"], "left_anti").select("id", F.lit("mined").alias("kind"))
+    mined = mine(rows.where("path is not null").select("repo", candidates.alias("candidates"), *[by[a].alias(a) for a in ATTRIBUTES]))
 
     # each attribute by itself: an explicit unset keeps what speaks for it from counting
     way = {
@@ -317,5 +320,10 @@ def classify(files: DataFrame, *, id: str = "file_id", repo: str = "codebase", p
     }
     ways = [F.when(F.coalesce(F.col(a), F.lit(True)), way[a]) for a in ATTRIBUTES]
     kind = F.when(F.coalesce(F.col("generated"), F.lit(False)) | F.coalesce(F.col("vendored"), F.lit(False)), F.lit("declared")).otherwise(F.coalesce(F.when(ways[0] == "pattern", ways[0]), F.when(ways[1] == "pattern", ways[1]), *ways))
-    found = rows.select("id", kind.alias("kind")).where("kind is not null").unionByName(mined)
+    found = rows.select("id", kind.alias("kind")).where("kind is not null")
+    if mined:
+        plain = seen.where("path is not null and kind is null and not known_generated and not known_vendored")
+        plain = plain.join(declares, "repo", "left_anti") if declares else plain
+        told = plain.select("id", "repo", F.explode(candidates).alias("candidate")).join(mined[0], "candidate").join(mined[1], ["repo", "candidate", "attribute"], "left_anti")
+        found = found.unionByName(told.select("id", F.lit("mined").alias("kind")))
     return found.groupBy("id").agg(F.min("kind").alias("kind")).select(F.col("id").alias(id), "kind")
