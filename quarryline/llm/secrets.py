@@ -109,7 +109,7 @@ _PAIR_RX = re.compile("|".join(sorted(_PAIR_NAMES)))
 # a value that begins so, or is so, is a reference or a placeholder; beginnings decide without the rest being read
 _BEGINS = re.compile(
     r"(?i)\$|%\(\w++\)[sd]|\{\{|env[:.(]|vault[:/]|secret[:/]|ref[:/]|arn:|file:|ssm:|aws:|gcp:|azure:|op://|keyring:|process\.env|os\.(?:environ|getenv)|System\.getenv|getenv|config\.|settings\.|self\.|this\.|std::env"
-    r"|change[-_]?me|replace|your|todo|example|placeholder|redacted|insert|fill|enter|put|none\b"
+    r"|change[-_]?me|replace|your|todo|example|placeholder|redacted|insert|none\b|(?:fill|enter|put)(?:[-_. ]|your|here|the|some|me|in[-_]|\Z)"
 )
 _WHOLE = re.compile(
     r"(?i)(?:(?-i:%[A-Z_][A-Z0-9_]*+%)|%[sdv]|<[^>]*+>?|<.*+(?<=>)|\{[^}]*+\}|\[.*+(?<=\])|(.)\1{3,}+|x{3}[\w-]*+|\*++|\.++|-++|_++|my[-_]?(?:secret|password|token|key)"
