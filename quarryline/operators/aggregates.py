@@ -147,15 +147,24 @@ def positions(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return local.join(before, [*by, "__p"]).withColumn("position", F.col("position") + F.col("__off")).drop("__p", "__off")
 
 
-def reduce_once(rows: DataFrame, by: list[str], combine: Callable[[Column], Column], fan_in: int = FAN_IN) -> DataFrame:
-    """One level: consecutive tens of each group joined in order and combined.
+def reduce_once(rows: DataFrame, by: list[str], combine: Callable[[Column], Column], fan_in: int = FAN_IN, levels: int = 1) -> DataFrame:
+    """One level, or several with one shuffle: consecutive tens of each group joined in order and combined.
 
     ``rows`` has the group columns, position and summary; so has the result.
-    A group is never gathered as a whole, only ten rows of it at a time.
+    A group is never gathered as a whole, only the rows that end in one node.
+    With several levels ``combine`` must be made of built-in expressions.
     """
-    part = (F.col("position") / fan_in).cast("bigint")
-    joined = rows.groupBy(*by, part.alias("position")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "summary"))), lambda x: x["summary"]), "\n\n").alias("summary"))
-    return joined.select(*by, "position", combine(F.col("summary")).alias("summary"))
+    part = F.expr(f"position div {fan_in**levels}")
+    out = rows.groupBy(*by, part.alias("position")).agg(F.array_sort(F.collect_list(F.struct(F.col("position").cast("bigint").alias("position"), "summary"))).alias("__x"))
+    for _ in range(levels - 1):
+        nodes = F.array_distinct(F.transform("__x", lambda x: _div(x["position"], fan_in)))
+        joined = lambda n: F.array_join(F.transform(F.filter("__x", lambda x: _div(x["position"], fan_in) == n), lambda x: x["summary"]), "\n\n")
+        out = out.withColumn("__x", F.transform(nodes, lambda n: F.struct(n.alias("position"), combine(joined(n)).alias("summary"))))
+    return out.select(*by, "position", combine(F.array_join(F.transform("__x", lambda x: x["summary"]), "\n\n")).alias("summary"))
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.floor(a / b)
 
 
 def levels_of(rows: DataFrame, by: list[str], fan_in: int = FAN_IN) -> int:
@@ -164,10 +173,16 @@ def levels_of(rows: DataFrame, by: list[str], fan_in: int = FAN_IN) -> int:
     return len(reduce_levels(most, fan_in)) - 1
 
 
-def hierarchical_reduce(rows: DataFrame, by: list[str], combine: Callable[[Column], Column], *, fan_in: int = FAN_IN) -> DataFrame:
-    """Levels until each group holds one row; the depth is the logarithm of the largest group."""
-    for _ in range(levels_of(rows, by, fan_in)):
-        rows = cut(reduce_once(rows, by, combine, fan_in))
+def hierarchical_reduce(rows: DataFrame, by: list[str], combine: Callable[[Column], Column], *, fan_in: int = FAN_IN, at_once: int = 2) -> DataFrame:
+    """Levels until each group holds one row; the depth is the logarithm of the largest group.
+
+    Two levels share a shuffle: the hundred rows under a node hold no more text
+    than the ten joined ones would.
+    """
+    left = levels_of(rows, by, fan_in)
+    while left > 0:
+        rows = reduce_once(rows, by, combine, fan_in, min(at_once, left))
+        left -= at_once
     return rows.select(*by, "summary")
 
 

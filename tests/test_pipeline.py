@@ -164,6 +164,13 @@ def test_reduce(spark):
     df = spark.range(125).select(F.lit("g").alias("g"), F.col("id").alias("position"), F.col("id").cast("string").alias("summary"))
     out = A.hierarchical_reduce(df, ["g"], lambda s: s).first()
     assert out.summary.split("\n\n") == [str(i) for i in range(125)]
+    cut_to = lambda s: F.substring(s, 1, 40)
+    sparse = df.where("id % 7 <> 3")
+    for rows in (df, sparse):
+        steps = rows
+        for _ in range(3):
+            steps = A.reduce_once(steps, ["g"], cut_to)
+        assert A.hierarchical_reduce(rows, ["g"], cut_to).first().summary == steps.first().summary == A.hierarchical_reduce(rows, ["g"], cut_to, at_once=3).first().summary
     empty = df.where("false")
     assert A.hierarchical_reduce(empty, ["g"], lambda s: s).count() == 0
 
