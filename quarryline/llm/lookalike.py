@@ -174,38 +174,45 @@ FORM, TEXT = ["f1", "f2"], ["f1", "f2", "r1", "r2"]
 
 
 def classes(p: DataFrame) -> DataFrame:
-    """(id, f1, f2, r1, r2, parts): membership of each document in its class of texts that look the same.
+    """(id, f1, f2, r1, r2): membership of each document in its class of texts that look the same.
 
     Only classes that more than one text takes are kept: the least and the
     greatest hash of a form tell, in one aggregate with map-side combining, so
-    exact copies and forms of one text go no further.  ``parts`` says over how
-    many keys the documents of the text are spread.
+    exact copies and forms of one text go no further.
     """
     spans = p.groupBy(*FORM).agg(*[f(c).alias(f"{n}_{c}") for c in ("r1", "r2") for n, f in (("least", F.min), ("most", F.max))])
     several = spans.where("least_r1 <> most_r1 or least_r2 <> most_r2").select(*FORM)
-    ids = p.select("id", *TEXT).join(several, FORM, "left_semi").distinct()
-    return ids.join(ids.groupBy(*TEXT).agg(F.expr(f"1 + count(*) div {PER_TASK}").cast("int").alias("parts")), TEXT)
+    return p.select("id", *TEXT).join(several, FORM, "left_semi").distinct()
 
 
 def text_pairs(members: DataFrame) -> DataFrame:
-    """(f1, f2, then r1, r2, parts of a and b): pairs of different texts of one class, each once; no pair of documents is made."""
-    texts = members.select(*TEXT, "parts").distinct()
-    a, b = (texts.select(*FORM, *[F.col(c).alias(f"{c}_{x}") for c in ("r1", "r2", "parts")]) for x in "ab")
+    """(f1, f2, then r1, r2, n of a and b): pairs of different texts of one class with the number of their documents, each once; no pair of documents is made."""
+    texts = members.groupBy(*TEXT).agg(F.count("*").alias("n"))
+    a, b = (texts.select(*FORM, *[F.col(c).alias(f"{c}_{x}") for c in ("r1", "r2", "n")]) for x in "ab")
     return a.join(b, FORM).where("r1_a < r1_b or (r1_a = r1_b and r2_a < r2_b)")
 
 
 def pairs(p: DataFrame) -> DataFrame:
     """(doc_a, doc_b) whose texts agree in form and differ in characters.
 
-    Different texts are paired first, as hashes, in as many cells as the
-    documents of both ask for; the cells are expanded to documents, so every row
-    the joins make is a result, and no key holds more than ``PER_TASK`` documents
-    of a text on either side, however many carry it.
+    Different texts are paired first, as hashes; only those pairs are expanded
+    to documents, so every row the joins make is a result.  Where a text has
+    more than ``PER_TASK`` documents the pairs are cut into as many cells as the
+    documents of both ask for, so that no key holds more of them on either side.
     """
     members = cut(classes(p))
+    told = cut(text_pairs(members))
+    side = {x: members.select(F.col("r1").alias(f"r1_{x}"), F.col("r2").alias(f"r2_{x}"), F.col("id").alias(x)) for x in "ab"}
+    if (told.agg(F.max(F.greatest("n_a", "n_b"))).first()[0] or 0) <= PER_TASK:
+        out = told.join(side["a"], ["r1_a", "r2_a"]).select("a", "r1_b", "r2_b").join(side["b"], ["r1_b", "r2_b"])
+        return out.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
     keys = {x: [f"r1_{x}", f"r2_{x}", f"part_{x}"] for x in "ab"}
-    parts = [F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)).alias(f"part_{x}") for x in "ab"]
-    cells = text_pairs(members).select("r1_a", "r2_a", "r1_b", "r2_b", "parts_b", parts[0]).select(*keys["a"], "r1_b", "r2_b", parts[1])
-    of = F.pmod(F.hash("id"), F.col("parts"))
-    sides = [cells.join(members.select(F.col("r1").alias(f"r1_{x}"), F.col("r2").alias(f"r2_{x}"), of.alias(f"part_{x}"), F.col("id").alias(x)), keys[x]) for x in "ab"]
-    return sides[0].join(sides[1], [*keys["a"], *keys["b"]]).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
+    number = {x: F.expr(f"cast(1 + n_{x} div {PER_TASK} as int)") for x in "ab"}
+    texts = {x: told.select(f"r1_{x}", f"r2_{x}", number[x].alias("parts")).distinct() for x in "ab"}
+    parts = {x: F.explode(F.sequence(F.lit(0), number[x] - 1)).alias(f"part_{x}") for x in "ab"}
+    cells = told.select("r1_a", "r2_a", "r1_b", "r2_b", "n_b", parts["a"]).select(*keys["a"], "r1_b", "r2_b", parts["b"])
+    found = {}
+    for x in "ab":
+        spread = side[x].join(texts[x], [f"r1_{x}", f"r2_{x}"]).withColumn(f"part_{x}", F.pmod(F.hash(x), F.col("parts"))).drop("parts")
+        found[x] = cells.join(spread, keys[x])
+    return found["a"].join(found["b"], [*keys["a"], *keys["b"]]).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
