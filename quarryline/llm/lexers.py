@@ -85,7 +85,7 @@ _JS_KW = _words(
     " async await of get set static let yield"
 )
 _TS_KW = _JS_KW | _words(
-    "enum as satisfies interface type namespace module declare abstract readonly public private protected implements is keyof infer unique asserts override accessor require global from any unknown never void out"
+    "enum as satisfies using interface type namespace module declare abstract readonly public private protected implements is keyof infer unique asserts override accessor require global from any unknown never void out"
 )
 _JS_TOK = re.compile(
     r"""(?P<WS>(?:[ \t\v\f\u00a0\ufeff\u2028\u2029\r\n]+|//[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/)+)|(?P<ID>\#?(?:[A-Za-z_$\u0080-\U0010ffff]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))(?:[\w$\u200c\u200d]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))*)|(?P<NUM>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:(?:[0-9](?:_?[0-9])*)(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?n?)(?![\w$]))|(?P<STR>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')|(?P<P>\.\.\.|=>|\?\?=|\?\?|\?\.(?![0-9])|\*\*=|\*\*|\+\+|--|&&=|\|\|=|&&|\|\||<<=|<<|>=|<=|===|!==|==|!=|[-+*/%&|^]=|[{}()\[\];,<>+\-*/%&|^!~?:=.@])"""

@@ -11,7 +11,7 @@ from quarryline.llm.syntax import first_errors
 
 GOOD = {
     "javascript": ["a\n++b", "let x = a / b / c; var r = /ab+c/gi.test(s)", "async function* g(){ for await (const x of y) yield* x; }", "const {a, b: {c=1}, ...d} = e", "class A extends B { #p = 1; get y(){return this.#p} static { init() } }", "`a${b+`c${d}`}e`", "var a = b => ({}), c = async x => await x", "x = y\n(z)", "return 1", "({a} = b)", "while(1) if (a) b; else {c}", "#!/usr/bin/env node\nx", "const re = /[/]/"],
-    "typescript": ["const x = y as unknown as Foo<Bar>;", "type A<T> = T extends string ? 'a' : never;", "type M = { readonly [K in keyof T]?: T[K] };", "abstract class A<T> extends B<T> implements C { constructor(private readonly x: number) { super(); } abstract f(): void; }", "import type { A } from 'x'", "let f = <T>(x: T): T => x", "x = a < b || c > d", "export const d: Record<string,number>={a: 1}", "interface I { a: string\n b(): void }", "@Dec() class X { @In() y: string }"],
+    "typescript": ["const x = y as unknown as Foo<Bar>;", "type A<T> = T extends string ? 'a' : never;", "type M = { readonly [K in keyof T]?: T[K] };", "abstract class A<T> extends B<T> implements C { constructor(private readonly x: number) { super(); } abstract f(): void; }", "import type { A } from 'x'", "let f = <T>(x: T): T => x", "let a = <const>[1]; { using b = c(); await using d = e; for (using x of y) {} let using = 1; using(a); using.b() }", "x = a < b || c > d", "export const d: Record<string,number>={a: 1}", "interface I { a: string\n b(): void }", "@Dec() class X { @In() y: string }"],
     "go": ["package a\nfunc f() {}\n", "package a\nimport \"x\"\nfunc (r *T) m(a, b int) (x int, err error) { for i := range 10 { if x, ok := m[k]; ok { continue } else if y { break } }; switch { case 1 < 2: return }; return }", "package a\ntype S struct { A int `json:\"a\"`; *B }\nvar y = map[string]T{\"a\": {1, 2}}\n", "package a\nfunc f() { defer m.Unlock(); go func() { x() }(); defer a[0](1, b...); go []f(x) }", "package a\nfunc M[T, U any](x []T, f func(T) U) []U { return nil }"],
     "java": ["class A { List<Map<String,int[]>> c = new ArrayList<>(); }", "record P(int x) { P { if (x<0) throw new E(); } }", "class A { void f() { int z = switch (x) { case 1, 2 -> 3; default -> { yield 4; } }; if (o instanceof String t && t.length() > 3) {} Function<A,B> g = a -> a.b(); g = A::new; x >>>= 2; } }", 'class A { String s = """\n  hi "q"\n  """; }'],
     "rust": ["fn main() { let x = vec![1, 2]; println!(\"{}\", x[0]); }", "impl<T: Clone + 'static> Foo<T> for Bar<T> where T: Debug { fn f(&self) -> Result<Vec<T>, Box<dyn Error>> { let Some(x) = y else { return Err(z) }; match x { A::B { c, .. } => 1, 1..=5 | 7 => { 2 } _ if q => return Ok(3), }; Ok(()) } }", "#[derive(Debug)]\npub(crate) struct A<'a, T = u8>(&'a T);", "extern \"C\" { fn p(f: *const u8, ...) -> i32; }", "fn f() { if a == b { 1 } else { 2 }; s.iter().map(|x| x * 2).collect::<Vec<_>>() } /* a /* b */ c */"],
